@@ -1,10 +1,16 @@
 """The numbered queries of this subpackage and their SQL, for the entry module."""
 
+from viaduct.llm.chat import op6_chat
 from viaduct.llm.language import op10_language
 from viaduct.llm.packing import op2_packing
+from viaduct.llm.sharding import op5_sharding
+from viaduct.llm.warc import op3_warc
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_warc": op3_warc,
+    "op5_sharding": op5_sharding,
+    "op6_chat": op6_chat,
     "op10_language": op10_language,
 }
 
