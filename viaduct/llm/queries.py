@@ -2,7 +2,9 @@
 
 from viaduct.llm.chat import op6_chat
 from viaduct.llm.language import op10_language
+from viaduct.llm.neardup import op9_ngram_join
 from viaduct.llm.packing import op2_packing
+from viaduct.llm.secrets import op8_secrets
 from viaduct.llm.sharding import op5_sharding
 from viaduct.llm.warc import op3_warc
 
@@ -11,6 +13,8 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op5_sharding": op5_sharding,
     "op6_chat": op6_chat,
+    "op8_secrets": op8_secrets,
+    "op9_ngram_join": op9_ngram_join,
     "op10_language": op10_language,
 }
 
