@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import tempfile
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -14,15 +13,17 @@ WORD = re.compile(r"\w+")
 MASK64 = (1 << 64) - 1
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder the session names.
-
-    A folder of our own is set only where none is configured (local tests).
-    """
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """The shared folder the session names; one of our own only where none is configured (local tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="viaduct-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    scratch(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -46,15 +47,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=200_000)
-def word_hash(word: str) -> int:
+_chunks: dict[str, bytes] = {}
+
+
+def _chunk_hashes(chunk: str) -> bytes:
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(word)
+    if len(_chunks) > 400_000:
+        _chunks.clear()
+    found = _chunks[chunk] = b"".join([xxhash.xxh3_64_digest(w)[::-1] for w in WORD.findall(chunk)])
+    return found
 
 
-def hashed(items: list[str]) -> np.ndarray:
-    return np.fromiter(map(word_hash, items), np.uint64, len(items))
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the ``words`` of a text. No word crosses a blank, so each blank-separated
+    chunk is looked up whole."""
+    if not text:
+        return np.zeros(0, np.uint64)
+    chunks = text.lower().split()
+    found = [*map(_chunks.get, chunks)]
+    if None in found:
+        found = [_chunk_hashes(c) if f is None else f for c, f in zip(chunks, found, strict=True)]
+    return np.frombuffer(b"".join(found), np.uint64)
 
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:
@@ -62,7 +76,7 @@ def shingles(text: str | None, size: int = 5) -> np.ndarray:
 
     A text with fewer words than ``size`` has one shingle of all its words; no word, none.
     """
-    w = hashed(words(text))
+    w = word_hashes(text)
     if not len(w):
         return w
     n = min(size, len(w))

@@ -1,6 +1,7 @@
 """The numbered queries of this subpackage and their SQL, for the entry module."""
 
 from viaduct.llm.chat import op6_chat
+from viaduct.llm.decontamination import op7_decontamination
 from viaduct.llm.language import op10_language
 from viaduct.llm.neardup import op9_ngram_join
 from viaduct.llm.packing import op2_packing
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op5_sharding": op5_sharding,
     "op6_chat": op6_chat,
+    "op7_decontamination": op7_decontamination,
     "op8_secrets": op8_secrets,
     "op9_ngram_join": op9_ngram_join,
     "op10_language": op10_language,

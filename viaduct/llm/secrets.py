@@ -164,7 +164,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     done = F.aggregate("secret_spans", start, step, lambda acc: F.concat(acc["out"], F.substring("text", (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
     text = F.when(F.size("secret_spans") > 0, done).otherwise(F.col("text"))
-    return scan(docs).withColumn("text", text).select(*docs.columns)
+    carried = docs.select("text", F.struct(*[F.col(c) for c in docs.columns]).alias("carried"))
+    return scan(carried).select(*[text.alias(c) if c == "text" else F.col("carried")[c].alias(c) for c in docs.columns])
 
 
 def op8_secrets(spark, sf_dir):

@@ -18,18 +18,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from viaduct.llm.common import table
+from viaduct.llm.common import scratch, table
 
 CRLF = "\r\n"
 
 
 def archive_root(spark: SparkSession) -> str:
     """A new folder below the shared one the session names."""
-    import tempfile
-
-    sc = spark.sparkContext
-    base = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="viaduct-")
-    return f"{base.rstrip('/')}/warc-{uuid.uuid4().hex}"
+    return f"{scratch(spark)}/warc-{uuid.uuid4().hex}"
 
 
 def facts(pages: DataFrame) -> DataFrame:
