@@ -5,13 +5,17 @@ from viaduct.llm.decontamination import op7_decontamination
 from viaduct.llm.language import op10_language
 from viaduct.llm.neardup import op9_ngram_join
 from viaduct.llm.packing import op2_packing
+from viaduct.llm.pii import op4_pii
+from viaduct.llm.quality import op1_quality
 from viaduct.llm.secrets import op8_secrets
 from viaduct.llm.sharding import op5_sharding
 from viaduct.llm.warc import op3_warc
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_packing": op2_packing,
     "op3_warc": op3_warc,
+    "op4_pii": op4_pii,
     "op5_sharding": op5_sharding,
     "op6_chat": op6_chat,
     "op7_decontamination": op7_decontamination,
