@@ -1,0 +1,109 @@
+"""Joins, aggregates, windows, audits and log queries in SQL that both engines read.
+
+``@table`` stands for a table; Spark gets it as a DataFrame argument, DuckDB as a view. Keys take
+the place of coordinates: doubles are written with exponents, so neither engine takes them for
+decimals.
+"""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def hav(a: str, b: str, c: str, d: str) -> str:
+    """Haversine metres."""
+    h = f"(pow(sin((radians({c})-radians({a}))/2e0), 2) + cos(radians({a}))*cos(radians({c}))*pow(sin((radians({d})-radians({b}))/2e0), 2))"
+    return f"(1.2742e7*atan2(sqrt({h}), sqrt(1e0-{h})))"
+
+
+ST = "st AS (SELECT c_custkey AS k, c_name AS name, c_nationkey AS country, c_mktsegment AS seg, c_acctbal AS bal, 3.6e1 + (c_custkey*37 % 250)/1e1 AS lat, -9e0 + (c_custkey*53 % 340)/1e1 AS lon FROM @customer)"
+RF = "rf AS (SELECT s_suppkey AS r, s_name AS rname, s_nationkey AS country, 3.6e1 + (s_suppkey*91 % 250)/1e1 AS rlat, -9e0 + (s_suppkey*17 % 340)/1e1 AS rlon FROM @supplier)"
+D = hav("lat", "lon", "rlat", "rlon")
+PT = "pt AS (SELECT p_partkey AS k, p_name AS name, lower(p_name) AS stem, 4.8e1 + (p_partkey*37 % 50)/1e2 AS lat, 2e0 + (p_partkey*53 % 70)/1e2 AS lon FROM @part)"
+PD = hav("a.lat", "a.lon", "b.lat", "b.lon")
+SRC = "src AS (SELECT DISTINCT source AS id, CASE WHEN source IN ('src0','src1') THEN 'office' WHEN source IN ('src2','src3','src4') THEN 'wikidata' ELSE 'osm' END AS provider, CASE WHEN source IN ('src0','src2','src5') THEN 'city' WHEN source IN ('src3','src6') THEN 'membership' ELSE 'enrichment' END AS kind, source NOT IN ('src7','src9') AS active FROM @documents)"
+TIER = "CASE provider WHEN 'office' THEN 'official' WHEN 'wikidata' THEN 'linked_open_data' ELSE 'community' END"
+
+COMMON = {
+    # joins
+    "jn_1": f"WITH {ST}, {RF}, m AS (SELECT k, r, {D} AS dist, row_number() OVER (PARTITION BY k ORDER BY {D}, r) AS n FROM st JOIN rf ON k % 40 = r % 40) SELECT k, r, round(dist, 2) AS dist FROM m WHERE n = 1",
+    "jn_2": f"WITH {ST}, {RF}, m AS (SELECT k, r, {D} AS dist, row_number() OVER (PARTITION BY k ORDER BY {D}, r) AS n FROM st JOIN rf ON k % 15 = r % 15) SELECT k, r, round(dist, 2) AS dist FROM m WHERE n = 1 AND dist <= 2e5",
+    "jn_3": "SELECT l_partkey AS raw_id, min(l_suppkey) AS target, count(DISTINCT l_suppkey) AS targets FROM @lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) > 1",
+    "jn_4": "WITH o AS (SELECT p_partkey AS raw_id, p_size % 7 AS target FROM @part WHERE p_partkey % 3 = 0) SELECT l_orderkey, min(target) AS binding, CASE WHEN count(DISTINCT target) > 1 THEN true ELSE false END AS conflict FROM @lineitem LEFT JOIN o ON l_partkey = raw_id GROUP BY l_orderkey",
+    "jn_9": f"WITH {ST}, {RF}, m AS (SELECT k, r, {D} AS dist, r % 5 AS stations FROM st JOIN rf ON k % 25 = r % 25 WHERE {D} <= 5e5), q AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY stations DESC, dist, r) AS n, lead(stations) OVER (PARTITION BY k ORDER BY stations DESC, dist, r) AS s2, lead(dist) OVER (PARTITION BY k ORDER BY stations DESC, dist, r) AS d2 FROM m) SELECT k, CASE WHEN s2 = stations AND d2 - dist < 1e0 THEN NULL ELSE r END AS parent FROM q WHERE n = 1",
+    "jn_11": f"WITH {PT} SELECT a.k AS a, b.k AS b, CAST(round({PD}) AS BIGINT) AS metres FROM pt a JOIN pt b ON a.stem = b.stem AND a.k < b.k WHERE round({PD}) <= 25000",
+    "jn_20": "WITH v AS (SELECT p_partkey AS q, lower(p_name) AS label, 0 AS prio FROM @part WHERE p_partkey % 4 > 0 UNION ALL SELECT p_partkey, lower(p_brand), 1 FROM @part UNION ALL SELECT p_partkey, lower(p_type), 1 FROM @part), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY prio, q) AS n FROM v) SELECT label, q, prio FROM r WHERE n = 1",
+    "jn_21": "WITH c AS (SELECT n_nationkey AS code, n_name FROM @nation WHERE n_nationkey % 4 <> 1), s AS (SELECT s_suppkey % 500 AS station, s_nationkey AS code, row_number() OVER (PARTITION BY s_suppkey % 500 ORDER BY s_suppkey) AS n FROM @supplier) SELECT station, n_name AS city FROM s JOIN c USING (code) WHERE n = 1",
+    "jn_22": "WITH c AS (SELECT lower(n_name) AS name, n_regionkey AS cc, n_nationkey AS city FROM @nation WHERE n_nationkey < 18) SELECT s_suppkey, city, city IS NULL AS unmatched FROM @supplier JOIN @nation ON s_nationkey = n_nationkey LEFT JOIN c ON lower(n_name) = name AND n_regionkey = cc",
+    # aggregates
+    "ag_5": f"WITH {ST} SELECT country, seg AS name, count(*) AS stations, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, max(bal) AS top, count(DISTINCT name) AS aliases FROM st GROUP BY country, seg",
+    "ag_8": "WITH p AS (SELECT p_size AS city, split_part(p_name, ' ', 1) AS prefix, count(*) AS votes FROM @part GROUP BY p_size, split_part(p_name, ' ', 1)), r AS (SELECT *, row_number() OVER (PARTITION BY city ORDER BY votes DESC, length(prefix), prefix) AS n FROM p) SELECT city, prefix AS display_name, votes FROM r WHERE n = 1",
+    "ag_9": "SELECT p_name AS name, max(p_size % 5) AS priority FROM @part GROUP BY p_name",
+    "ag_10": f"WITH {ST} SELECT coalesce(CASE WHEN k % 6 = 0 THEN country % 5 END, country) AS cluster, count(*) AS stations, round(avg(lat), 6) AS lat FROM st GROUP BY 1",
+    "ag_11": f"WITH {ST} SELECT country AS complex, min(k) AS first_station, count(*) AS members, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon FROM st GROUP BY country HAVING count(*) > 1",
+    "ag_12": "SELECT s_suppkey, count(*) OVER (PARTITION BY s_suppkey % 37) AS holders FROM @supplier",
+    "ag_13": "SELECT s_suppkey % 37 AS qid, count(*) > 1 AND min(s_nationkey) = max(s_nationkey) AND count(s_nationkey) = count(*) AS same_complex FROM @supplier GROUP BY 1",
+    "ag_14": "WITH c AS (SELECT s_suppkey AS pos, s_name AS name, s_nationkey AS key, CAST(floor(s_acctbal) AS BIGINT) AS pop FROM @supplier), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY coalesce(pop, 0) DESC, pos DESC) AS n, first_value(name) OVER (PARTITION BY key ORDER BY length(name) DESC, pos DESC) AS canonical FROM c) SELECT key, pos AS city, pop, canonical FROM r WHERE n = 1",
+    "ag_15": f"WITH {ST} SELECT n_nationkey AS city, round(least(min(lat), 4e1 + n_nationkey / 1e1), 6) AS south, round(greatest(max(lat), 4e1 + n_nationkey / 1e1), 6) AS north, round(least(min(lon), 2e0), 6) AS west, round(greatest(max(lon), 2e0), 6) AS east FROM st JOIN @nation ON country = n_nationkey GROUP BY n_nationkey",
+    "ag_16": f"WITH {SRC} SELECT count(*) AS total, count_if(active) AS active, count_if({TIER} = 'official') AS official, count_if({TIER} = 'linked_open_data') AS linked, count_if({TIER} = 'community') AS community FROM src",
+    "ag_17": f"WITH {SRC}, r AS (SELECT doc_id, min(CASE WHEN kind <> 'city' THEN CASE WHEN kind = 'enrichment' THEN 3 ELSE 4 END WHEN provider = 'office' THEN 0 WHEN provider = 'wikidata' THEN 1 ELSE 2 END) AS rank FROM @documents JOIN src ON source = id GROUP BY doc_id) SELECT doc_id, CASE rank WHEN 0 THEN 'official_identity' WHEN 1 THEN 'linked_open_data_identity' WHEN 2 THEN 'community_identity' WHEN 3 THEN 'enriched_only' ELSE 'unverified' END AS strength FROM r",
+    "ag_18": "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM @events WHERE value IS NOT NULL) SELECT event_type, max(CASE WHEN i = least(n - 1, CAST(floor(5e-1 * n) AS BIGINT)) THEN value END) AS p50, max(CASE WHEN i = least(n - 1, CAST(floor(9.5e-1 * n) AS BIGINT)) THEN value END) AS p95 FROM r GROUP BY event_type",
+    "ag_19": "WITH l AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS n, count(*) OVER (PARTITION BY event_type) AS samples FROM @events) SELECT event_type, value AS last_value, samples FROM l WHERE n = 1",
+    "ag_20": "SELECT CAST(sum(n_chars) AS BIGINT) AS bytes FROM @documents WHERE source LIKE 'src1%'",
+    "ag_21": f"WITH {ST}, t AS (SELECT country AS trip, k, lat, lon, lag(lat) OVER (PARTITION BY country ORDER BY k) AS rlat, lag(lon) OVER (PARTITION BY country ORDER BY k) AS rlon, seg FROM st) SELECT trip, count(*) AS stops, count(DISTINCT seg) AS countries, round(sum({D}) / 1e3, 3) AS km FROM t GROUP BY trip",
+    "ag_22": "SELECT o_custkey, CAST(CASE WHEN count(*) > 1 THEN greatest(60, ceil(max(o_orderkey % 1700) / 6e1) * 60) ELSE 1440 END AS BIGINT) AS bound FROM @orders GROUP BY o_custkey",
+    # windows
+    "wn_4": "SELECT l_orderkey AS city, l_linenumber AS station, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) = 1 AS is_primary FROM @lineitem",
+    "wn_11": "WITH r AS (SELECT lower(p_name) AS alias, p_size AS city, min(p_partkey) AS pos FROM @part GROUP BY 1, 2) SELECT alias, city, pos FROM r",
+    "so_5": f"WITH {ST} SELECT k, CAST(row_number() OVER (ORDER BY k % 300, k) AS BIGINT) AS position FROM st WHERE k % 300 <= 120",
+    "so_8": f"WITH {ST} SELECT k, CAST(k % 10 * 1000000 + k * 7 AS BIGINT) AS priority FROM st ORDER BY 2 DESC, 1 LIMIT 700",
+    "str_4": "WITH r AS (SELECT o_custkey, o_orderkey AS version, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM @orders) SELECT o_custkey, version, o_orderstatus FROM r WHERE n = 1",
+    "str_6": "WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM @events) SELECT user_id, event_id FROM r WHERE n <= 50",
+    "str_7": "SELECT event_id, 'relay/' || event_type AS scope FROM @events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, event_type FROM @events WHERE event_id % 2 = 1",
+    # filters
+    "flt_12": "WITH t AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 > 0 THEN c_custkey % 1500 END AS cost, c_custkey % 50 = 0 AS pinned FROM @customer) SELECT k FROM t WHERE pinned OR (cost IS NOT NULL AND cost BETWEEN 60 AND 900)",
+    "flt_19": "SELECT s_suppkey, ('Q' || CASE WHEN s_suppkey % 5 = 0 THEN 'x' ELSE '' END || s_suppkey) LIKE 'Q_%' AND s_suppkey % 5 <> 0 AS valid FROM @supplier",
+    "flt_20": "SELECT p_partkey FROM @part WHERE p_size % 9 IN (0, 1, 2, 3) AND p_partkey % 4 IN (0, 1)",
+    "flt_25": "WITH c AS (SELECT n_nationkey FROM @nation WHERE n_regionkey = 2), m AS (SELECT c_custkey FROM @customer WHERE c_nationkey IN (SELECT n_nationkey FROM c)) SELECT o_orderkey FROM @orders WHERE o_custkey IN (SELECT c_custkey FROM m)",
+    "flt_27": "SELECT DISTINCT source FROM @documents WHERE source NOT IN (SELECT DISTINCT source FROM @documents WHERE doc_id % 20 = 3)",
+    "fn_c4": f"WITH {SRC} SELECT id, {TIER} AS tier, CASE kind WHEN 'city' THEN 'city_identity' WHEN 'membership' THEN 'station_city_membership' ELSE 'enrichment' END AS role FROM src",
+    "fn_c5": "SELECT p_partkey, CASE substr(p_brand, 7, 1) WHEN '1' THEN 4 WHEN '2' THEN 3 WHEN '3' THEN 2 ELSE 1 END AS priority FROM @part",
+    "fn_c1": "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 2 = 0 THEN 'FR' END, CASE WHEN c_custkey % 3 = 0 THEN 'DE' END, CASE WHEN c_custkey % 5 = 0 THEN 'IT' END, CASE WHEN c_custkey % 7 = 0 THEN 'ES' END) AS cc, CASE WHEN c_custkey % 2 = 0 THEN 'explicit' WHEN c_custkey % 3 = 0 THEN 'registry' WHEN c_custkey % 5 = 0 THEN 'coordinate' WHEN c_custkey % 7 = 0 THEN 'source' ELSE 'unresolved' END AS reason FROM @customer",
+    "fn_s33": "WITH s AS (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'bus station' WHEN 1 THEN 'metro station' WHEN 2 THEN 'tram stop' WHEN 3 THEN 'airport railway station' WHEN 4 THEN 'high-speed station' WHEN 5 THEN 'railway platform' WHEN 6 THEN 'railway station' ELSE 'building' END AS t FROM @part) SELECT p_partkey, CASE WHEN t LIKE '%bus%' THEN 'bus' WHEN t LIKE '%metro%' OR t LIKE '%underground station%' THEN 'metro' WHEN t LIKE '%tram%' THEN 'tram' WHEN t LIKE '%airport railway%' THEN 'airport_rail' WHEN t LIKE '%high-speed%' OR t LIKE '%inter-city%' THEN 'high_speed_rail' WHEN t LIKE '%platform%' THEN 'platform' WHEN t LIKE '%station complex%' THEN 'station_complex' WHEN t LIKE '%railway%' OR t LIKE '%central station%' THEN 'mainline_rail' ELSE 'unknown' END AS station_kind FROM s",
+    # audits
+    "val_1": "WITH e AS (SELECT c_custkey AS node, c_nationkey AS target, c_custkey % 300 AS duration FROM @customer) SELECT 'target_out_of_bounds' AS finding, node FROM e WHERE target >= 22 UNION ALL SELECT 'zero_duration', node FROM e WHERE duration = 0",
+    "val_3": "WITH a AS (SELECT p_partkey, p_name, lag(p_name) OVER (ORDER BY p_partkey) AS before FROM @part) SELECT p_partkey FROM a WHERE before > p_name",
+    "val_4": "SELECT 'customers' AS what, (SELECT count(*) FROM @customer) = (SELECT count(DISTINCT c_custkey) FROM @customer) AS ok UNION ALL SELECT 'nations', (SELECT max(c_nationkey) FROM @customer) < (SELECT count(*) FROM @nation) UNION ALL SELECT 'orders', (SELECT count(*) FROM @orders o LEFT JOIN @customer ON o_custkey = c_custkey WHERE c_custkey IS NULL) = 0",
+    "val_7": "WITH s AS (SELECT s_suppkey AS id, s_suppkey % 37 AS qid, s_nationkey AS city, s_suppkey % 6 AS kind, s_suppkey % 4 AS anchor FROM @supplier), f AS (SELECT id, city >= 23 AS no_city, count(*) OVER (PARTITION BY qid) > 1 AND min(city) OVER (PARTITION BY qid) <> max(city) OVER (PARTITION BY qid) AS dup, kind = 5 AS not_rail, kind < 4 AND anchor = 0 AS no_anchor FROM s) SELECT id, no_city, dup, not_rail, no_anchor, CASE WHEN no_city OR dup OR not_rail THEN 'block_or_review' ELSE 'accepted_with_warning' END AS action FROM f WHERE no_city OR dup OR not_rail OR no_anchor",
+    "val_8": f"WITH {SRC} SELECT id, 'warning' AS severity, 'source_url' AS rule FROM src WHERE active AND {TIER} = 'official' AND id = 'src0' UNION ALL SELECT id, 'warning', 'community_membership' FROM src WHERE active AND kind = 'membership' AND {TIER} = 'community'",
+    "val_10": "SELECT s_suppkey, CASE WHEN s_suppkey % 37 = 0 THEN 'qid' ELSE '' END || CASE WHEN s_suppkey % 5 = 0 THEN '+uic' ELSE '' END AS evidence, CASE WHEN s_suppkey % 37 = 0 OR s_suppkey % 5 = 0 THEN 'corroborated' ELSE 'unverified' END AS status FROM @supplier",
+    "val_13": f"WITH {SRC} SELECT provider, bool_and(active) AS all_active, count(*) AS sources FROM src GROUP BY provider",
+    # documents, pages, props
+    "src_21": "SELECT page_id, CASE WHEN page_id % 7 = 0 THEN false WHEN page_id % 5 = 0 THEN page_id % 10 = 0 WHEN page_id % 3 = 0 THEN true ELSE page_id % 2 = 0 AND page_id % 4 = 0 END AS up_to_date FROM @pages",
+    "src_24": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY page_id % 25 ORDER BY page_id % 13 DESC, url DESC) AS n FROM @pages WHERE lower(url) LIKE '%html%' OR page_id % 3 > 0) SELECT page_id % 25 AS dataset, page_id, url FROM r WHERE n = 1",
+    "fn_s31": "SELECT page_id, CASE WHEN regexp_extract(url, '([^/?]*)([?].*)?$', 1) = '' THEN 'source.bin' ELSE regexp_extract(url, '([^/?]*)([?].*)?$', 1) END AS file_name FROM @pages",
+    "st_7": "SELECT item_id AS id, text FROM @benchmark WHERE item_id % 2 = 0 UNION ALL SELECT item_id, text FROM @benchmark WHERE item_id % 2 = 1",
+    "snk_5": "WITH u AS (SELECT o_custkey AS id, o_orderkey AS v, 0 AS new FROM @orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_custkey, o_orderkey, 1 FROM @orders WHERE o_orderkey % 5 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY new DESC, v DESC) AS n FROM u) SELECT id, v FROM r WHERE n = 1",
+    # contracts without code
+    "ct_1": "SELECT a, b, CAST(min(w) AS BIGINT) AS w FROM (SELECT c_nationkey AS a, c_custkey % 25 AS b, c_custkey % 500 + 5 AS w FROM @customer UNION ALL SELECT s_nationkey, s_suppkey % 25, s_suppkey % 400 + 9 FROM @supplier) AS t GROUP BY a, b",
+    "ct_3": "WITH m AS (SELECT s_suppkey AS old_id, s_nationkey + 1000 AS new_id FROM @supplier WHERE s_suppkey % 2 = 0) SELECT l_orderkey, l_linenumber, coalesce(new_id, l_suppkey) AS city FROM @lineitem LEFT JOIN m ON l_suppkey = old_id",
+    "ct_6": "SELECT count(*) >= 200 AS enough_documents, count(DISTINCT lang) >= 4 AS enough_languages, count_if(text IS NULL) = 0 AS no_null_text, max(n_chars) > 0 AS some_text FROM @documents",
+    "ct_9": "SELECT c_nationkey AS country, count(*) AS stations, count_if(c_acctbal < 0) AS backlog FROM @customer GROUP BY c_nationkey",
+    "ct_10": f"WITH {ST} SELECT country AS city, count(*) AS terminals, round(max(lat) - min(lat), 6) AS spread, CASE WHEN count(*) > 60 THEN 'centroid' ELSE 'main_station' END AS anchor FROM st GROUP BY country",
+}
+
+
+def _run(text: str):
+    tables = sorted(set(re.findall(r"@(\w+)", text)))
+    template = re.sub(r"@(\w+)", r"{\1}", text)
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return spark.sql(template, **{t: spark.read.parquet(f"{d}/{t}.parquet") for t in tables})
+
+    return run
+
+
+QUERIES = {k: _run(v) for k, v in COMMON.items()}
+ORACLE_SQL = {k: v.replace("@", "") for k, v in COMMON.items()}
