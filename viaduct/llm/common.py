@@ -53,7 +53,7 @@ _chunks: dict[str, bytes] = {}
 def _chunk_hashes(chunk: str) -> bytes:
     import xxhash
 
-    if len(_chunks) > 400_000:
+    if len(_chunks) > 120_000:
         _chunks.clear()
     found = _chunks[chunk] = b"".join([xxhash.xxh3_64_digest(w)[::-1] for w in WORD.findall(chunk)])
     return found

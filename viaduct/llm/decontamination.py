@@ -118,8 +118,8 @@ class Finder:
         for at, rows in keys.items():
             rows.sort()
             sorted_keys = np.array([r[0] for r in rows], np.uint64)
-            maybe = np.zeros(1 << 20, bool)
-            maybe[sorted_keys >> np.uint64(44)] = True
+            maybe = np.zeros(1 << 18, bool)
+            maybe[sorted_keys >> np.uint64(46)] = True
             self.found[at] = (sorted_keys, maybe, rows)
 
     def size_class(self, n: int) -> int:
@@ -139,7 +139,7 @@ class Finder:
             if (c, walk, t) not in self.found:
                 continue
             sorted_keys, maybe, rows = self.found[c, walk, t]
-            likely = np.nonzero(maybe[key >> np.uint64(44)] & whole)[0]
+            likely = np.nonzero(maybe[key >> np.uint64(46)] & whole)[0]
             lo, hi = np.searchsorted(sorted_keys, key[likely]), np.searchsorted(sorted_keys, key[likely], "right")
             for s, a, b in zip(starts[likely].tolist(), lo.tolist(), hi.tolist(), strict=True):
                 for _, item, place in rows[a:b]:

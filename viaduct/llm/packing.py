@@ -32,7 +32,7 @@ class WordCache:
     plain Latin range, or with a special token, are encoded whole. Both tables keep two
     generations of ``most`` entries, so frequent entries stay and memory is bounded."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 60_000):
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
