@@ -1,0 +1,112 @@
+"""Grid joins, polylines, names, audits and variants in SQL that both engines read.
+
+As in ``relational``, ``@table`` stands for a table. The few functions whose names differ between
+the engines are written for Spark and renamed for DuckDB by ``RENAMED``.
+"""
+
+from __future__ import annotations
+
+from viaduct.plans.relational import SRC, ST, TIER, _run, hav
+
+RENAMED = [
+    ("explode(sequence(", "unnest(generate_series("),
+    ("array_join(", "array_to_string("),
+    ("array_sort(array_distinct(", "list_sort(list_distinct("),
+    ("array_sort(collect_set(", "list_sort(list(DISTINCT "),
+    ("array_max(", "list_max("),
+]
+
+#: points of nations as polylines: customers in order of key
+LINE = "ln AS (SELECT c_nationkey AS line, c_custkey AS i, 3.6e1 + (c_custkey*37 % 250)/1e1 AS lat, -9e0 + (c_custkey*53 % 340)/1e1 AS lon FROM @customer)"
+STEP = f"sg AS (SELECT line, i, lat, lon, lag(lat) OVER (PARTITION BY line ORDER BY i) AS blat, lag(lon) OVER (PARTITION BY line ORDER BY i) AS blon FROM ln), d AS (SELECT *, coalesce({hav('blat', 'blon', 'lat', 'lon')}, 0e0) AS m FROM sg)"
+#: suppliers on a grid of 0.25 degrees, and each customer beside the nine cells around it
+GRID = "nd AS (SELECT s_suppkey AS node, 3.6e1 + (s_suppkey*91 % 250)/1e1 AS nlat, -9e0 + (s_suppkey*17 % 340)/1e1 AS nlon FROM @supplier), gr AS (SELECT *, CAST(floor(nlat*4e0) AS INT) AS cy, CAST(floor(nlon*4e0) AS INT) AS cx FROM nd)"
+NEAR = f"q0 AS (SELECT k, lat, lon, explode(sequence(CAST(floor(lat*4e0) AS INT) - 1, CAST(floor(lat*4e0) AS INT) + 1)) AS cy FROM st), q AS (SELECT k, lat, lon, cy, explode(sequence(CAST(floor(lon*4e0) AS INT) - 1, CAST(floor(lon*4e0) AS INT) + 1)) AS cx FROM q0), hit AS (SELECT k, node, {hav('lat', 'lon', 'nlat', 'nlon')} AS m FROM q JOIN gr USING (cy, cx))"
+PARTS = "pp AS (SELECT p_partkey AS k, p_name AS name, p_size AS city, p_partkey % 3 AS prio FROM @part)"
+DATED = "rt AS (SELECT p_partkey AS route, p_size % 4 AS route_type FROM @part)"
+
+COMMON = {
+    # scans and projections
+    "src_2": f"WITH {DATED} SELECT route, route_type FROM rt WHERE route_type = 2",
+    "src_3": f"WITH {DATED} SELECT route, route_type FROM rt",
+    "src_5": f"WITH {DATED}, t AS (SELECT l_orderkey AS trip, max(l_partkey) AS route FROM @lineitem JOIN rt ON l_partkey = route WHERE route_type = 2 GROUP BY l_orderkey) SELECT trip, route FROM t WHERE trip NOT IN (SELECT l_orderkey FROM @lineitem WHERE l_suppkey % 9 = 0)",
+    "src_6": f"WITH {DATED} SELECT l_orderkey AS trip, max(l_linestatus) AS service_id, max(route_type) AS route_type FROM @lineitem JOIN rt ON l_partkey = route GROUP BY l_orderkey",
+    "src_22": """SELECT page_id, array_max(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM @pages""",
+    "src_27": "SELECT page_id, substr(html, 1, 2) = '<!' OR substr(html, 1, 1) = '<' AS is_markup FROM @pages",
+    "prj_4": "SELECT s_suppkey, coalesce(n_name, CASE s_nationkey % 40 WHEN 30 THEN 'Elsewhere' END, 'Unknown') AS label FROM @supplier LEFT JOIN @nation ON s_nationkey % 40 = n_nationkey AND n_nationkey < 20",
+    "prj_6": "WITH g AS (SELECT c_nationkey AS a, c_custkey % 30 AS b, c_custkey AS pos FROM @customer), r AS (SELECT x.n_name AS a, y.n_name AS b, pos, row_number() OVER (PARTITION BY x.n_name, y.n_name ORDER BY pos DESC) AS n FROM g JOIN @nation x ON g.a = x.n_nationkey JOIN @nation y ON g.b = y.n_nationkey) SELECT a, b, pos FROM r WHERE n = 1",
+    "prj_9": "SELECT (SELECT count(*) FROM @customer) AS stations, (SELECT count(*) FROM @nation) AS cities, (SELECT count(*) FROM @orders) AS edges, 'cities.json' AS cities_path",
+    "snk_4": "SELECT DISTINCT least(c_nationkey, c_custkey % 25) AS a, greatest(c_nationkey, c_custkey % 25) AS b FROM @customer WHERE c_nationkey <> c_custkey % 25",
+    # filters
+    "flt_21": "SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'metro' WHEN 1 THEN 'tram' WHEN 2 THEN 'bus' WHEN 3 THEN 'ferry' ELSE 'rail' END IN ('metro', 'tram', 'bus', 'ferry') AS non_mainline FROM @part",
+    "flt_22": "SELECT s_suppkey, (s_suppkey % 3 = 0 OR upper(CASE WHEN s_nationkey < 12 THEN 'fr' ELSE 'de' END) IN ('FR', 'BE')) AND (s_suppkey % 5 = 0 OR s_suppkey % 7 IN (1, 2)) AS in_scope FROM @supplier",
+    "flt_24": "SELECT p_partkey, coalesce(upper(trim(CASE p_size % 3 WHEN 0 THEN ' exploite ' WHEN 1 THEN 'ferme' END)) = 'EXPLOITE', true) AS active FROM @part",
+    "flt_26": f"WITH {SRC}, t AS (SELECT DISTINCT source AS id FROM @documents WHERE doc_id % 10 = 1) SELECT id, provider FROM src WHERE id IN (SELECT id FROM t)",
+    "flt_28": "WITH c AS (SELECT s_suppkey AS chunk, CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey*17 % 340 / 1e1 END AS west, s_suppkey*17 % 340 / 1e1 + 3e0 AS east FROM @supplier) SELECT chunk FROM c WHERE chunk NOT IN (SELECT s_suppkey FROM @supplier WHERE s_suppkey % 7 = 0) AND (west IS NULL OR (west <= 2e1 AND east >= 1e1))",
+    # joins on a grid
+    "jn_8": f"WITH {PARTS}, x AS (SELECT k, 5e1 + (k*37 % 50)/1e2 AS lat, 2e0 + (k*53 % 70)/1e2 AS lon, split_part(name, ' ', 1) AS pre, 1 AS n FROM pp UNION ALL SELECT k, 5e1 + (k*37 % 50)/1e2, 2e0 + (k*53 % 70)/1e2, name, 2 FROM pp WHERE name LIKE '% %'), h AS (SELECT a.k, a.pre, a.n FROM x a JOIN x b ON a.pre = b.pre AND a.k <> b.k AND a.k % 20 = b.k % 20 WHERE {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 3e4), m AS (SELECT k, max(n) AS n FROM h GROUP BY k) SELECT pp.k, CASE m.n WHEN 1 THEN split_part(name, ' ', 1) ELSE name END AS stem FROM pp LEFT JOIN m ON pp.k = m.k",
+    "jn_12": f"WITH {ST}, {GRID}, {NEAR}, r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY m, node) AS n FROM hit WHERE m <= 2e4) SELECT k, node, CAST(n AS BIGINT) AS n, round(m, 2) AS m FROM r WHERE n <= 3",
+    "jn_13": f"WITH {ST}, {GRID}, {NEAR}, r AS (SELECT *, min(m) OVER (PARTITION BY k) AS best FROM hit) SELECT k, node FROM r WHERE m <= best + 1.5e3",
+    "jn_15": f"WITH {GRID}, a0 AS (SELECT node AS u, nlat AS lat, nlon AS lon, explode(sequence(cy - 1, cy + 1)) AS cy, cx FROM gr), a AS (SELECT u, lat, lon, cy, explode(sequence(cx - 1, cx + 1)) AS cx FROM a0) SELECT DISTINCT u, node AS v FROM a JOIN gr USING (cy, cx) WHERE u < node AND {hav('lat', 'lon', 'nlat', 'nlon')} <= 1.2e4",
+    "jn_19": "WITH g AS (SELECT c_nationkey AS a, c_custkey % 25 AS b, min(c_custkey) AS geom FROM @customer GROUP BY c_nationkey, c_custkey % 25), e AS (SELECT DISTINCT s_nationkey AS a, s_suppkey % 25 AS b FROM @supplier) SELECT e.a, e.b, coalesce(f.geom, r.geom) AS geom, f.geom IS NULL AND r.geom IS NOT NULL AS reversed FROM e LEFT JOIN g f ON e.a = f.a AND e.b = f.b LEFT JOIN g r ON e.a = r.b AND e.b = r.a",
+    "jn_23": f"WITH {ST}, {GRID}, {NEAR}, r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY m, node) AS n FROM hit WHERE m <= 8e3 + node % 5 * 1e3) SELECT k, node FROM r WHERE n = 1",
+    "gr_11": f"WITH {ST}, {GRID}, {NEAR} SELECT k % 50 AS pair, round(min(m), 2) AS best, count(*) AS candidates FROM hit GROUP BY k % 50",
+    "var_24": f"WITH {GRID} SELECT cy, cx, array_join(array_sort(collect_set(CAST(node AS STRING))), ',') AS nodes FROM gr GROUP BY cy, cx",
+    "fn_m26": f"WITH {GRID}, a AS (SELECT node, cx, explode(sequence(cy - 1, cy + 1)) AS cell_y FROM gr) SELECT node, cell_y, explode(sequence(cx - 1, cx + 1)) AS cell_x FROM a",
+    # polylines
+    "wn_5": f"WITH {LINE}, {STEP}, c AS (SELECT line, i, lat, lon, sum(m) OVER (PARTITION BY line ORDER BY i) AS run, sum(m) OVER (PARTITION BY line) AS total FROM d), r AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY i) AS n FROM c WHERE run >= total / 2e0) SELECT line, i, lat, lon FROM r WHERE n = 1",
+    "wn_7": f"WITH {LINE}, {STEP} SELECT line, CAST(sum(round(m)) AS BIGINT) AS metres FROM d GROUP BY line",
+    "wn_8": f"WITH {LINE}, {STEP}, w AS (SELECT line, i, lat, lon, blat, blon, CAST(greatest(1e0, ceil(m / 5e4)) AS INT) AS n FROM d WHERE blat IS NOT NULL), p AS (SELECT line, i, lat, lon, blat, blon, n, explode(sequence(1, n)) AS j FROM w) SELECT line, i, j, round(blat + (lat - blat) * j / n, 6) + 0e0 AS lat, round(blon + (lon - blon) * j / n, 6) + 0e0 AS lon FROM p",
+    "wn_9": "WITH s AS (SELECT l_orderkey AS line, l_linenumber AS i, l_suppkey % 3 AS p, lag(l_suppkey % 3) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM @lineitem) SELECT line, p, count(*) AS kept FROM s WHERE b IS NULL OR b <> p GROUP BY line, p",
+    "wn_10": f"WITH {LINE}, b AS (SELECT line, min(CASE WHEN i % 5 = 0 THEN i END) AS lo, max(CASE WHEN i % 7 = 0 THEN i END) AS hi FROM ln GROUP BY line) SELECT line, count(*) AS points, min(i) AS first_point, max(i) AS last_point FROM ln JOIN b USING (line) WHERE i BETWEEN lo AND hi GROUP BY line",
+    "flt_17": f"WITH {LINE}, {STEP} SELECT line, max(CASE WHEN (lat BETWEEN 4.4e1 AND 5.1e1 AND lon BETWEEN -1e0 AND 9e0) OR (least(lon, blon) <= 9e0 AND greatest(lon, blon) >= -1e0 AND least(lat, blat) <= 5.1e1 AND greatest(lat, blat) >= 4.4e1) THEN 1 ELSE 0 END) = 1 AS hit FROM sg GROUP BY line",
+    "ag_23": f"WITH {LINE} SELECT line, min(lat) AS south, max(lat) AS north, min(lon) AS west, max(lon) AS east FROM ln GROUP BY line",
+    "ag_24": f"WITH {ST} SELECT count(*) AS cities, count_if(k % 300 > 200) AS culled_time, count_if(bal < 0e0) AS culled_balance, count_if(lat > 5.5e1) AS culled_view, count_if(k % 300 <= 200 AND bal >= 0e0 AND lat <= 5.5e1) AS shown FROM st",
+    "gr_12": f"WITH {LINE}, {STEP} SELECT line, i, CASE WHEN m < 2e5 AND i % 3 = 0 THEN 'rail' WHEN i % 3 < 2 AND m < 9e5 THEN 'shape' ELSE 'straight' END AS geometry FROM d WHERE blat IS NOT NULL",
+    # names
+    "fn_s6": "SELECT page_id, array_join(array_sort(array_distinct(regexp_extract_all(html, '([0-9][0-9][0-9][0-9][0-9][0-9][0-9]+)', 1))), ',') AS runs FROM @pages",
+    "fn_s7": "SELECT page_id, array_join(regexp_extract_all(url, '([0-9]+)', 1), ',') AS runs FROM @pages",
+    "fn_s15": "SELECT c_custkey, 'v1;t=' || c_nationkey || ',' || c_custkey % 25 || ';fi=' || c_custkey % 10 || ';fp=' || c_custkey % 100 || CASE WHEN c_custkey % 2 = 0 THEN ';rt=1' ELSE '' END AS hash FROM @customer",
+    "fn_s16": "WITH h AS (SELECT c_custkey AS k, 'v1;t=' || c_nationkey || ';fi=' || CASE WHEN c_custkey % 9 = 0 THEN 'x' ELSE '' || c_custkey % 10 END AS hash FROM @customer) SELECT k, split_part(hash, ';', 1) = 'v1' AS known, try_cast(substr(split_part(hash, ';', 2), 3) AS INT) AS trip, try_cast(substr(split_part(hash, ';', 3), 4) AS INT) AS interest FROM h",
+    "fn_s17": "WITH h AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 9 = 0 THEN 'x' ELSE '' || c_custkey % 10 END AS v FROM @customer) SELECT k, coalesce(try_cast(v AS INT), 5) AS interest FROM h",
+    "fn_s21": f"WITH {PARTS}, r AS (SELECT city, name, row_number() OVER (PARTITION BY city ORDER BY CASE WHEN lower(name) LIKE '%1%' THEN 1 ELSE 0 END, length(name) DESC, k DESC) AS n FROM pp) SELECT city, name FROM r WHERE n = 1",
+    "fn_s22": f"WITH {PARTS} SELECT k, CASE WHEN k % 11 = 0 THEN NULL ELSE replace(CASE WHEN name LIKE '% 1' THEN substr(name, 1, length(name) - 2) ELSE name END, 'St ', 'Saint ') END AS shown FROM pp",
+    "fn_s28": "SELECT p_partkey, 'feed|' || p_size || '|rail|' || lower(p_name) || '>' || lower(p_brand) AS pattern_key FROM @part",
+    "fn_m21": "WITH p AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 8 = 0 THEN 'n/a' ELSE c_custkey % 90 || ',' || c_custkey % 180 END AS s FROM @customer) SELECT k, try_cast(split_part(s, ',', 1) AS DOUBLE) AS lat, try_cast(split_part(s, ',', 2) AS DOUBLE) AS lon FROM p",
+    "fn_m24": f"WITH {PARTS} SELECT a.k AS a, b.k AS b FROM pp a JOIN pp b ON a.city = b.city AND a.prio = b.prio AND a.k < b.k WHERE abs(a.k*37 % 900 - b.k*37 % 900) < 5.8e-1*12*(length(a.name) + length(b.name))/2e0 AND abs(a.k*53 % 600 - b.k*53 % 600) < 14",
+    "var_2": f"WITH {PARTS}, r AS (SELECT city, name, row_number() OVER (PARTITION BY city ORDER BY prio DESC, length(name), name) AS n FROM pp) SELECT city, name FROM r WHERE n = 1",
+    "var_8": "SELECT s_suppkey, coalesce('station-uic-' || CASE WHEN s_suppkey % 3 > 0 THEN 8700000 + s_suppkey END, 'station-sncf-' || lower(replace(s_name, '#', '-'))) AS station_id FROM @supplier",
+    "var_42": "SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN (p_partkey % 7 + 1) || '. ' || p_name WHEN p_partkey % 10 = 1 THEN 'via ' || p_name WHEN p_partkey % 10 < 6 THEN p_name || ' (' || p_size || 'min)' ELSE p_name END AS label FROM @part",
+    # audits and manifests
+    "val_2": "SELECT c_custkey AS geometry, CASE WHEN c_nationkey >= 23 THEN 'index' ELSE 'points' END AS finding FROM @customer WHERE c_nationkey >= 23 OR c_custkey % 40 < 1",
+    "val_6": "SELECT o_orderkey, o_custkey || '-' || o_orderkey % 25 LIKE '%-%' AND o_totalprice >= 0e0 AS ok FROM @orders",
+    "val_11": "SELECT s_nationkey AS station, array_join(array_sort(collect_set(lower(s_name))), ',') AS labels FROM @supplier GROUP BY s_nationkey",
+    "val_12": f"WITH {GRID} SELECT node, CAST(round({hav('nlat', 'nlon', 'nlat + 1e-3', 'nlon')}) AS BIGINT) AS metres FROM gr WHERE node % 3 = 0",
+    "val_14": "SELECT p_partkey AS city, lower(p_name) AS variant, 'label' AS kind FROM @part UNION ALL SELECT p_partkey, lower(p_brand), 'alias' FROM @part WHERE p_size > 10",
+    "var_6": f"WITH {ST}, b AS (SELECT country, min(lat) AS south, max(lat) AS north FROM st WHERE k % 30 = 0 GROUP BY country) SELECT n_nationkey AS city, south, north FROM @nation LEFT JOIN b ON n_nationkey = country",
+    "var_10": "WITH c AS (SELECT DISTINCT least(n_nationkey, n_regionkey) AS a, greatest(n_nationkey, n_regionkey) AS b FROM @nation) SELECT s_suppkey, a IS NOT NULL AS known FROM @supplier LEFT JOIN c ON least(s_nationkey, s_suppkey % 5) = a AND greatest(s_nationkey, s_suppkey % 5) = b",
+    "var_12": f"WITH {SRC} SELECT id, CASE WHEN active THEN 'production_ready' ELSE 'draft' END = 'production_ready' AS promoted FROM src",
+    "var_16": f"WITH {SRC} SELECT provider, max(CASE WHEN kind = 'city' THEN 1 ELSE 0 END) = 1 AS has_identity FROM src GROUP BY provider",
+    "var_18": f"WITH {SRC} SELECT id, provider || ':' || kind AS coverage_key, {TIER} AS tier FROM src",
+    "var_23": "WITH p AS (SELECT c_custkey AS pos, c_custkey % 700 AS cell FROM @customer), f AS (SELECT cell, min(pos) AS pos FROM p GROUP BY cell) SELECT cell, pos, CAST(row_number() OVER (ORDER BY pos) - 1 AS BIGINT) AS node FROM f",
+    "var_43": "SELECT p_partkey, CASE WHEN p_size >= 45 THEN 7 WHEN p_size >= 30 THEN 5 ELSE 3 END AS radius FROM @part",
+    "var_45": "WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM @events WHERE event_type LIKE '%i%') SELECT user_id, event_type AS kind FROM r WHERE n = 1",
+    "var_46": "WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM @events WHERE value > 0e0) SELECT user_id, value AS duration FROM r WHERE n = 1",
+    "var_48": "SELECT c_custkey, least(c_custkey % 100, c_custkey % 70) AS lo, greatest(c_custkey % 100, c_custkey % 70) AS hi FROM @customer WHERE c_nationkey IN (SELECT n_nationkey FROM @nation WHERE n_nationkey < 21)",
+    "var_49": "SELECT o_orderkey, least(o_orderkey % 2000, greatest(60, o_custkey % 1440)) AS capped FROM @orders",
+    "str_2": "SELECT page_id FROM @pages WHERE page_id NOT IN (SELECT page_id FROM @pages WHERE page_id % 3 = 0)",
+    "str_8": f"WITH {SRC}, c AS (SELECT DISTINCT source AS id FROM @documents WHERE doc_id % 6 = 0) SELECT src.id, CASE WHEN NOT active THEN 'skip' WHEN c.id IS NULL THEN 'full' ELSE 'incremental' END AS plan FROM src LEFT JOIN c ON src.id = c.id",
+    "ct_2": "SELECT s_suppkey FROM @supplier WHERE s_nationkey IN (SELECT n_nationkey FROM @nation WHERE n_regionkey IN (1, 3))",
+    "ct_7": "SELECT DISTINCT l_suppkey AS place, n_name AS country FROM @lineitem JOIN @supplier ON l_suppkey = s_suppkey LEFT JOIN @nation ON s_nationkey = n_nationkey AND n_nationkey <> 4",
+    "ct_8": "WITH p AS (SELECT DISTINCT c_nationkey AS a, c_custkey % 25 AS b FROM @customer), e AS (SELECT DISTINCT s_nationkey AS a, s_suppkey % 25 AS b FROM @supplier) SELECT p.a, p.b FROM p LEFT JOIN e ON p.a = e.a AND p.b = e.b WHERE e.a IS NULL",
+}
+
+
+def _duck(text: str) -> str:
+    for ours, theirs in RENAMED:
+        text = text.replace(ours, theirs)
+    return text.replace("AS STRING)", "AS VARCHAR)").replace("@", "")
+
+
+QUERIES = {k: _run(v) for k, v in COMMON.items()}
+ORACLE_SQL = {k: _duck(v) for k, v in COMMON.items()}
