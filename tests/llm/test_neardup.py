@@ -29,6 +29,13 @@ def brute(texts):
     return {i: root(i) for i in ids}
 
 
+def brute_links(texts):
+    sets = {i: frozenset(shingles(t).tolist()) for i, t in texts.items()}
+    distinct = set(sets.values()) - {frozenset()}
+    near = lambda a, b: a != b and len(a & b) >= 0.8 * len(a | b)
+    return {i: sum(near(s, o) for o in distinct) if s else 0 for i, s in sets.items()}
+
+
 def corpus(n, seed):
     rng = random.Random(seed)
     word = lambda: f"w{rng.randint(0, 5000)}"
@@ -51,8 +58,9 @@ def test_bands():
 def test_classes_match_brute_force(spark):
     texts = corpus(250, 1) | {900: "", 901: None, 902: "?!", 903: "one", 904: "One."}
     df = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in texts.items()], SCHEMA)
-    got = {r.doc_id: r.class_id for r in neardup.near_classes(df).collect()}
-    assert got == brute(texts)
+    found = neardup.near_classes(df).collect()
+    assert {r.doc_id: r.class_id for r in found} == brute(texts)
+    assert {r.doc_id: r.n_links for r in found} == brute_links(texts)
 
 
 def test_one_large_group_of_near_copies(spark):
@@ -68,6 +76,7 @@ def test_one_large_group_of_near_copies(spark):
     found = neardup.near_classes(df, small=4).collect()
     want = brute(texts)
     assert {r.doc_id: r.class_id for r in found} == want
+    assert {r.doc_id: r.n_links for r in found} == brute_links(texts)
     kept = {r.doc_id for r in neardup.drop_near_duplicates(df).collect()}
     assert kept == set(want.values())
 
@@ -86,7 +95,7 @@ def test_compare_block_links_all_components():
     rng = np.random.default_rng(1)
     base = np.unique(rng.integers(0, 2**60, 5000))
     sets = [np.sort(np.concatenate([base[: 4500 + 20 * i], rng.integers(0, 2**60, 5)])) for i in range(20)]
-    found = neardup.compare_block([(i, i, s) for i, s in enumerate(sets)], None, 0.8)
+    found = neardup.compare_block([(i, i, s) for i, s in enumerate(sets)], [], 0.8)
     assert len(found) == 19
     assert len(neardup.compare_block([(0, 0, sets[0])], [(1, 1, sets[1]), (2, 2, rng.integers(0, 9, 3))], 0.8)) == 1
 

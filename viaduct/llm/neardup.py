@@ -7,13 +7,15 @@ verified on their full shingle sets. Documents with equal sets are one node from
 Large groups never meet as all pairs. A small bucket gives its pairs, a large one links its members
 to a few leaders picked by hash. Verified links form components; then every large bucket that
 still holds several components is compared whole, block against block, in tasks of bounded size:
-two documents of one bucket are either in one class already or compared exactly.
+two documents of one bucket are either in one class already or compared exactly. Links are counted
+the same way: in a class that a large bucket feeds, each block of texts is compared with each
+other one and gives one count a text, so no link goes missing and no pair is written out.
 
 Defined results: a text without a word (null, empty, punctuation) is a class of its own document;
 texts below five words have one shingle; repeated rows and equal sets share a class; any length is
 read whole; an empty table gives no rows; other columns are kept aside. ``class_id`` is the least
-doc_id of the class (nulls last), ``n_links`` the verified links of the document's text to texts
-with other shingle sets, where links inside a class that is already joined aren't all looked for.
+doc_id of the class (nulls last), ``n_links`` the links of the document's text to texts with other
+shingle sets.
 """
 
 from __future__ import annotations
@@ -92,18 +94,8 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.where(length).where(near).select("u", "v")
 
 
-def compare_block(left: list, right: list | None, threshold: float) -> list[tuple[int, int]]:
-    """Links between members ``(node, component, set)`` of different components, one list against
-    another or against itself; pairs that earlier links have joined are left out."""
-    members = left + (right or [])
-    parent: dict[int, int] = {}
-
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+def near_matrix(left: list, members: list, threshold: float) -> np.ndarray:
+    """Which of ``members``, whose first are ``left``, are near each of ``left``."""
     sizes = np.array([len(s) for _, _, s in members], np.int64)
     vocabulary, at = np.unique(np.concatenate([s for _, _, s in members]), return_inverse=True)
     row = np.repeat(np.arange(len(members)), sizes)
@@ -117,10 +109,24 @@ def compare_block(left: list, right: list | None, threshold: float) -> list[tupl
         shared += dense[: len(left)] @ dense.T
         lo = hi
     total = sizes[: len(left), None] + sizes[None, :] - shared
-    near = shared >= threshold * total - 1e-6
+    return shared >= threshold * total - 1e-6
+
+
+def compare_block(left: list, right: list, threshold: float) -> list[tuple[int, int]]:
+    """Links between members ``(node, component, set)`` of different components, one list against
+    another or, with no ``right``, against itself; pairs that earlier links have joined are left out."""
+    members = left + right
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
     found = []
-    for i, j in zip(*np.nonzero(near), strict=True):
-        if j > i if right is None else j >= len(left):
+    for i, j in zip(*np.nonzero(near_matrix(left, members, threshold)), strict=True):
+        if j >= len(left) if right else j > i:
             a, b = root(members[i][1]), root(members[j][1])
             if a != b:
                 parent[a] = b
@@ -128,13 +134,24 @@ def compare_block(left: list, right: list | None, threshold: float) -> list[tupl
     return found
 
 
-def compare_rest(rest: DataFrame, sets: DataFrame, threshold: float, block: int = 256) -> DataFrame:
-    """Links across components inside buckets ``(key, node, component, n_bucket)``."""
+def count_block(left: list, right: list, threshold: float) -> list[tuple[int, int]]:
+    """(node, links) of one list against another or, with no ``right``, against itself."""
+    near = near_matrix(left, left + right, threshold)
+    if right:
+        near = near[:, len(left) :]
+        counts = [*near.sum(axis=1), *near.sum(axis=0)]
+    else:
+        counts = near.sum(axis=1) - 1
+    return [(node, int(n)) for (node, _, _), n in zip(left + right, counts, strict=True) if n]
+
+
+def blockwise(groups: DataFrame, sets: DataFrame, compare, columns: list[str], threshold: float, block: int = 256) -> DataFrame:
+    """Runs ``compare`` on each pair of blocks of the groups ``(key, node, component, n_group)``."""
     import pandas as pd
 
-    blocks = F.ceil(F.col("n_bucket") / F.lit(block)).cast("int")
+    blocks = F.ceil(F.col("n_group") / F.lit(block)).cast("int")
     mine = F.pmod(F.xxhash64("node", "key"), blocks).cast("int")
-    dealt = rest.withColumn("blocks", blocks).withColumn("b", mine)
+    dealt = groups.withColumn("blocks", blocks).withColumn("b", mine)
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "b", "node", "component")
     dealt = dealt.join(sets, "node")
@@ -142,19 +159,34 @@ def compare_rest(rest: DataFrame, sets: DataFrame, threshold: float, block: int
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [(int(n), int(c), np.asarray(s)) for n, c, s in zip(pdf["node"], pdf["component"], pdf["s"], strict=True)]
         x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
-        if x == y:
-            found = compare_block(rows, None, threshold)
-        else:
-            left = [r for r, b in zip(rows, pdf["b"], strict=True) if b == x]
-            right = [r for r, b in zip(rows, pdf["b"], strict=True) if b == y]
-            found = compare_block(left, right, threshold) if left and right else []
-        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+        left = [r for r, b in zip(rows, pdf["b"], strict=True) if b == x]
+        right = [r for r, b in zip(rows, pdf["b"], strict=True) if b != x]
+        found = compare(left, right, threshold) if left and (right or x == y) else []
+        return pd.DataFrame(found, columns=columns, dtype="int64")
+
+    return dealt.groupBy("key", "x", "y").applyInPandas(task, ", ".join(f"{c} long" for c in columns))
+
+
+def compare_rest(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links across components inside buckets ``(key, node, component, n_group)``."""
+    return blockwise(rest, sets, compare_block, ["u", "v"], threshold)
+
+
+def count_links(links: DataFrame, members: DataFrame, crowded: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(node, n_links): in the classes ``crowded`` of ``members`` (node, component) from all pairs, elsewhere from ``links``."""
+    inside = members.join(crowded, "component", "left_semi")
+    sizes = inside.groupBy("component").agg(F.count("*").alias("n_group")).where("n_group > 1")
+    groups = inside.join(sizes, "component").withColumn("key", F.col("component"))
+    whole = blockwise(groups, sets, count_block, ["node", "n"], threshold)
+    ends = links.select(F.explode(F.array("u", "v")).alias("node"), F.lit(1).cast("long").alias("n")).join(inside, "node", "left_anti")
+    return whole.union(ends).groupBy("node").agg(F.sum("n").alias("n_links"))
 
-    return dealt.groupBy("key", "x", "y").applyInPandas(task, "u long, v long")
 
+def near_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall: float = 0.995, small: int = 8, leaders: int = 3, counted: bool = True) -> DataFrame:
+    """One row a document: doc_id, rid, class_id, keeper, n_links; ``keeper`` is the rid of the document that stays.
 
-def near_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall: float = 0.995, small: int = 8, leaders: int = 3) -> DataFrame:
-    """One row a document: doc_id, rid, class_id, keeper, n_links; ``keeper`` is the rid of the document that stays."""
+    Without ``counted`` links aren't counted and ``n_links`` is null.
+    """
     bands, rows = choose_bands(threshold, recall)
     signed = cut(signatures(docs, bands, rows, size))
     # equal sets are one node, and one of their rows lends its text
@@ -163,8 +195,8 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall:
     lender = nodes.select("node", "rid")
     member = signed.where("node is not null").select("node", F.posexplode("bands").alias("band", "hash"))
     member = member.select(F.xxhash64("band", "hash").alias("key"), "node").distinct()
-    counted = member.groupBy("key").agg(F.count("*").alias("n_bucket"), *[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"l{i}") for i in range(leaders)]).where("n_bucket > 1")
-    full = cut(member.join(counted, "key"))
+    shared = member.groupBy("key").agg(F.count("*").alias("n_bucket"), *[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"l{i}") for i in range(leaders)]).where("n_bucket > 1")
+    full = cut(member.join(shared, "key"))
     few = full.where(F.col("n_bucket") <= small)
     pairs = few.groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"))
     pairs = pairs.select(F.explode("m").alias("u"), "m").select("u", F.explode("m").alias("v")).where("u < v")
@@ -179,20 +211,25 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall:
     links = cut(verify(pairs, sets, threshold))
     joined = components(links)
     label = lambda df: df.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = label(many.select("key", "node", "n_bucket"))
+    open_ = label(many.select("key", "node", F.col("n_bucket").alias("n_group")))
     split = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     rest = open_.join(split, "key", "left_semi")
     more = cut(compare_rest(rest, sets, threshold).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     if not more.isEmpty():
         links = links.union(more).distinct()
         joined = components(links)
-    degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    known = label(nodes).join(degree, "node", "left")
+    known = label(nodes)
+    if counted:
+        members = known.select("node", "component")
+        crowded = label(many.select("node").distinct()).select("component").distinct()
+        known = known.join(count_links(links, members, crowded, sets, threshold), "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    else:
+        known = known.withColumn("n_links", F.lit(None).cast("long"))
     classes = known.groupBy("component").agg(first("doc_id", "rid")).select("component", F.col("first.doc_id").alias("class_id"), F.col("first.rid").alias("keeper"))
     known = known.join(classes, "component").select("node", "class_id", "keeper", "n_links")
     out = signed.select("doc_id", "rid", "node").join(known, "node", "left")
     alone = F.col("node").isNull()
-    return out.select("doc_id", "rid", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("rid")).otherwise(F.col("keeper")).alias("keeper"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", "rid", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("rid")).otherwise(F.col("keeper")).alias("keeper"), F.when(alone & F.lit(counted), F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
 
 
 def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
@@ -208,7 +245,7 @@ def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each class, the one with the least doc_id; of repeats of that row one stays."""
-    found = near_classes(docs)
+    found = near_classes(docs, counted=False)
     drop = cut(found.where("rid <> keeper").select("rid").distinct())
     rest = docs.withColumn("rid", F.xxhash64("doc_id", "text")).join(drop, "rid", "left_anti")
     numbered = rest.withColumn("copy", F.row_number().over(Window.partitionBy("rid").orderBy(F.lit(0))))
