@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from viaduct.llm import pii, quality
 
@@ -130,6 +131,15 @@ def test_disclosing_terms(spark):
     assert pii.spans(df.limit(0)).count() == 0
 
 
+def test_entities_of_few_documents_and_copies(spark):
+    """A term counts for an entity of one or two documents, and copies don't switch it off."""
+    texts = ["xanadu anna@solo.org"] + ["quixote call bob@pair.org", "bob@pair.org is quixote"] + ["vermilion paid eve@many.org"] * 40
+    texts += [f"vermilion {w} eve@many.org" for w in ("sent", "took", "held")] + ["call paid sent took held"] * 1956
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = {r.doc_id: [texts[r.doc_id][x.start : x.end] for x in r.terms] for r in pii.spans(df).where(F.size("terms") > 0).collect()}
+    assert out == {0: ["xanadu"], 1: ["quixote"], 2: ["quixote"], **{i: ["vermilion"] for i in range(3, 46)}}
+
+
 def test_query_digest(spark, tmp_path):
     texts, df = corpus(spark)
     df.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))

@@ -2,11 +2,14 @@
 
 Pattern matches are the protected entities. Words near a mention are terms, and corpus
 co-occurrence estimates what a term reveals: with N documents, n(c) holding the entity, n(t)
-holding the term and n(t, c) distinct contexts that hold both, disclosure is PMI(t; c) as a share
-of the entity's information, ``log(N n(t,c) / (n(t) n(c))) / log(N / n(c))``, 1 if the term gives
-the entity away. Terms of at least ``support`` contexts are removed where disclosure reaches
-``remove``, generalised to their kind of word where it reaches ``generalise``, and left otherwise.
-Identical contexts, as in copies of a text, count once.
+holding the term and n(t, c) holding both, disclosure is PMI(t; c) as a share of the entity's
+information, ``log(N n(t,c) / (n(t) n(c))) / log(N / n(c))``, 1 if the term gives the entity away.
+All counts are over documents, copies included. A pair counts if ``support`` documents hold both,
+or fewer where chance explains that in at most ``chance`` of cases: with k documents in common, the
+expected number of sets of k documents that hold both, ``C(n(t),k) C(n(c),k) / C(N,k)``, bounds the
+probability from above. So a term of a single document tells of an entity of that document only
+once N reaches ``1 / chance``. Terms are removed where disclosure reaches ``remove``, generalised
+to their kind of word where it reaches ``generalise``, and left otherwise.
 
 Defined results: null and empty texts have no span; texts of any length are read whole; repeated
 rows count as documents each and get the same spans; ties are kept, as thresholds are inclusive;
@@ -122,7 +125,7 @@ def document_frequency(docs: DataFrame, most: int = 200_000) -> DataFrame:
         out = lambda: pa.RecordBatch.from_pydict({"term": list(seen), "n": list(seen.values())}, pa.schema([("term", pa.string()), ("n", pa.int64())]))
         for batch in batches:
             for text in batch.column("text"):
-                seen.update({w for w in WORD.findall((text.as_py() or "").lower()) if len(w) >= 3})
+                seen.update({w.lower() for w in WORD.findall(text.as_py() or "") if len(w) >= 3})
                 if len(seen) >= most:
                     yield out()
                     seen.clear()
@@ -132,23 +135,25 @@ def document_frequency(docs: DataFrame, most: int = 200_000) -> DataFrame:
     return docs.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def disclosing(found: DataFrame, docs: DataFrame, support: int, threshold: float) -> DataFrame:
+def disclosing(found: DataFrame, docs: DataFrame, support: int, threshold: float, chance: float = 1e-3) -> DataFrame:
     """(entity, term, disclosure) at or above the threshold."""
     n = found.count()
-    pairs = found.select(F.explode("terms").alias("x")).select("x.entity", "x.term", "x.context").distinct()
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_tc")).where(F.col("n_tc") >= support)
+    pairs = found.select(F.explode(F.array_distinct(F.transform("terms", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x")).select("x.entity", "x.term")
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_tc"))
     entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_c"))
-    both = pairs.join(entities, "entity").join(document_frequency(docs), "term")
-    # distinct contexts can outnumber documents, so the joint count is held to what documents allow
-    joint = F.least("n_tc", "n_c", "n_t")
-    told = F.log(F.lit(float(n)) * joint / (F.col("n_t") * F.col("n_c"))) / F.log(F.lit(float(n)) / F.col("n_c"))
-    return both.where(F.col("n_c") < n).withColumn("disclosure", told).where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
+    both = pairs.join(entities, "entity").join(document_frequency(docs), "term").where(F.col("n_c") < n)
+    # the factors of C(n_t,k) C(n_c,k) / C(n,k), asked for below the support only
+    factor = lambda acc, i: acc * (F.col("n_t") - i) * (F.col("n_c") - i) / ((F.lit(float(n)) - i) * (i + 1))
+    by_chance = F.aggregate(F.sequence(F.lit(0), F.least(F.col("n_tc"), F.lit(support)).cast("int") - 1), F.lit(1.0), factor)
+    told = F.log(F.lit(float(n)) * F.col("n_tc") / (F.col("n_t") * F.col("n_c"))) / F.log(F.lit(float(n)) / F.col("n_c"))
+    both = both.where((F.col("n_tc") >= support) | (by_chance <= chance))
+    return both.withColumn("disclosure", told).where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
 
 
-def spans(docs: DataFrame, support: int = 3, generalise: float = 0.8, remove: float = 0.95, reach: int = 8) -> DataFrame:
+def spans(docs: DataFrame, support: int = 3, generalise: float = 0.8, remove: float = 0.95, reach: int = 8, chance: float = 1e-3) -> DataFrame:
     """doc_id, rid, ``base`` and ``terms``: term spans with their disclosure and whether they are removed."""
     found = cut(find(docs, reach))
-    risky = disclosing(found, docs, support, generalise)
+    risky = disclosing(found, docs, support, generalise, chance)
     mentions = found.select("rid", F.explode("terms").alias("x")).select("rid", "x.entity", "x.term", "x.start", "x.end").distinct()
     hit = mentions.join(risky, ["entity", "term"]).groupBy("rid", "start", "end").agg(F.max("disclosure").alias("disclosure"))
     per_doc = hit.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(4).alias("ord"), "end", "disclosure", (F.col("disclosure") >= remove).alias("removed")))).alias("terms"))
