@@ -140,6 +140,34 @@ def test_entities_of_few_documents_and_copies(spark):
     assert out == {0: ["xanadu"], 1: ["quixote"], 2: ["quixote"], **{i: ["vermilion"] for i in range(3, 46)}}
 
 
+def test_terms_far_from_a_mention_and_without_one(spark):
+    """A term holds over whole texts: far from the mention, a second time, and where no entity is written out."""
+    far = "plain filler " * 60
+    texts = [f"Zorblax {far} anna@town.org {far} zorblax"] * 6 + [f"{far} ask zorblax, or anna"] + ["plain filler ask"] * 2000 + [None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = {r.doc_id: [texts[r.doc_id][x.start : x.end] for x in r.terms] for r in pii.spans(df).where(F.size("terms") > 0).collect()}
+    assert out == {**{i: ["Zorblax", "zorblax"] for i in range(6)}, 6: ["zorblax"]}
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert all("orblax" not in (t or "") for t in clean.values()) and "[EMAIL]" in clean[0] and "anna" in clean[6]
+    assert all(clean[i] == texts[i] for i in range(7, len(texts)))
+
+
+def test_places_of_words():
+    text = "abc abcabc_abc éabc abc, a@abc.de ABC abc.abc 1abc abc"
+    spans = plain_spans(text)
+    want = [m.span() for m in re.finditer(r"\w+", text) if m[0] in ("abc", "ABC") and not any(a < m.end() and m.start() < b for a, _, b in spans)]
+    few = {"abc", "ABC"}
+    assert len(want) == 6 and sorted(pii.places(text, few, spans)) == want == pii.places(text, few | {f"x{i}" for i in range(20)}, spans)
+
+
+def test_sieve_passes_every_term(spark):
+    terms = [f"é{i}" for i in range(3000)]
+    table = pii.sieve(spark.createDataFrame([(t,) for t in terms], "term string"))
+    assert all(pii.passes(table, t) for t in terms)
+    assert sum(pii.passes(table, f"x{i}") for i in range(3000)) < 60
+    assert not pii.passes(pii.sieve(spark.createDataFrame([], "term string")), "x")
+
+
 def test_query_digest(spark, tmp_path):
     texts, df = corpus(spark)
     df.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))

@@ -1,14 +1,15 @@
 """Personal data: fixed patterns and information-theoretic sanitisation.
 
-Pattern matches are the protected entities. Words near a mention are terms, and corpus
-co-occurrence estimates what a term reveals: with N documents, n(c) holding the entity, n(t)
+Pattern matches are the protected entities. Words of three characters or more outside the matches
+are terms, and co-occurrence in whole documents estimates what a term reveals: with N documents, n(c) holding the entity, n(t)
 holding the term and n(t, c) holding both, disclosure is PMI(t; c) as a share of the entity's
 information, ``log(N n(t,c) / (n(t) n(c))) / log(N / n(c))``, 1 if the term gives the entity away.
 All counts are over documents, copies included. A pair counts if ``support`` documents hold both,
 or fewer where chance explains that in at most ``chance`` of cases: with k documents in common, the
 expected number of sets of k documents that hold both, ``C(n(t),k) C(n(c),k) / C(N,k)``, bounds the
 probability from above. So a term of a single document tells of an entity of that document only
-once N reaches ``1 / chance``. Terms are removed where disclosure reaches ``remove``, generalised
+once N reaches ``1 / chance``. A term is judged by the entity it tells most of, and holds wherever it
+stands in any document, whether or not that writes the entity out. Terms are removed where disclosure reaches ``remove``, generalised
 to their kind of word where it reaches ``generalise``, and left otherwise.
 
 Defined results: null and empty texts have no span; texts of any length are read whole; repeated
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +63,8 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
 
 
 def occurrences(text: str, spans: list[tuple[int, int, int]], reach: int) -> tuple[list[int], list[dict]]:
-    """Distinct entities of a text, and the terms within ``reach`` words of each mention."""
+    """Distinct entities of a text, and the terms within ``reach`` words of each mention. ``spans`` reads whole
+    texts instead; tests use this as an account of what stands near a mention."""
     import xxhash
 
     entities, out, taken = [], [], set()
@@ -89,13 +92,24 @@ def occurrences(text: str, spans: list[tuple[int, int, int]], reach: int) -> tup
 SPANS = "array<struct<start:bigint,ord:int,end:bigint>>"
 
 
-def find(docs: DataFrame, reach: int = 8) -> DataFrame:
-    """doc_id, rid, base spans, entities and term occurrences of each document."""
+def outside(text: str, spans: list[tuple[int, int, int]]):
+    """Matches of the terms of a whole text: words of three characters or more that touch no base span."""
+    at, reached = 0, 0  # spans before ``at`` start before the word's end; the furthest of their ends
+    for m in WORD.finditer(text):
+        while at < len(spans) and spans[at][0] < m.end():
+            reached = max(reached, spans[at][2])
+            at += 1
+        if m.end() - m.start() >= 3 and reached <= m.start():
+            yield m
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """doc_id, rid, base spans, entities, and the distinct terms of documents with an entity."""
     import pyarrow as pa
+    import xxhash
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     span = pa.list_(pa.struct([("start", pa.int64()), ("ord", pa.int32()), ("end", pa.int64())]))
-    occ = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("context", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def look(batches):
         for batch in batches:
@@ -103,14 +117,13 @@ def find(docs: DataFrame, reach: int = 8) -> DataFrame:
             for text in batch.column("text"):
                 text = text.as_py()
                 spans = base_spans(text)
-                e, o = occurrences(text, spans, reach) if spans else ([], [])
                 base.append([{"start": a, "ord": k, "end": b} for a, k, b in spans])
-                entities.append(e)
-                terms.append(o)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(base, span), pa.array(entities, pa.list_(pa.int64())), pa.array(terms, occ)], ["doc_id", "rid", "base", "entities", "terms"])
+                entities.append(sorted({xxhash.xxh3_64_intdigest(f"{k}:{text[a:b].lower()}") - (1 << 63) for a, k, b in spans}))
+                terms.append(sorted({m[0].lower() for m in outside(text, spans)}) if spans else [])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(base, span), pa.array(entities, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.string()))], ["doc_id", "rid", "base", "entities", "terms"])
 
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text")
-    return rows.mapInArrow(look, f"doc_id {kind}, rid long, base {SPANS}, entities array<bigint>, terms array<struct<entity:bigint,term:string,context:bigint,start:bigint,end:bigint>>")
+    return rows.mapInArrow(look, f"doc_id {kind}, rid long, base {SPANS}, entities array<bigint>, terms array<string>")
 
 
 def document_frequency(docs: DataFrame, most: int = 200_000) -> DataFrame:
@@ -125,7 +138,7 @@ def document_frequency(docs: DataFrame, most: int = 200_000) -> DataFrame:
         out = lambda: pa.RecordBatch.from_pydict({"term": list(seen), "n": list(seen.values())}, pa.schema([("term", pa.string()), ("n", pa.int64())]))
         for batch in batches:
             for text in batch.column("text"):
-                seen.update({w.lower() for w in WORD.findall(text.as_py() or "") if len(w) >= 3})
+                seen.update({w.lower() for w in set(WORD.findall(text.as_py() or "")) if len(w) >= 3})
                 if len(seen) >= most:
                     yield out()
                     seen.clear()
@@ -138,10 +151,15 @@ def document_frequency(docs: DataFrame, most: int = 200_000) -> DataFrame:
 def disclosing(found: DataFrame, docs: DataFrame, support: int, threshold: float, chance: float = 1e-3) -> DataFrame:
     """(entity, term, disclosure) at or above the threshold."""
     n = found.count()
-    pairs = found.select(F.explode(F.array_distinct(F.transform("terms", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x")).select("x.entity", "x.term")
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_tc"))
-    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_c"))
-    both = pairs.join(entities, "entity").join(document_frequency(docs), "term").where(F.col("n_c") < n)
+    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_c")).where(F.col("n_c") < n)
+    # as n_tc <= n_c, the threshold is out of reach for terms of more documents than this
+    bound = lambda n_c: F.pow(n_c, F.lit(threshold)) * F.pow(F.lit(float(n)), F.lit(1 - threshold)) * (1 + 1e-9)
+    most = entities.agg(bound(F.max("n_c"))).first()[0] or 0.0
+    rare = document_frequency(docs).where(F.col("n_t") <= most)
+    # equal rows share a rid: each counts by its terms, with the entities once
+    terms = found.where(F.size("entities") > 0).select("rid", F.explode("terms").alias("term")).join(rare, "term")
+    held = found.select("rid", F.explode("entities").alias("entity")).distinct().join(entities, "entity")
+    both = terms.join(held, "rid").where(F.col("n_t") <= bound(F.col("n_c"))).groupBy("entity", "term").agg(F.count("*").alias("n_tc"), F.first("n_t").alias("n_t"), F.first("n_c").alias("n_c"))
     # the factors of C(n_t,k) C(n_c,k) / C(n,k), asked for below the support only
     factor = lambda acc, i: acc * (F.col("n_t") - i) * (F.col("n_c") - i) / ((F.lit(float(n)) - i) * (i + 1))
     by_chance = F.aggregate(F.sequence(F.lit(0), F.least(F.col("n_tc"), F.lit(support)).cast("int") - 1), F.lit(1.0), factor)
@@ -150,12 +168,76 @@ def disclosing(found: DataFrame, docs: DataFrame, support: int, threshold: float
     return both.withColumn("disclosure", told).where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
 
 
-def spans(docs: DataFrame, support: int = 3, generalise: float = 0.8, remove: float = 0.95, reach: int = 8, chance: float = 1e-3) -> DataFrame:
+def sieve(terms: DataFrame, probes: int = 4) -> bytes:
+    """Bloom filter of the distinct ``term`` column, two to four bytes a term: it passes every term and a few others."""
+    size = 1 << max(10, (16 * terms.count()).bit_length())
+    h = F.xxhash64("term")
+    low, high = h.bitwiseAND(size - 1), F.shiftrightunsigned(h, 32)
+    at = F.explode(F.array(*[(low + i * high).bitwiseAND(size - 1) for i in range(probes)])).alias("at")
+    rows = terms.select(at).groupBy(F.shiftright("at", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, int(at & 63))")).alias("bits")).toArrow()
+    table = np.zeros(size // 64, "<i8")
+    table[rows["i"].to_numpy()] = rows["bits"].to_numpy()
+    return table.tobytes()
+
+
+def passes(table: bytes, term: str, probes: int = 4) -> bool:
+    import xxhash
+
+    h, mask = xxhash.xxh64_intdigest(term, 42), len(table) * 8 - 1
+    low, high = h & mask, h >> 32
+    return all(table[(at := (low + i * high) & mask) >> 3] >> (at & 7) & 1 for i in range(probes))
+
+
+def places(text: str, words: set[str], spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Where ``words`` stand in a text as whole words that touch no base span; a few words are looked up one by one."""
+    if len(words) > 16:
+        return [m.span() for m in outside(text, spans) if m[0] in words]
+    out = []
+    in_word = lambda c: c.isalnum() or c == "_"
+    for w in words:
+        a = text.find(w)
+        while a >= 0:
+            b = a + len(w)
+            whole = not (a and in_word(text[a - 1]) or b < len(text) and in_word(text[b]))
+            if whole and not any(x < b and a < y for x, _, y in spans):
+                out.append((a, b))
+            a = text.find(w, b if whole else a + 1)
+    return out
+
+
+def candidates(docs: DataFrame, table: bytes) -> DataFrame:
+    """(rid, term, start, end) of the terms of whole texts that the sieve lets through."""
+    import pyarrow as pa
+
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def look(batches):
+        table = shared.value
+        known: dict[str, bool] = {}
+        for batch in batches:
+            out = []
+            for rid, text in zip(batch.column("rid").to_pylist(), batch.column("text"), strict=True):
+                text = text.as_py() or ""
+                words = {*WORD.findall(text)}
+                if len(known) > 200_000:
+                    known.clear()
+                for w in words:
+                    if w not in known:
+                        known[w] = len(w) >= 3 and passes(table, w.lower())
+                hit = {w for w in words if known[w]}
+                if hit:
+                    out += [(rid, text[a:b].lower(), a, b) for a, b in places(text, hit, base_spans(text))]
+            columns = zip(*out, strict=True) if out else ([],) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["rid", "term", "start", "end"])
+
+    return docs.select(F.xxhash64("doc_id", "text").alias("rid"), "text").mapInArrow(look, "rid long, term string, start long, end long")
+
+
+def spans(docs: DataFrame, support: int = 3, generalise: float = 0.8, remove: float = 0.95, chance: float = 1e-3) -> DataFrame:
     """doc_id, rid, ``base`` and ``terms``: term spans with their disclosure and whether they are removed."""
-    found = cut(find(docs, reach))
-    risky = disclosing(found, docs, support, generalise, chance)
-    mentions = found.select("rid", F.explode("terms").alias("x")).select("rid", "x.entity", "x.term", "x.start", "x.end").distinct()
-    hit = mentions.join(risky, ["entity", "term"]).groupBy("rid", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    found = cut(find(docs))
+    risky = cut(disclosing(found, docs, support, generalise, chance).groupBy("term").agg(F.max("disclosure").alias("disclosure")))
+    hit = candidates(docs, sieve(risky)).join(risky, "term").groupBy("rid", "start", "end").agg(F.max("disclosure").alias("disclosure"))
     per_doc = hit.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(4).alias("ord"), "end", "disclosure", (F.col("disclosure") >= remove).alias("removed")))).alias("terms"))
     empty = F.array().cast("array<struct<start:bigint,ord:int,end:bigint,disclosure:double,removed:boolean>>")
     return found.drop("terms", "entities").join(per_doc, "rid", "left").withColumn("terms", F.coalesce("terms", empty))
