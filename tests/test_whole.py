@@ -2,7 +2,7 @@
 
 import math
 
-from viaduct.plans import network
+from viaduct.plans import graph, network
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -32,3 +32,24 @@ def test_stems_far_north_and_apart(spark):
     spark.createDataFrame(rows, "k long, name string, lat double, lon double").createOrReplaceTempView("stems_in")
     got = {r.k: r.stem for r in spark.sql(network.stems("SELECT * FROM stems_in")).collect()}
     assert got == plain_stems(rows) and got[1] == "St" and got[3] == "Ix One" and got[5] == "Ab Cd" and got[7] == "Ab"
+
+
+def test_gr_13_links_by_all_orders(spark):
+    nation = {r.c_custkey: r.c_nationkey for r in spark.read.parquet(f"{TABLES}/customer.parquet").collect()}
+    top = {k: k for k in nation}
+
+    def root(k):
+        while top[k] != k:
+            k = top[k]
+        return k
+
+    first = {}
+    for r in spark.read.parquet(f"{TABLES}/orders.parquet").collect():
+        if r.o_custkey in nation:
+            a, b = root(r.o_custkey), root(first.setdefault((r.o_orderdate, nation[r.o_custkey]), r.o_custkey))
+            top[max(a, b)] = min(a, b)
+    want = {k: root(k) for k in nation}
+    assert {r.id: r.component for r in graph.gr_13(spark, TABLES).collect()} == want
+    customers = spark.createDataFrame([(k, k // 10) for k in range(6)] + [(9, 9)], "c_custkey long, c_nationkey int")
+    orders = spark.createDataFrame([(1, 0, "a"), (2, 1, "a"), (3, 1, "b"), (4, 2, "b"), (5, 9, "a"), (9, 3, "c")], "o_orderkey long, o_custkey long, o_orderdate string")
+    assert {r.id: r.component for r in graph.shared_dates(orders, customers).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5, 9: 9}

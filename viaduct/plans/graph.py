@@ -94,13 +94,16 @@ def gr_8(spark, d):
     return joined.select("i", "a", "b", "cost", F.size("path").alias("stops"))
 
 
-def gr_13(spark, d):
+def shared_dates(orders: DataFrame, customers: DataFrame) -> DataFrame:
     """Components of the customer graph that links customers sharing an order date and nation."""
-    rows = read(spark, d, "orders").join(read(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey").where("o_orderkey % 9 = 0")
+    rows = orders.join(customers.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
     hub = rows.groupBy("o_orderdate", "c_nationkey").agg(F.min("o_custkey").alias("dst"))
-    edges = rows.join(hub, ["o_orderdate", "c_nationkey"]).select(F.col("o_custkey").alias("src"), "dst")
-    found = graphs.components(read(spark, d, "customer").select(F.col("c_custkey").alias("id")), edges)
-    return found
+    edges = rows.join(hub, ["o_orderdate", "c_nationkey"]).select(F.col("o_custkey").alias("src"), "dst").distinct()
+    return graphs.components(customers.select(F.col("c_custkey").alias("id")), graphs.cut(edges))
+
+
+def gr_13(spark, d):
+    return shared_dates(read(spark, d, "orders"), read(spark, d, "customer"))
 
 
 GR_13 = "WITH RECURSIVE rows AS (SELECT o_custkey, o_orderdate, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 9 = 0), hub AS (SELECT o_orderdate, c_nationkey, min(o_custkey) AS dst FROM rows GROUP BY 1, 2), e AS (SELECT DISTINCT o_custkey AS src, dst FROM rows JOIN hub USING (o_orderdate, c_nationkey) WHERE o_custkey <> dst), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(id, node) AS (SELECT c_custkey, c_custkey FROM customer UNION SELECT id, dst FROM r JOIN b ON src = node) SELECT id, min(node) AS component FROM r GROUP BY id"
