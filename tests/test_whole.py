@@ -53,3 +53,25 @@ def test_gr_13_links_by_all_orders(spark):
     customers = spark.createDataFrame([(k, k // 10) for k in range(6)] + [(9, 9)], "c_custkey long, c_nationkey int")
     orders = spark.createDataFrame([(1, 0, "a"), (2, 1, "a"), (3, 1, "b"), (4, 2, "b"), (5, 9, "a"), (9, 3, "c")], "o_orderkey long, o_custkey long, o_orderdate string")
     assert {r.id: r.component for r in graph.shared_dates(orders, customers).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5, 9: 9}
+
+
+def test_jn_12_reaches_beyond_the_next_cell(spark):
+    points = [(1, 60.9, 10.24), (2, 60.9, -0.01), (3, 40.0, 5.0)]
+    nodes = [(1, 60.9, 10.51), (2, 60.9, 10.0), (3, 60.9, -0.3), (4, 61.05, 0.1), (5, 40.1, 5.1), (6, 40.17, 5.0), (7, 40.0, 5.24)]
+    spark.createDataFrame(points, "k long, lat double, lon double").createOrReplaceTempView("near_points")
+    spark.createDataFrame(nodes, "node long, nlat double, nlon double").createOrReplaceTempView("near_nodes")
+    sql = network.nearest("st AS (SELECT * FROM near_points)", "gr AS (SELECT *, CAST(floor(nlat*4e0) AS INT) AS cy, CAST(floor(nlon*4e0) AS INT) AS cx FROM near_nodes)")
+    got = {(r.k, r.node): r.m for r in spark.sql(sql).collect()}
+    want = {(k, n): metres(p, q) for k, *p in points for n, *q in nodes if metres(p, q) <= 2e4}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 0.01 for x in want) and {(1, 1), (2, 3)} <= want.keys()
+
+
+def test_jn_12_on_a_whole_table(spark):
+    d = "/root/testdata/sf0.01"
+    points = [(r.c_custkey, 36 + r.c_custkey * 37 % 250 / 10, -9 + r.c_custkey * 53 % 340 / 10) for r in spark.read.parquet(f"{d}/customer.parquet").collect()]
+    nodes = [(r.s_suppkey, 36 + r.s_suppkey * 91 % 250 / 10, -9 + r.s_suppkey * 17 % 340 / 10) for r in spark.read.parquet(f"{d}/supplier.parquet").collect()]
+    want = set()
+    for k, *p in points:
+        near = sorted((metres(p, q), n) for n, *q in nodes if abs(p[0] - q[0]) < 0.2 and metres(p, q) <= 2e4)
+        want |= {(k, n) for _, n in near[:3]}
+    assert {(r.k, r.node) for r in network.QUERIES["jn_12"](spark, d).collect()} == want
