@@ -1,9 +1,10 @@
 """Bounded-space online best-fit packing of token sequences.
 
 Documents are tokenised whole, closed with an end token and cut only where longer than a
-sequence. Each task packs its pieces in decreasing length into a fixed number of open bins held
-in a bitset keyed by free space: the tightest bin that fits takes the piece; if none fits and
-the number of open bins is reached, the fullest bin closes first.
+sequence. Each task packs its pieces as they arrive into a fixed number of open bins held in a
+bitset keyed by free space: the tightest bin that fits takes the piece; if none fits and the
+number of open bins is reached, the fullest bin closes first. Pieces arrive in the order of a hash,
+so a task that is run again gives the same sequences.
 
 Defined results: null or empty text is one piece holding the end token; texts of any length are
 cut into full pieces and a rest; repeated rows are packed each; no rows give no sequences; other
@@ -26,60 +27,62 @@ CAPACITY, END = 4096, 1
 _loaded: dict = {}
 
 
+class Lookup(dict):
+    """A table that ``make``s what it lacks. Two generations of ``most`` entries are kept, so frequent
+    entries stay, memory is bounded, and a hit doesn't leave the interpreter's own lookup."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        self[key] = found = self.make(key) if found is None else found
+        return found
+
+    def turn(self) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+
+
 class WordCache:
     """Ids by the tokenizer, looked up by blank-separated chunk and, for a new chunk, by the
     pre-tokens in it: neither crosses a blank, so equal chunks have equal ids. Texts outside the
-    plain Latin range, or with a special token, are encoded whole. Both tables keep two
-    generations of ``most`` entries, so frequent entries stay and memory is bounded."""
+    plain Latin range, or with a special token, are encoded whole."""
 
-    def __init__(self, path: str, most: int = 60_000):
+    def __init__(self, path: str, most: int = 150_000):
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.chunks, self.old_chunks, self.tokens, self.old_tokens = {}, {}, {}, {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.chunks, self.tokens = Lookup(self._chunk, most), Lookup(self._token, most)
         self.plain = regex.compile("[\t\n\r\x20-\x7e\xa1-įı-ſ‐-‧]*")
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _token(self, token: str) -> bytes:
-        found = self.tokens.get(token)
-        if found is None:
-            found = self.old_tokens.get(token)
-            if found is None:
-                if not token.isalpha():
-                    ids = self.tokenizer.encode(token, add_special_tokens=False).ids
-                else:
-                    spelt = token if token.isascii() else self.spell(token)[0][0]
-                    ids = [t.id for t in self.tokenizer.model.tokenize(spelt)]
-                found = struct.pack(f"<{len(ids)}I", *ids)
-            if len(self.tokens) >= self.most:
-                self.old_tokens, self.tokens = self.tokens, {}
-            self.tokens[token] = found
-        return found
+        if not token.isalpha():
+            ids = self.tokenizer.encode(token, add_special_tokens=False).ids
+        else:
+            spelt = token if token.isascii() else self.spell(token)[0][0]
+            ids = [t.id for t in self.tokenizer.model.tokenize(spelt)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
-        found = self.chunks.get(chunk) or self.old_chunks.get(chunk)
-        if found is None:
-            if chunk.isalpha():
-                return self._token(chunk)
-            if (word := chunk[:-1]).isalpha():
-                found = self._token(word) + self._token(chunk[-1])
-            else:
-                found = b"".join([self._token(t) for t in self.split.findall(chunk)])
-        if len(self.chunks) >= self.most:
-            self.old_chunks, self.chunks = self.chunks, {}
-        self.chunks[chunk] = found
-        return found
+        token = self.tokens.__getitem__
+        if chunk.isalpha():
+            return token(chunk)
+        if (word := chunk[:-1]).isalpha():
+            return token(word) + token(chunk[-1])
+        return b"".join(map(token, self.split.findall(chunk)))
 
     def ids(self, text: str) -> np.ndarray:
         if not self.plain.fullmatch(text) or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        parts = text.lower().split()
-        tokens, chunk = self.tokens, self._chunk
-        found = [tokens.get(p) or f or chunk(p) for p, f in zip(parts, map(self.chunks.get, parts), strict=True)]
-        return np.frombuffer(b"".join(found), "<u4")
+        found = b"".join(map(self.chunks.__getitem__, text.lower().split()))
+        self.chunks.turn(), self.tokens.turn()
+        return np.frombuffer(found, "<u4")
 
 
 def words_of(path: str | None) -> WordCache:
@@ -147,9 +150,9 @@ class OpenBins:
         return b, self.capacity - f
 
 
-def pack(pieces: DataFrame, tasks: int, capacity: int = CAPACITY, open_bins: int = 16_384) -> DataFrame:
+def pack(pieces: DataFrame, tasks: int, capacity: int = CAPACITY, open_bins: int = 1024) -> DataFrame:
     """Adds ``sequence_id`` and ``offset``. Pieces are dealt to ``tasks`` tasks by hash, so each
-    task sees a like mix of lengths and memory holds the open bins alone."""
+    task sees a like mix of lengths, and memory holds ``open_bins`` bins of two numbers each."""
     import pyarrow as pa
 
     def packed(batches):
@@ -158,11 +161,12 @@ def pack(pieces: DataFrame, tasks: int, capacity: int = CAPACITY, open_bins: int
             at = [bins.place(n) for n in batch.column("length").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([base + b for b, _ in at], pa.int64()), pa.array([o for _, o in at], pa.int64())], [*batch.schema.names, "sequence_id", "offset"])
 
-    dealt = pieces.repartition(tasks, F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32")).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
+    order = F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32")
+    dealt = pieces.repartition(tasks, order).sortWithinPartitions(order, "doc_id", "piece", "length", "ids_crc32")
     return dealt.mapInArrow(packed, StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, per_task: int = 50_000) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, per_task: int = 200_000) -> DataFrame:
     """Tokenise and pack; one task for every ``per_task`` documents, so that the underfilled
     bins a task ends with stay a small part of its sequences."""
     return pack(tokenise(docs, path), max(1, math.ceil(docs.count() / per_task)))
