@@ -1,9 +1,11 @@
 """Chat formatting with a grammar round trip.
 
-A turn is ``<|im_start|>role NL text<|im_end|> NL``. The rendered turn is parsed again by a
-deterministic parser; while the recovered role and text differ from the source, the conflicting
-content is escaped and rendered anew. Escaping adds one backslash inside each ``<|`` or already
-escaped ``<\\|`` and the parser takes one away, so it can be undone for every text.
+A turn is ``<|im_start|>role NL text<|im_end|> NL``, and to the parser a text ends at any control
+string, ``<|name|>``. The rendered turn is parsed again by that deterministic parser; while the
+recovered role and text differ from the source, the conflicting content is escaped and rendered
+anew, so the only control strings of a conversation are its own marks. Escaping adds one backslash
+inside each ``<|`` or already escaped ``<\\|`` and the parser takes one away, so it can be undone for
+every text. Whole conversations are parsed again from their text alone when they are read back.
 
 Defined results: null role or text is the empty string; turns are ordered by turn, then role and
 text, nulls first, so ties have one order and repeated rows stay; null conversation ids form one
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>"
 CONFLICT = re.compile(r"<(\\*)\|")
 ESCAPED = re.compile(r"<\\(\\*)\|")
-TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
+HEAD = re.compile(r"<\|im_start\|>([^\n]*)\n")
+CONTROL = re.compile(r"<\|[A-Za-z0-9_]+\|>")
 
 
 def escape(text: str) -> str:
@@ -45,11 +48,12 @@ def parse(rendered: str) -> list[tuple[str, str, int, int]]:
     """(role, text, start and end of the rendered text) of each turn; raises if it isn't all turns."""
     found, at = [], 0
     while at < len(rendered):
-        m = TURN.match(rendered, at)
-        if m is None:
+        head = HEAD.match(rendered, at)
+        mark = head and CONTROL.search(rendered, head.end())
+        if not mark or mark[0] != END or CONTROL.search(head[1]) or not rendered.startswith("\n", mark.end()):
             raise ValueError("not a sequence of turns")
-        found.append((role_unescape(m[1]), unescape(m[2]), *m.span(2)))
-        at = m.end()
+        found.append((role_unescape(head[1]), unescape(rendered[head.end() : mark.start()]), head.end(), mark.start()))
+        at = mark.end() + 1
     return found
 
 
@@ -101,7 +105,9 @@ def format_turns(turns: DataFrame) -> DataFrame:
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of what the rendered turns hold, parsed from the text and its loss spans alone.
 
-    Takes ``format_turns`` as it comes, in order within its partitions.
+    Takes ``format_turns`` as it comes, in order within its partitions. A conversation is read as one
+    text: pieces are joined and parsed up to the last mark that closes a turn, so memory holds a
+    piece and what the one before left over, and where a piece ends tells nothing.
     """
     import pyarrow as pa
 
@@ -109,10 +115,12 @@ def read_back(formatted: DataFrame) -> DataFrame:
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def digests(batches):
-        last, state = None, None
+        last, state, rest = None, None, ""
 
         def close():
             n, turns, chars, loss, total = state
+            if rest:
+                raise ValueError("a conversation doesn't end with a turn")
             return (last, n, turns.hexdigest(), chars, loss.hexdigest(), total)
 
         for batch in batches:
@@ -122,7 +130,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
                     if state is not None:
                         rows.append(close())
                     last, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, said, _, _ in parse(text):
+                whole = rest + text
+                closed = whole.rfind(END + "\n") + len(END) + 1 if END + "\n" in whole else 0
+                rest = whole[closed:]
+                for role, said, _, _ in parse(whole[:closed]):
                     state[0] += 1
                     state[1].update(f"{role}\n{said}\n".encode())
                 if lo is not None:
