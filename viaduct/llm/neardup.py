@@ -8,8 +8,11 @@ Large groups never meet as all pairs. A small bucket gives its pairs, a large on
 to a few leaders picked by hash. Verified links form components; then every large bucket that
 still holds several components is compared whole, block against block, in tasks of bounded size:
 two documents of one bucket are either in one class already or compared exactly. Links are counted
-the same way: in a class that a large bucket feeds, each block of texts is compared with each
-other one and gives one count a text, so no link goes missing and no pair is written out.
+the same way in every class: each block of its texts is compared with each other one and gives one
+count a text, so no link within a class goes missing and no pair is written out.
+
+Joins on a node, a class or a leader that may hold a large share of all rows go through
+``join_skewed``: the few heavy keys are broadcast, the rest is shuffled.
 
 Defined results: a text without a word (null, empty, punctuation) is a class of its own document;
 texts below five words have one shingle; repeated rows and equal sets share a class; any length is
@@ -26,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from viaduct.llm.common import components, cut, mix64, shingles, table
+from viaduct.llm.common import components, cut, heavy_rows, join_skewed, mix64, row_key, shingles, table
 
 
 def choose_bands(threshold: float, recall: float, max_bands: int = 16) -> tuple[int, int]:
@@ -78,20 +81,26 @@ def signatures(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     base = docs.select("doc_id", row_id(), "text")
-    return base.mapInArrow(sign, f"doc_id {kind}, rid long, node long, n int, bands array<bigint>")
+    return base.mapInArrow(sign, f"doc_id {kind}, rid binary, node long, n int, bands array<bigint>")
 
 
 def row_id():
-    return F.xxhash64("doc_id", "text").alias("rid")
-
-
-def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(u, v) of those pairs whose sets reach the threshold."""
-    both = pairs.join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v").join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u")
+    return row_key("doc_id", "text").alias("rid")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, threshold: float, most: int = 100_000) -> DataFrame:
+    """(u, v) of those pairs whose sets reach the threshold. ``u`` may be the leader of a large share
+    of the pairs: its set is broadcast if it has at most ``most`` shingles, and a longer one meets
+    the sets of like length by shuffle; ``v`` is in a bounded number of pairs a band."""
+    pairs = cut(pairs)
+    left, right = (sets.select(F.col("node").alias(end), F.col("s").alias(f"s{end}")) for end in "uv")
+    few = heavy_rows(pairs, left, "u").where(F.size("su") <= most)
+    keys = F.broadcast(few.select("u"))
+    both = pairs.join(keys, "u", "left_anti").join(right, "v").join(left, "u")
+    both = both.unionByName(pairs.join(keys, "u", "left_semi").join(right, "v").join(F.broadcast(few), "u"))
     shared = F.size(F.array_intersect("su", "sv"))
     near = shared >= F.lit(threshold) * (F.size("su") + F.size("sv") - shared) - 1e-9
-    length = F.least(F.size("su"), F.size("sv")) >= F.lit(threshold) * F.greatest(F.size("su"), F.size("sv")) - 1e-9
-    return both.where(length).where(near).select("u", "v")
+    return both.where(near).select("u", "v")
 
 
 def near_matrix(left: list, members: list, threshold: float) -> np.ndarray:
@@ -172,14 +181,10 @@ def compare_rest(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFram
     return blockwise(rest, sets, compare_block, ["u", "v"], threshold)
 
 
-def count_links(links: DataFrame, members: DataFrame, crowded: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(node, n_links): in the classes ``crowded`` of ``members`` (node, component) from all pairs, elsewhere from ``links``."""
-    inside = members.join(crowded, "component", "left_semi")
-    sizes = inside.groupBy("component").agg(F.count("*").alias("n_group")).where("n_group > 1")
-    groups = inside.join(sizes, "component").withColumn("key", F.col("component"))
-    whole = blockwise(groups, sets, count_block, ["node", "n"], threshold)
-    ends = links.select(F.explode(F.array("u", "v")).alias("node"), F.lit(1).cast("long").alias("n")).join(inside, "node", "left_anti")
-    return whole.union(ends).groupBy("node").agg(F.sum("n").alias("n_links"))
+def count_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(node, n_links) of ``members`` (node, component, n_group) from all pairs of each class."""
+    whole = blockwise(members.withColumn("key", F.col("component")), sets, count_block, ["node", "n"], threshold)
+    return whole.groupBy("node").agg(F.sum("n").alias("n_links"))
 
 
 def near_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall: float = 0.995, small: int = 8, leaders: int = 3, counted: bool = True) -> DataFrame:
@@ -191,18 +196,21 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall:
     signed = cut(signatures(docs, bands, rows, size))
     # equal sets are one node, and one of their rows lends its text
     first = lambda *c: F.min(F.struct(F.col(c[0]).isNull().alias("none"), F.col(c[0]).alias("doc_id"), F.col(c[1]).alias("rid"))).alias("first")
-    nodes = signed.where("node is not null").groupBy("node").agg(first("doc_id", "rid")).select("node", "first.doc_id", "first.rid")
+    worded = signed.where("node is not null")
+    nodes = worded.groupBy("node").agg(first("doc_id", "rid"), F.count("*").alias("copies")).select("node", "first.doc_id", "first.rid", "copies")
+    nodes = cut(nodes)
     lender = nodes.select("node", "rid")
-    member = signed.where("node is not null").select("node", F.posexplode("bands").alias("band", "hash"))
-    member = member.select(F.xxhash64("band", "hash").alias("key"), "node").distinct()
-    shared = member.groupBy("key").agg(F.count("*").alias("n_bucket"), *[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"l{i}") for i in range(leaders)]).where("n_bucket > 1")
-    full = cut(member.join(shared, "key"))
+    member = worded.select("node", "n", F.posexplode("bands").alias("band", "hash"))
+    member = member.groupBy(F.xxhash64("band", "hash").alias("key"), "node").agg(F.min("n").alias("n"))
+    shared = member.groupBy("key").agg(F.count("*").alias("n_bucket"), *[F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(i))).alias(f"l{i}") for i in range(leaders)]).where("n_bucket > 1")
+    full = cut(join_skewed(member, shared, "key"))
+    alike = lambda a, b: F.least(a, b) >= F.lit(threshold) * F.greatest(a, b) - 1e-9  # noqa: E731  sets of other lengths can't reach the threshold
     few = full.where(F.col("n_bucket") <= small)
-    pairs = few.groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"))
-    pairs = pairs.select(F.explode("m").alias("u"), "m").select("u", F.explode("m").alias("v")).where("u < v")
+    pairs = few.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("m"))
+    pairs = pairs.select(F.explode("m").alias("a"), "m").select("a", F.explode("m").alias("b")).where("a.node < b.node").where(alike(F.col("a.n"), F.col("b.n"))).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
     many = full.where(F.col("n_bucket") > small)
-    stars = many.select("node", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(leaders)]))).alias("l")).where("node <> l")
-    stars = stars.select(F.least("node", "l").alias("u"), F.greatest("node", "l").alias("v"))
+    stars = many.select("node", "n", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(leaders)]))).alias("l")).where("node <> l.node").where(alike(F.col("n"), F.col("l.n")))
+    stars = stars.select(F.col("l.node").alias("u"), F.col("node").alias("v"))
     pairs = pairs.union(stars).distinct()
 
     wanted = full.select("node").distinct().join(lender, "node")
@@ -216,20 +224,24 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall:
     rest = open_.join(split, "key", "left_semi")
     more = cut(compare_rest(rest, sets, threshold).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     if not more.isEmpty():
-        links = links.union(more).distinct()
-        joined = components(links)
-    known = label(nodes)
+        joined = components(links.union(more).distinct())
+    # only texts with a copy or a link have more to tell than their own row
+    told = cut(nodes.join(joined, "node", "left").where("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "node")))
+    classes = told.groupBy("component").agg(first("doc_id", "rid"), F.count("*").alias("n_group")).select("component", F.col("first.doc_id").alias("class_id"), F.col("first.rid").alias("keeper"), "n_group")
+    told = cut(join_skewed(told.select("node", "component"), classes, "component"))
     if counted:
-        members = known.select("node", "component")
-        crowded = label(many.select("node").distinct()).select("component").distinct()
-        known = known.join(count_links(links, members, crowded, sets, threshold), "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+        found = count_links(told.where("n_group > 1").select("node", "component", "n_group"), sets, threshold)
+        told = cut(told.join(found, "node", "left"))
     else:
-        known = known.withColumn("n_links", F.lit(None).cast("long"))
-    classes = known.groupBy("component").agg(first("doc_id", "rid")).select("component", F.col("first.doc_id").alias("class_id"), F.col("first.rid").alias("keeper"))
-    known = known.join(classes, "component").select("node", "class_id", "keeper", "n_links")
-    out = signed.select("doc_id", "rid", "node").join(known, "node", "left")
-    alone = F.col("node").isNull()
-    return out.select("doc_id", "rid", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("rid")).otherwise(F.col("keeper")).alias("keeper"), F.when(alone & F.lit(counted), F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
+        told = told.withColumn("n_links", F.lit(None).cast("long"))
+    known = told.select("node", "class_id", "keeper", "n_links", F.lit(True).alias("told"))
+    plain = signed.select("doc_id", "rid", "node")
+    out = join_skewed(plain.where("node is not null"), known, "node", "left")
+    alone = plain.where("node is null").select("node", "doc_id", "rid", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("class_id"), F.lit(None).cast("binary").alias("keeper"), F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("boolean").alias("told"))
+    out = out.unionByName(alone)
+    # a null class_id is a class of documents without an id, as long as there is one
+    own = lambda c, mine: F.when(F.col("told"), F.col(c)).otherwise(F.col(mine)).alias(c)
+    return out.select("doc_id", "rid", own("class_id", "doc_id"), own("keeper", "rid"), (F.coalesce("n_links", F.lit(0).cast("long")) if counted else F.col("n_links")).alias("n_links"))
 
 
 def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
@@ -244,12 +256,14 @@ def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each class, the one with the least doc_id; of repeats of that row one stays."""
+    """One document of each class, the one with the least doc_id; of rows that repeat its doc_id and
+    text the one whose columns have the least hash stays."""
     found = near_classes(docs, counted=False)
     drop = cut(found.where("rid <> keeper").select("rid").distinct())
-    rest = docs.withColumn("rid", F.xxhash64("doc_id", "text")).join(drop, "rid", "left_anti")
-    numbered = rest.withColumn("copy", F.row_number().over(Window.partitionBy("rid").orderBy(F.lit(0))))
-    return numbered.where("copy = 1").select(*docs.columns)
+    carried = docs.select(row_id(), F.struct(*[F.col(c) for c in docs.columns]).alias("carried"))
+    rest = carried.join(drop, "rid", "left_anti")
+    numbered = rest.withColumn("copy", F.row_number().over(Window.partitionBy("rid").orderBy(F.xxhash64(F.to_json("carried")))))
+    return numbered.where("copy = 1").select("carried.*")
 
 
 def op9_ngram_join(spark, sf_dir):
