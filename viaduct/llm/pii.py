@@ -25,12 +25,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viaduct.llm.common import WORD, cut, table
+from viaduct.llm.common import WORD, cut, row_key, table
 
 KINDS = ["email", "ip", "card", "phone", "term"]
-EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]*@[A-Za-z0-9._%+@-]*")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: the characters of an email's local part, and what follows its @
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+#: a whole chain of numbers, which holds an address in every four
+CHAIN = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -43,16 +45,41 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str):
+    """``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``, looked for around each @ so that long runs cost their length."""
+    at, begin = text.find("@"), 0
+    while at >= 0:
+        before = text[begin:at]
+        start = begin + len(before.rstrip(LOCAL))
+        domain = DOMAIN.match(text, at + 1) if start < at else None
+        begin = domain.end() if domain else at + 1
+        if domain:
+            yield start, begin
+        at = text.find("@", begin)
+
+
+def addresses(text: str):
+    """``[0-9]+(\\.[0-9]+){3}``: each four numbers of a chain, from its beginning."""
+    for chain in CHAIN.finditer(text):
+        at, parts = chain.start(), chain[0].split(".")
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            end = at + sum(map(len, four)) + 3
+            yield at, end, four
+            at = end + 1
+
+
+def octet(part: str) -> bool:
+    number = part.lstrip("0")
+    return len(number) <= 3 and int(number or 0) <= 255
+
+
 def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     """(start, kind, end) sorted; a match that fails its check is consumed, not tried again."""
     if not text:
         return []
-    found = []
-    if "@" in text:  # an email lies within one run of its characters
-        for run in EMAIL_RUN.finditer(text):
-            found += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text, *run.span())]
-    if "." in text:
-        found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    found = [(a, 0, b) for a, b in emails(text)]
+    found += [(a, 1, b) for a, b, four in addresses(text) if all(map(octet, four))]
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 12 <= len(digits) <= 19 and luhn(digits):
@@ -62,33 +89,6 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def occurrences(text: str, spans: list[tuple[int, int, int]], reach: int) -> tuple[list[int], list[dict]]:
-    """Distinct entities of a text, and the terms within ``reach`` words of each mention. ``spans`` reads whole
-    texts instead; tests use this as an account of what stands near a mention."""
-    import xxhash
-
-    entities, out, taken = [], [], set()
-    for start, kind, end in spans:
-        entity = xxhash.xxh3_64_intdigest(f"{kind}:{text[start:end].lower()}") - (1 << 63)
-        if entity not in taken:
-            taken.add(entity)
-            entities.append(entity)
-        # reach words of at most 64 characters on either side
-        lo, hi = max(0, start - 64 * reach), end + 64 * reach
-        before = [m for m in WORD.finditer(text, lo, start)][-reach:]
-        after = []
-        for m in WORD.finditer(text, end, hi):
-            after.append(m)
-            if len(after) == reach:
-                break
-        near = before + after
-        context = xxhash.xxh3_64_intdigest("\n".join(m[0].lower() for m in near)) - (1 << 63)
-        for m in near:
-            if len(m[0]) >= 3 and not any(a < m.end() and m.start() < b for a, _, b in spans):
-                out.append({"entity": entity, "term": m[0].lower(), "context": context, "start": m.start(), "end": m.end()})
-    return entities, out
-
-
 SPANS = "array<struct<start:bigint,ord:int,end:bigint>>"
 
 
@@ -122,8 +122,8 @@ def find(docs: DataFrame) -> DataFrame:
                 terms.append(sorted({m[0].lower() for m in outside(text, spans)}) if spans else [])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(base, span), pa.array(entities, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.string()))], ["doc_id", "rid", "base", "entities", "terms"])
 
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text")
-    return rows.mapInArrow(look, f"doc_id {kind}, rid long, base {SPANS}, entities array<bigint>, terms array<string>")
+    rows = docs.select("doc_id", row_key("doc_id", "text").alias("rid"), "text")
+    return rows.mapInArrow(look, f"doc_id {kind}, rid binary, base {SPANS}, entities array<bigint>, terms array<string>")
 
 
 def document_frequency(docs: DataFrame, most: int = 200_000) -> DataFrame:
@@ -228,9 +228,9 @@ def candidates(docs: DataFrame, table: bytes) -> DataFrame:
                 if hit:
                     out += [(rid, text[a:b].lower(), a, b) for a, b in places(text, hit, base_spans(text))]
             columns = zip(*out, strict=True) if out else ([],) * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["rid", "term", "start", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["rid", "term", "start", "end"])
 
-    return docs.select(F.xxhash64("doc_id", "text").alias("rid"), "text").mapInArrow(look, "rid long, term string, start long, end long")
+    return docs.select(row_key("doc_id", "text").alias("rid"), "text").mapInArrow(look, "rid binary, term string, start long, end long")
 
 
 def spans(docs: DataFrame, support: int = 3, generalise: float = 0.8, remove: float = 0.95, chance: float = 1e-3) -> DataFrame:
@@ -251,7 +251,7 @@ def sanitise(docs: DataFrame, **kw) -> DataFrame:
     base = F.transform("base", lambda x: F.struct(x["start"], x["end"], F.get(marks, x["ord"]).alias("mark")))
     terms = F.transform("terms", lambda x: F.struct(x["start"], x["end"], F.when(x["removed"], F.lit("")).otherwise(F.lit("[TERM]")).alias("mark")))
     plan = found.select("rid", F.array_sort(F.concat(base, terms)).alias("_plan")).where(F.size("_plan") > 0).dropDuplicates(["rid"])
-    carried = docs.select(F.xxhash64("doc_id", "text").alias("rid"), "text", F.struct(*[F.col(c) for c in docs.columns]).alias("carried")).join(plan, "rid", "left")
+    carried = docs.select(row_key("doc_id", "text").alias("rid"), "text", F.struct(*[F.col(c) for c in docs.columns]).alias("carried")).join(plan, "rid", "left")
     cut_ = lambda a, n: F.substring("text", (a + 1).cast("int"), n.cast("int"))
 
     def step(acc, x):
