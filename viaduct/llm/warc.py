@@ -5,6 +5,10 @@ digest, and records are rebuilt by joining the two; every payload read is hashed
 mismatch fails the job. Of equal payloads of at least ``least`` bytes the record with the largest
 page id is the response and the others revisit it; smaller payloads are always responses.
 
+Records have ids of their own: a response of a payload of at least ``least`` bytes is named after the
+digest, so that revisits can refer to it, all others at random. The page id stands in a field of
+its own. Pages carry no date, so ``WARC-Date`` is a parameter.
+
 Defined results: null html is an empty payload; a null url is written as ``about:blank`` and line
 ends in urls are percent-encoded; a null page id sorts below all others; among rows that repeat
 the largest page id of a payload one is the response and the rest revisit that id; empty tables
@@ -21,6 +25,8 @@ from pyspark.sql import functions as F
 from viaduct.llm.common import scratch, table
 
 CRLF = "\r\n"
+# Fixed value: the name that WARC/1.1 gives to this kind of revisit.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def archive_root(spark: SparkSession) -> str:
@@ -33,7 +39,7 @@ def facts(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", payload.alias("payload")).select("page_id", "url", "payload", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("digest"))
 
 
-def write_archive(pages: DataFrame, root: str, least: int = 1000) -> None:
+def write_archive(pages: DataFrame, root: str, least: int = 1000, date: str = "1970-01-01T00:00:00Z") -> None:
     """Writes ``payloads`` and ``headers`` below ``root``. Equal payloads meet in map-side partial
     aggregates, so a payload that fills a third of the rows is shuffled once a task."""
     rows = facts(pages)
@@ -52,16 +58,20 @@ def write_archive(pages: DataFrame, root: str, least: int = 1000) -> None:
     whole = whole.union(other.withColumn("record_type", F.when(F.col("payload_bytes") < least, "response").otherwise("revisit")))
     uri = F.coalesce(F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")), F.lit("about:blank"))
     revisit = F.col("record_type") == "revisit"
-    record = lambda page: F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(">"))
+    page = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    urn = lambda x: F.concat(F.lit("<urn:uuid:"), x, F.lit(">"))
+    named = urn(F.regexp_replace(F.substring("digest", 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
+    referred = (F.col("record_type") == "response") & (F.col("payload_bytes") >= least)
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     header = F.concat(
         F.lit("WARC/1.1" + CRLF),
         line("WARC-Type", F.col("record_type")),
-        line("WARC-Record-ID", record(F.col("page_id"))),
+        line("WARC-Record-ID", F.when(referred, named).otherwise(urn(F.uuid()))),
+        line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", uri),
-        line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        F.when(revisit, line("WARC-Refers-To", record(F.col("keeper")))).otherwise(""),
+        line("X-Page-ID", page(F.col("page_id"))),
+        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", named), line("X-Refers-To-Page-ID", page(F.col("keeper"))))).otherwise(line("Content-Type", F.lit("text/html; charset=utf-8"))),
         line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("payload_bytes").cast("string"))),
         F.lit(CRLF),
     )
@@ -74,8 +84,8 @@ def read_headers(spark: SparkSession, root: str) -> DataFrame:
     raw = spark.read.parquet(f"{root}/headers")
     text = F.decode("header", "UTF-8")
     field = lambda name: F.regexp_extract(text, f"\r\n{name}: ([^\r]*)\r\n", 1)
-    page = lambda name: F.nullif(F.regexp_extract(field(name), "<urn:page:(.*)>", 1), F.lit(""))
-    return raw.select("header", "digest", page("WARC-Record-ID").alias("record_id"), field("WARC-Target-URI").alias("uri"), field("WARC-Type").alias("record_type"), page("WARC-Refers-To").alias("refers_to"), F.regexp_extract(field("WARC-Payload-Digest"), "sha1:(.*)", 1).alias("payload_digest"))
+    given = lambda name: F.nullif(field(name), F.lit(""))
+    return raw.select("header", "digest", field("WARC-Record-ID").alias("record_id"), given("X-Page-ID").alias("page_id"), field("WARC-Target-URI").alias("uri"), field("WARC-Type").alias("record_type"), given("X-Refers-To-Page-ID").alias("refers_to"), given("WARC-Refers-To").alias("refers_to_id"), F.regexp_extract(field("WARC-Payload-Digest"), "sha1:(.*)", 1).alias("payload_digest"), field("Content-Length").cast("long").alias("content_length"))
 
 
 def read_payloads(spark: SparkSession, root: str) -> DataFrame:
@@ -97,9 +107,11 @@ def op3_warc(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     write_archive(pages, root)
     kind = pages.schema["page_id"].dataType
-    # what a page needs of its payload is computed where the payload is read, so no bytes are shuffled
-    stored = read_payloads(spark, root).select("digest", F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("read_sha1"))
-    back = read_headers(spark, root).join(stored, "digest", "left")
-    agreed = F.when(F.col("read_sha1") == F.col("payload_digest"), F.col("read_sha1")).otherwise(F.raise_error(F.lit("payload and header disagree")).cast("string"))
+    # a record's own bytes: what follows its header, or for a revisit what it refers to
+    body = F.substring("record", F.length("header") + 1, F.length("record") - F.length("header") - 4)
+    whole = F.length(body) == F.col("content_length")
+    back = rebuild(spark, root).withColumn("body", F.when(F.col("record_type") == "revisit", F.col("payload")).otherwise(body)).withColumn("framed", whole)
+    digest = F.sha1("body")
+    agreed = F.when(F.col("framed") & (digest == F.col("payload_digest")), digest).otherwise(F.raise_error(F.lit("payload and header disagree")).cast("string"))
     number = lambda c: F.when(F.col(c) != "null", F.col(c)).cast(kind)
-    return back.select(number("record_id").alias("page_id"), "payload_bytes", agreed.alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
+    return back.select(number("page_id").alias("page_id"), F.length("body").cast("long").alias("payload_bytes"), agreed.alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
