@@ -22,7 +22,7 @@ def brute(text):
 
 def plain_p(token):
     body = token.rstrip("=")
-    for _, test, alphabet in secrets.ENCODINGS:
+    for _, test, alphabet, runs in secrets.ENCODINGS:
         if re.search(test, body):
             break
     else:
@@ -31,14 +31,19 @@ def plain_p(token):
     v = [alphabet.index(c) for c in body]
     v = [x - 2 if x > 63 else x for x in v]
     sf = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
-    chi = sum(body.count(c) ** 2 for c in set(body)) * k / n - n
-    p1 = sf(((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1))))
+    chi, df, at = -n, -1, 0
+    for width in runs:
+        cuts = max(d for d in range(1, width + 1) if width % d == 0 and (d == 1 or n * width >= 5 * d * k))
+        for c in range(cuts):
+            chi += sum(at + width * c // cuts <= x < at + width * (c + 1) // cuts for x in v) ** 2 * cuts / width * k / n
+        df, at = df + cuts, at + width
+    p1 = sf(((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))) if df else 1
     changes = sum((a >= k / 2) != (b >= k / 2) for a, b in zip(v, v[1:]))
     p2 = 2 * sf(abs(changes - (n - 1) / 2) / math.sqrt((n - 1) / 4))
     lag = sum((a - (k - 1) / 2) * (b - (k - 1) / 2) for a, b in zip(v, v[1:]))
     p3 = 2 * sf(abs(lag) * 12 / ((k * k - 1) * math.sqrt(n - 1)))
-    x = -sum(math.log(max(min(p, 1), 1e-30)) for p in (p1, p2, p3))
-    return math.exp(-x) * (1 + x + x * x / 2)
+    c = sum(math.tan((0.5 - min(max(p, 1e-15), 0.95)) * math.pi) for p in (p1, p2, p3)) / 3
+    return 1 / (math.pi * c) if c > 1e6 else 0.5 - math.atan(c) / math.pi
 
 
 TEXTS = [
@@ -68,23 +73,37 @@ def test_base_spans(spark):
 
 def test_battery(spark):
     rng = random.Random(2)
-    tokens = ["".join(rng.choices(a, k=n)) for _, _, a in secrets.ENCODINGS for n in (20, 33, 70)] + ["Aa1" * 12, "a1" * 30, "thequickbrownfoxjumpsover", "1" * 40, "A2" * 20 + "==", "012345678901234567890123456789"]
+    tokens = ["".join(rng.choices(a, k=n)) for _, _, a, _ in secrets.ENCODINGS for n in (20, 33, 70)] + ["Aa1" * 12, "a1" * 30, "thequickbrownfoxjumpsover", "1" * 40, "A2" * 20 + "==", "012345678901234567890123456789"]
     whole = F.array(F.struct(F.lit(0).alias("start"), F.lit(3).alias("ord"), F.length("t").alias("end"), F.col("t").alias("m")))
     got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.with_p(whole).alias("p")).collect()
     for r in got:
         p = plain_p(r.t)
-        assert (not r.p) if p is None else abs(r.p[0].bin - math.floor(-100 * math.log10(max(p, 1e-20)))) <= 1, r.t
+        assert (not r.p) if p is None else abs(r.p[0].bin - math.floor(-100 * math.log10(max(p, 1e-15)))) <= 1, r.t
 
 
-def test_random_tokens_are_reported_and_patterned_ones_dismissed(spark):
+def battery(rng, n):
+    """Tokens of random characters, and ones of words and patterns that infer the same encodings, by length."""
+    words = "user session config handler index default version release module value name type list table".split()
+    plain = lambda k: "".join(w.capitalize() for w in rng.choices(words, k=9))[: k - 2] + str(rng.randint(10, 99))
+    made = ["".join(rng.choices(secrets.BASE64[:62], k=k)) for k in (22, 40, 60) for _ in range(n)]
+    made = [t for t in made if plain_p(t) is not None and not brute(t)]
+    return made, [plain(k) for k in (22, 40, 60) for _ in range(n)] + ["Ab1" * 14 + str(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [60, 300])
+def test_precision_and_recall_among_words(spark, n):
     rng = random.Random(4)
-    alphabet = secrets.BASE64[:64]
-    good = ["".join(rng.choices(alphabet, k=40)) for _ in range(60)]
-    good = [t for t in good if plain_p(t) is not None and "-" not in t and not brute(t)]
-    rows = good + ["Ab1" * 14 + str(i) for i in range(40)]
+    good, other = battery(rng, n)
+    rows = good + other
     out = {r.doc_id: len(r.secret_spans) for r in secrets.scan(frame(spark, [f"key {t} end" for t in rows])).collect()}
-    assert sum(out[i] for i in range(len(good))) >= 0.9 * len(good)
-    assert not any(out[i] for i in range(len(good), len(rows)))
+    hits, false = sum(out[i] for i in range(len(good))), sum(out[i] for i in range(len(good), len(rows)))
+    # the limit of a class follows its own tokens, so it is coarser where they are few
+    assert hits >= (0.8 if n == 60 else 0.95) * len(good) and false <= 0.08 * (hits + false), (hits, len(good), false)
+
+
+def test_nothing_is_reported_where_no_token_is_random(spark):
+    _, other = battery(random.Random(5), 80)
+    assert sum(len(r.secret_spans) for r in secrets.scan(frame(spark, other)).collect()) <= 4
 
 
 def test_redaction(spark):
