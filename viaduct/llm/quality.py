@@ -8,7 +8,7 @@ Training reads a bounded sample: the labelled documents with the least hash of d
 ``sample`` (a documented parameter) of them. Everything else covers all documents.
 
 Defined results: null and empty texts have no word and fail the base rule; texts of any length are
-read whole; repeated rows are scored each; without a label of either class the method keeps what
+read whole; of labelled rows that repeat a doc_id the text with the least hash is learned from; repeated rows are scored each; without a label of either class the method keeps what
 passes the base rule; an empty table gives no rows; other columns are ignored.
 """
 
@@ -75,7 +75,7 @@ def features(text: str | None, base: tuple) -> list[float]:
     digits = len(ascii_) - len(ascii_.translate(None, b"0123456789"))
     counts = Counter(words)
     return [
-        float(min(n, 1000)),
+        float(n),
         chars / some,
         symbols / some,
         dup / len(lines),
@@ -186,8 +186,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, **kw) -> Fores
     """
     chosen = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    stats = score_frame(found, None, ["doc_id", "quality"]).dropDuplicates(["doc_id"]).limit(sample)
+    found = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(chosen), "doc_id")
+    stats = score_frame(found, None, ["doc_id", "quality", "h"]).groupBy("doc_id").agg(F.min(F.struct("h", "quality", "x")).alias("r")).select("doc_id", "r.quality", "r.x")
     rows = sorted(stats.select("doc_id", "quality", "x").collect())
     y = np.array([float(r.quality) for r in rows])
     if not len(y) or y.min() == y.max():
