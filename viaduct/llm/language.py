@@ -19,6 +19,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 M = 1 << 20
 UND = "und"
+SCALE = 1 << 15
 
 
 class Encoder:
@@ -143,7 +144,8 @@ def predict_language(docs: DataFrame, names: list[str], prototypes: np.ndarray,
     import pyarrow as pa
 
     dim = prototypes.shape[1]
-    unit = (prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    # whole numbers, so that sums are exact and don't hang on the block a text is in
+    unit = np.rint(prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-12) * SCALE)
 
     def predict(batches):
         e = encoder(dim, seed)
@@ -152,7 +154,8 @@ def predict_language(docs: DataFrame, names: list[str], prototypes: np.ndarray,
             for i in range(0, len(texts), block):
                 grams = [e.ngrams(t) for t in texts.slice(i, block).to_pylist()]
                 v = e.bundle(grams)
-                cos = v @ unit.T / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) if names else np.zeros((len(grams), 1))
+                v = v.astype(np.float64)
+                cos = v @ unit.T / (SCALE * np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)) if names else np.zeros((len(grams), 1))
                 best = cos.argmax(1)
                 for k, (codes, _) in enumerate(grams):
                     none = not len(codes) or not names
