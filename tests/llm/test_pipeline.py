@@ -41,6 +41,8 @@ def test_pipeline(spark, tmp_path):
     assert got == want
     assert 66 in got and 65 not in got and 60 not in got
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    told = corpus_pipeline.keep_identified(spark, docs, str(tmp_path)).collect()
+    assert {r.lang for r in told} == {"en"} and len(told) == len([t for t in texts.values() if t and any(c.isalpha() for c in t)])
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), str(tmp_path)).columns == docs.columns
     shutil.rmtree(tmp_path)
