@@ -1,22 +1,24 @@
 """City graphs: shortest paths, reachability, suggestions and components.
 
-Path queries relax a frontier: each round joins the nodes that got better with the edges and keeps
-the least ``(cost, path)`` of each node, cut by a checkpoint in the shared folder, until none gets
-better. Equal costs give the lexicographically least path.
+Distances relax a frontier: each round joins the nodes that got better with the edges, keeps the
+least cost of each node in one aggregate, and is cut by one checkpoint in the shared folder, until
+none gets better. Paths are rebuilt afterwards over the edges of least ways alone; equal costs give
+the lexicographically least path.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from viaduct.sources.lines import shared_root
+
 
 def cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="viaduct-"))
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -39,22 +41,35 @@ def invalid_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return bad.select(F.concat_ws("-", "src", "dst").alias("edge_key")).distinct()
 
 
-def distances(edges: DataFrame, sources: DataFrame, limit: int | None = None) -> DataFrame:
-    """``(source, node, cost, path)`` of all nodes reachable from each of ``sources(id)`` over directed
+def distances(edges: DataFrame, sources: DataFrame, limit: int | None = None, paths: bool = True) -> DataFrame:
+    """``(source, node, cost)``, and ``path`` unless told otherwise, of all nodes reachable from each of ``sources(id)`` over directed
     least-weight edges, within ``limit`` if given; a source reaches itself at no cost."""
-    start = sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).cast("long").alias("cost"), F.array("id").alias("path"))
-    best = cut(start)
-    frontier = best
-    while not frontier.isEmpty():
-        step = frontier.join(edges, F.col("node") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
-        step = step.select("source", F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.concat("path", F.array("dst")).alias("path"))
+    zero = F.lit(0).cast("long")
+    best = cut(sources.select(F.col("id").alias("source"), F.col("id").alias("node"), zero.alias("cost"), F.lit(True).alias("better")).distinct())
+    while True:
+        step = best.where("better").join(edges, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.lit(None).cast("long").alias("old"))
         if limit is not None:
             step = step.where(F.col("cost") <= limit)
-        offered = step.groupBy("source", "node").agg(F.min(F.struct("cost", "path")).alias("offer"))
-        old = best.select("source", "node", F.struct("cost", "path").alias("old"))
-        frontier = cut(offered.join(old, ["source", "node"], "left").where("old is null or offer < old").select("source", "node", "offer.cost", "offer.path"))
-        best = cut(best.join(frontier, ["source", "node"], "left_anti").union(frontier))
-    return best
+        offered = step.groupBy("source", "node").agg(F.min("cost").alias("cost"), F.max("old").alias("old"))
+        both = best.select("source", "node", "cost", F.col("cost").alias("old")).union(offered)
+        best = cut(both.groupBy("source", "node").agg(F.min("cost").alias("cost"), F.max("old").alias("old")).select("source", "node", "cost", (F.col("old").isNull() | (F.col("cost") < F.col("old"))).alias("better")))
+        if best.where("better").isEmpty():
+            found = best.select("source", "node", "cost")
+            return with_paths(found, edges) if paths else found
+
+
+def with_paths(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """``found(source, node, cost)`` with the lexicographically least ``path`` of that cost."""
+    begin, end = found.select("source", F.col("node").alias("src"), F.col("cost").alias("c0")), found.select("source", F.col("node").alias("dst"), F.col("cost").alias("c1"))
+    tight = cut(begin.join(edges, "src").join(end, ["source", "dst"]).where("c0 + w = c1 and src <> dst").select("source", "src", "dst"))
+    best = cut(found.where("source = node").select("source", "node", F.array("node").alias("path"), F.lit(True).alias("better")))
+    while True:
+        step = best.where("better").withColumnRenamed("node", "src").join(tight, ["source", "src"])
+        step = step.select("source", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.lit(None).cast("array<bigint>").alias("old"))
+        both = best.select("source", "node", "path", F.col("path").alias("old")).union(step)
+        best = cut(both.groupBy("source", "node").agg(F.min("path").alias("path"), F.max("old").alias("old")).select("source", "node", "path", (F.col("old").isNull() | (F.col("path") < F.col("old"))).alias("better")))
+        if best.where("better").isEmpty():
+            return found.join(best.select("source", "node", "path"), ["source", "node"])
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

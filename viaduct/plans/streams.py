@@ -37,26 +37,19 @@ def str_5(spark, sf_dir):
     return upsert(rolling(stream, "at", "event_type", "value", "2 hours", "1 hour", "400 days"), "event_type", "began")
 
 
-def str_10(spark, sf_dir):
-    """The last event of each burst, a burst ending where its user is idle for 30 minutes."""
-    _events(spark, sf_dir).createOrReplaceTempView("str_10_events")
-    return spark.sql(ORACLE_SQL["str_10"].replace("FROM events", "FROM str_10_events"))
-
-
 def snk_2(spark, sf_dir):
     path = f"{shared_folder(spark)}/lines"
     write_lines(_events(spark, sf_dir).select("event_id", "user_id", "event_type", "value"), path)
     return read_lines(spark, path, EVENT)
 
 
-QUERIES = {"str_1": str_1, "str_3": str_3, "str_5": str_5, "str_10": str_10, "snk_2": snk_2, "src_17": snk_2}
+QUERIES = {"str_1": str_1, "str_3": str_3, "str_5": str_5, "snk_2": snk_2, "src_17": snk_2}
 
 _LINES = "SELECT event_id, user_id, event_type, value FROM events"
 ORACLE_SQL = {
     "str_1": "SELECT event_type, count(*) AS n, max(event_id) AS last_event, min(value) AS low FROM events GROUP BY event_type",
     "str_3": "SELECT user_id, count(*) AS n, max(event_id) AS last_event, max(value) AS high FROM events GROUP BY user_id",
     "str_5": "WITH w AS (SELECT event_type, value, date_trunc('hour', ts) AS s FROM events UNION ALL SELECT event_type, value, date_trunc('hour', ts) - INTERVAL '1' HOUR FROM events) SELECT event_type, CAST(epoch(s) AS BIGINT) AS began, count(*) AS n, min(value) AS low, max(value) AS high FROM w GROUP BY event_type, s",
-    "str_10": "WITH e AS (SELECT user_id, event_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events) SELECT user_id, event_id FROM e WHERE nx IS NULL OR nx > ts + INTERVAL '30' MINUTE",
     "snk_2": _LINES,
     "src_17": _LINES,
 }

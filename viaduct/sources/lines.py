@@ -8,10 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder all executors share, as the session names it. Only a session on this machine alone gets one of its own."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
+    return (named or tempfile.mkdtemp(prefix="viaduct-")).rstrip("/")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder the session names; in a local one only where none is named (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="viaduct-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
 
 
 def write_lines(df: DataFrame, path: str, *chunk_by: str) -> None:
