@@ -59,10 +59,22 @@ def labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return components(nodes.select(F.col("node").alias("id")), edges).select(F.col("id").alias("node"), "component")
 
 
-def segment_stitches(nodes: DataFrame, edges: DataFrame, metres: float = ENDS_M) -> tuple[DataFrame, DataFrame]:
+def relabel(known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Components ``known(node, component)`` after pairs ``(u, v)`` are linked: only the components that they
+    join are looked at again."""
+    of = lambda end: known.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    links = cut(pairs.join(of("u"), "u").join(of("v"), "v").select(F.col("cu").alias("src"), F.col("cv").alias("dst")).where("src <> dst").distinct())
+    if links.isEmpty():
+        return known
+    ids = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
+    top = components(ids, links).select(F.col("id").alias("component"), F.col("component").alias("top"))
+    return cut(known.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component")))
+
+
+def segment_stitches(nodes: DataFrame, edges: DataFrame, metres: float = ENDS_M, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """New nodes and pairs where a node of degree one lies within ``metres`` of a segment of another
     component: the nearest place on it is linked with the node and both its ends."""
-    known = labels(nodes, edges).join(nodes, "node")
+    known = (labels(nodes, edges) if known is None else known).join(nodes, "node")
     lone = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n")).where("n = 1").join(known, "node")
     end = lambda c, p: known.select(F.col("node").alias(c), F.col("lat").alias(f"{p}lat"), F.col("lon").alias(f"{p}lon"), F.col("component").alias(f"{p}component"))
     segments = edges.where("src < dst").join(end("src", "a"), "src").join(end("dst", "b"), "dst")
@@ -84,10 +96,10 @@ def segment_stitches(nodes: DataFrame, edges: DataFrame, metres: float = ENDS_M)
     return made, pairs.groupBy("u", "v").agg(F.min("w").alias("w"))
 
 
-def component_stitches(nodes: DataFrame, edges: DataFrame, ends: DataFrame, micro: float = MICRO_M, wide: float = COMPONENT_M) -> DataFrame:
+def component_stitches(nodes: DataFrame, edges: DataFrame, ends: DataFrame, micro: float = MICRO_M, wide: float = COMPONENT_M, known: DataFrame | None = None) -> DataFrame:
     """Pairs of different components within ``micro`` metres, or ``wide`` if a line end is one of them, in
     neighbouring cells."""
-    known = labels(nodes, edges)
+    known = labels(nodes, edges) if known is None else known
     of = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     end = lambda c: ends.select(F.col("node").alias(c), F.lit(True).alias(f"e{c}"))
     met = stitch_pairs(nodes, wide, CELL, 1).join(of("u"), "u").join(of("v"), "v").where("cu <> cv")
@@ -96,19 +108,22 @@ def component_stitches(nodes: DataFrame, edges: DataFrame, ends: DataFrame, micr
 
 
 def stitched(nodes: DataFrame, edges: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The three stitches, each over what the one before left."""
+    """Nodes with their component, and edges, after the three stitches, each over what the one before left."""
     add = lambda edges, pairs: cut(least_parallel(edges.union(both_ways(pairs))))
     edges = add(edges, endpoint_stitches(nodes, ends))
-    made, pairs = segment_stitches(nodes, edges)
+    known = cut(labels(nodes, edges))
+    made, pairs = segment_stitches(nodes, edges, known=known)
+    made, pairs = cut(made), cut(pairs)
     nodes, edges = cut(nodes.union(made)), add(edges, pairs)
-    return nodes, add(edges, component_stitches(nodes, edges, ends))
+    known = relabel(known.union(made.select("node", F.col("node").alias("component"))), pairs)
+    pairs = cut(component_stitches(nodes, edges, ends, known=known))
+    return nodes.join(relabel(known, pairs), "node"), add(edges, pairs)
 
 
 def build_network(lines: DataFrame, spacing: float = 500.0) -> tuple[DataFrame, DataFrame]:
     """Nodes with their component and edges of a network of lines."""
     nodes, edges, ends = track_graph(lines, spacing)
-    nodes, edges = stitched(cut(nodes), cut(edges), cut(ends))
-    return nodes.join(labels(nodes, edges), "node"), edges
+    return stitched(cut(nodes), cut(edges), cut(ends))
 
 
 def merge_networks(*networks: tuple[DataFrame, DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:

@@ -41,15 +41,15 @@ def ct_3(spark, d):
 
 
 def ct_5(spark, d):
-    """Halts within 12 km of each other that no edge of customers with like keys joins."""
+    """Halts within 60 km of each other that no edge of customers with like keys joins."""
     nodes = halts(spark, d).select(C("k").alias("node"), "lat", "lon")
     k = C("c_custkey")
     edges = read(spark, d, "customer").select(k.alias("src"), F.explode(F.array(k + 1, k + 37, k + 53)).alias("dst"))
-    return a.close_without_edge(nodes, edges, (100.0, 9_000.0, 12_000.0))
+    return a.close_without_edge(nodes, edges, (20_000.0, 45_000.0, 60_000.0))
 
 
-CT_5 = f"""WITH {HALTS}, e0 AS (SELECT c_custkey AS u, unnest([c_custkey + 1, c_custkey + 37, c_custkey + 53]) AS v FROM customer), e AS (SELECT u, v FROM e0 UNION SELECT v, u FROM e0), n AS (SELECT x.k AS u, y.k AS v, {s.q_hav('x.lat', 'x.lon', 'y.lat', 'y.lon')} AS m FROM halts x JOIN halts y ON x.k < y.k WHERE m <= 12000), l AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.u = n.u AND e.v = n.v)), o AS (SELECT l.u, l.v, e.v AS x FROM l JOIN e ON e.u = l.u), t2 AS (SELECT DISTINCT o.u, o.v FROM o JOIN e ON e.u = o.x AND e.v = o.v), t3 AS (SELECT DISTINCT o.u, o.v FROM o JOIN e p ON p.u = o.x JOIN e q ON q.u = p.v AND q.v = o.v)
-SELECT l.u, l.v, CASE WHEN m <= 100 THEN 100 WHEN m <= 9000 THEN 9000 ELSE 12000 END AS band, CASE WHEN t2.u IS NOT NULL THEN 2 WHEN t3.u IS NOT NULL THEN 3 END AS hops FROM l LEFT JOIN t2 ON l.u = t2.u AND l.v = t2.v LEFT JOIN t3 ON l.u = t3.u AND l.v = t3.v"""
+CT_5 = f"""WITH {HALTS}, e0 AS (SELECT c_custkey AS u, unnest([c_custkey + 1, c_custkey + 37, c_custkey + 53]) AS v FROM customer), e AS (SELECT u, v FROM e0 UNION SELECT v, u FROM e0), n AS (SELECT x.k AS u, y.k AS v, {s.q_hav('x.lat', 'x.lon', 'y.lat', 'y.lon')} AS m FROM halts x JOIN halts y ON x.k < y.k WHERE m <= 60000), l AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.u = n.u AND e.v = n.v)), o AS (SELECT l.u, l.v, e.v AS x FROM l JOIN e ON e.u = l.u), t2 AS (SELECT DISTINCT o.u, o.v FROM o JOIN e ON e.u = o.x AND e.v = o.v), t3 AS (SELECT DISTINCT o.u, o.v FROM o JOIN e p ON p.u = o.x JOIN e q ON q.u = p.v AND q.v = o.v)
+SELECT l.u, l.v, CASE WHEN m <= 20000 THEN 20000 WHEN m <= 45000 THEN 45000 ELSE 60000 END AS band, CASE WHEN t2.u IS NOT NULL THEN 2 WHEN t3.u IS NOT NULL THEN 3 END AS hops FROM l LEFT JOIN t2 ON l.u = t2.u AND l.v = t2.v LEFT JOIN t3 ON l.u = t3.u AND l.v = t3.v"""
 
 
 def ct_6(spark, d):

@@ -161,10 +161,10 @@ JN_13 = f"WITH {_NEAR}, r AS (SELECT *, min(m) OVER (PARTITION BY k) AS best FRO
 
 def jn_15(spark, d):
     nodes = references(spark, d).select(C("r").alias("node"), C("nlat").alias("lat"), C("nlon").alias("lon"))
-    return spatial.stitch_pairs(nodes, 150_000.0).select("u", "v")
+    return spatial.stitch_pairs(nodes, 400_000.0).select("u", "v")
 
 
-JN_15 = f"WITH {REFS} SELECT a.r AS u, b.r AS v FROM refs a JOIN refs b ON a.r < b.r WHERE {s.q_hav('a.nlat', 'a.nlon', 'b.nlat', 'b.nlon')} <= 150000"
+JN_15 = f"WITH {REFS} SELECT a.r AS u, b.r AS v FROM refs a JOIN refs b ON a.r < b.r WHERE {s.q_hav('a.nlat', 'a.nlon', 'b.nlat', 'b.nlon')} <= 400000"
 
 
 def jn_20(spark, d):

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from viaduct.operators import polylines as p
-from viaduct.operators import rails, spatial
+from viaduct.operators import graphs, rails, spatial
 from viaduct.plans import scalars as s
 from viaduct.plans.feed import read
 from viaduct.plans.places import HALTS, at, halts, q_at
@@ -289,24 +289,24 @@ _SNAP = lambda n, y, x, k, nodes: f"{n}0 AS (SELECT trip, node, round({s.q_hav(y
 
 
 def gr_16(spark, d):
-    nodes, _ = rails.build_network(tracks(spark, d))
-    found = rails.topology(_trips(spark, d), nodes)
+    nodes, edges, _ = rails.track_graph(tracks(spark, d))
+    found = rails.topology(_trips(spark, d), nodes.join(rails.labels(nodes, graphs.cut(edges)), "node"))
     return found.select("trip", "from_candidates", "from_nearest", F.size("from_components").cast("long").alias("from_components"), "to_candidates", "to_nearest", F.size("to_components").cast("long").alias("to_components"), "shared")
 
 
-_SIDES = f"WITH RECURSIVE {NETWORK}, {_TRIPS}, {_SNAP('sa', 'tp.lat', 'tp.lon', 8, 'n2')}, {_SNAP('sb', 'tp.blat', 'tp.blon', 8, 'n2')}"
-GR_16 = f"{_SIDES}, ga AS (SELECT trip, count(*) AS n, min(m) AS m, list(DISTINCT component) AS c FROM sa JOIN c3 USING (node) GROUP BY trip), gb AS (SELECT trip, count(*) AS n, min(m) AS m, list(DISTINCT component) AS c FROM sb JOIN c3 USING (node) GROUP BY trip) SELECT trip, ga.n AS from_candidates, ga.m AS from_nearest, len(ga.c) AS from_components, gb.n AS to_candidates, gb.m AS to_nearest, len(gb.c) AS to_components, coalesce(list_has_any(ga.c, gb.c), false) AS shared FROM tp LEFT JOIN ga USING (trip) LEFT JOIN gb USING (trip)"
+_SIDES = f"WITH RECURSIVE {NETWORK}, e9 AS (SELECT u AS src, v AS dst, min(w) AS w FROM b0 GROUP BY ALL), {_COMP.format(n='c9', e='e9')}, {_TRIPS}, {_SNAP('sa', 'tp.lat', 'tp.lon', 8, 'nd')}, {_SNAP('sb', 'tp.blat', 'tp.blon', 8, 'nd')}"
+GR_16 = f"{_SIDES}, ga AS (SELECT trip, count(*) AS n, min(m) AS m, list(DISTINCT component) AS c FROM sa JOIN c9 USING (node) GROUP BY trip), gb AS (SELECT trip, count(*) AS n, min(m) AS m, list(DISTINCT component) AS c FROM sb JOIN c9 USING (node) GROUP BY trip) SELECT trip, ga.n AS from_candidates, ga.m AS from_nearest, len(ga.c) AS from_components, gb.n AS to_candidates, gb.m AS to_nearest, len(gb.c) AS to_components, coalesce(list_has_any(ga.c, gb.c), false) AS shared FROM tp LEFT JOIN ga USING (trip) LEFT JOIN gb USING (trip)"
 
 
 def var_22(spark, d):
     """Sorted component ids of the snap candidates of a trip's start."""
-    nodes, _ = rails.build_network(tracks(spark, d))
-    return rails.topology(_trips(spark, d), nodes).select("trip", F.array_join(F.transform("from_components", lambda c: c.cast("string")), ",").alias("components")).where("components is not null")
+    nodes, edges, _ = rails.track_graph(tracks(spark, d))
+    return rails.topology(_trips(spark, d), nodes.join(rails.labels(nodes, graphs.cut(edges)), "node")).select("trip", F.array_join(F.transform("from_components", lambda c: c.cast("string")), ",").alias("components")).where("components is not null")
 
 
 def _best(spark, d, most):
-    nodes, edges = rails.build_network(tracks(spark, d))
-    return rails.best_routes(_trips(spark, d), nodes, edges, most, k=3)
+    nodes, edges, _ = rails.track_graph(tracks(spark, d))
+    return rails.best_routes(_trips(spark, d), nodes, graphs.cut(edges), most, k=3)
 
 
 def gr_11(spark, d):
@@ -319,7 +319,7 @@ def var_20(spark, d):
 
 
 def _q_best(most: int) -> str:
-    return f"WITH RECURSIVE {NETWORK}, {_TRIPS}, {_SNAP('sa', 'tp.lat', 'tp.lon', 3, 'n2')}, {_SNAP('sb', 'tp.blat', 'tp.blon', 3, 'n2')}, dj(source, node, cost, hop) AS (SELECT DISTINCT node, node, 0::BIGINT, 0 FROM sa UNION SELECT source, dst, min(cost + w), hop + 1 FROM dj JOIN e3 ON src = node WHERE hop < 40 AND cost + w <= {most} GROUP BY source, dst, hop), ds AS (SELECT source, node, min(cost) AS cost FROM dj GROUP BY ALL), ro AS (SELECT sa.trip, cost + sa.m + sb.m AS score, source, ds.node, cost FROM sa JOIN sb USING (trip) JOIN tp USING (trip) JOIN ds ON ds.source = sa.node AND ds.node = sb.node WHERE cost + sa.m + sb.m <= {most} AND (source <> ds.node OR round({s.q_hav('tp.lat', 'tp.lon', 'tp.blat', 'tp.blon')}) <= 350)) SELECT trip, min(score) AS score, arg_min(source, (score, source, node)) AS from_node, arg_min(node, (score, source, node)) AS to_node, arg_min(cost, (score, source, node)) AS metres FROM ro GROUP BY trip"
+    return f"WITH RECURSIVE {NETWORK}, e9 AS (SELECT u AS src, v AS dst, min(w) AS w FROM b0 GROUP BY ALL), {_COMP.format(n='c9', e='e9')}, {_TRIPS}, {_SNAP('sa', 'tp.lat', 'tp.lon', 3, 'nd')}, {_SNAP('sb', 'tp.blat', 'tp.blon', 3, 'nd')}, dj(source, node, cost, hop) AS (SELECT DISTINCT node, node, 0::BIGINT, 0 FROM sa UNION SELECT source, dst, min(cost + w), hop + 1 FROM dj JOIN e9 ON src = node WHERE hop < 40 AND cost + w <= {most} GROUP BY source, dst, hop), ds AS (SELECT source, node, min(cost) AS cost FROM dj GROUP BY ALL), ro AS (SELECT sa.trip, cost + sa.m + sb.m AS score, source, ds.node, cost FROM sa JOIN sb USING (trip) JOIN tp USING (trip) JOIN ds ON ds.source = sa.node AND ds.node = sb.node WHERE cost + sa.m + sb.m <= {most} AND (source <> ds.node OR round({s.q_hav('tp.lat', 'tp.lon', 'tp.blat', 'tp.blon')}) <= 350)) SELECT trip, min(score) AS score, arg_min(source, (score, source, node)) AS from_node, arg_min(node, (score, source, node)) AS to_node, arg_min(cost, (score, source, node)) AS metres FROM ro GROUP BY trip"
 
 
 QUERIES = {n: globals()[n] for n in ("wn_5", "wn_6", "wn_7", "wn_8", "wn_9", "wn_10", "jn_14", "flt_14", "flt_17", "flt_18", "ag_23", "fn_m15", "jn_24", "jn_18", "var_37", "var_34", "prj_5", "prj_12", "gr_14", "jn_16", "jn_17", "st_1", "snk_4", "src_32", "var_23", "gr_16", "var_22", "gr_11", "var_20")}
@@ -340,5 +340,5 @@ ORACLE_SQL = {
     "snk_4": f"WITH RECURSIVE {NETWORK} SELECT u AS src, v AS dst, min(w) AS w FROM b0 WHERE u < v GROUP BY ALL",
     "src_32": f"WITH RECURSIVE {NETWORK} SELECT u AS src, v AS dst, min(w) AS w FROM b0 GROUP BY ALL",
     "var_23": f"WITH RECURSIVE {NETWORK} SELECT node, round(lat, 5) AS lat, round(lon, 5) AS lon FROM nd",
-    "var_22": f"{_SIDES} SELECT trip, string_agg(component::VARCHAR, ',' ORDER BY component) AS components FROM (SELECT DISTINCT trip, component FROM sa JOIN c3 USING (node)) GROUP BY trip",
+    "var_22": f"{_SIDES} SELECT trip, string_agg(component::VARCHAR, ',' ORDER BY component) AS components FROM (SELECT DISTINCT trip, component FROM sa JOIN c9 USING (node)) GROUP BY trip",
 }

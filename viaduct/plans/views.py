@@ -493,7 +493,7 @@ ORACLE_SQL = {
     "so_8": "SELECT c_custkey AS k, c_custkey % 10 * 1000000 + c_custkey * 7919 % 500000 AS priority FROM customer ORDER BY priority DESC, k LIMIT 7000",
     "flt_12": f"WITH {_REACH} SELECT k FROM r WHERE k % 50 = 0 OR minutes BETWEEN 60 AND 900",
     "so_5": f"WITH {_REACH} SELECT k, row_number() OVER (ORDER BY minutes, k) - 1 AS position FROM r WHERE minutes <= 120",
-    "ag_22": "SELECT o_custkey AS trip, coalesce(greatest(60, ceil(max(o_orderkey % 1700) FILTER (WHERE o_orderstatus <> 'P') / 60.0) * 60), 1440)::BIGINT AS bound FROM orders GROUP BY o_custkey",
+    "ag_22": "WITH l AS (SELECT o_custkey AS trip, max(o_orderkey % 1700) FILTER (WHERE o_orderstatus <> 'P') AS top FROM orders GROUP BY o_custkey) SELECT trip, CASE WHEN top IS NULL THEN 1440 ELSE greatest(60, ceil(top / 60.0) * 60) END::BIGINT AS bound FROM l",
     "ag_24": "WITH r AS (SELECT CASE WHEN NOT coalesce(CASE WHEN c_custkey % 7 > 0 THEN c_custkey * 13 % 1500 END BETWEEN 60 AND 900, false) THEN 't' WHEN c_custkey % 10 < 4 THEN 'i' WHEN c_custkey * 37 % 250 / 10.0 NOT BETWEEN 4 AND 19 THEN 'v' ELSE 's' END AS why FROM customer) SELECT count(*) AS cities, count_if(why = 't') AS culled_time, count_if(why = 'i') AS culled_interest, count_if(why = 'v') AS culled_view, count_if(why = 's') AS shown FROM r",
     "ag_19": "SELECT event_type, arg_max(value, event_id) AS last_value, count(*) AS samples FROM events GROUP BY event_type",
     "ag_20": "SELECT sum(n_chars)::BIGINT AS bytes FROM documents WHERE source LIKE 'src1%'",
