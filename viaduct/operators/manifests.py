@@ -197,7 +197,9 @@ def select_resource(resources: DataFrame, key: str, title: str, created: str, fo
 def probe_version(payload: Column) -> Column:
     """The first of seven places in a probe's JSON that holds a text."""
     at = ["$.modified", "$.data_processed", "$.metas.data_processed", "$.metas.metadata_processed", "$.metas.default.modified", "$.metas.default.data_processed", "$.metas.default.metadata_processed"]
-    return F.coalesce(*[F.get_json_object(payload, p) for p in at])
+    parsed = F.try_parse_json(payload)
+    said = lambda p: F.when(F.schema_of_variant(F.try_variant_get(parsed, p, "variant")) == "STRING", F.try_variant_get(parsed, p, "string"))
+    return F.coalesce(*[said(p) for p in at])
 
 
 def is_zip(content: Column) -> Column:

@@ -299,7 +299,7 @@ ORACLE_SQL = {
     "src_19": f"WITH {SOURCES} SELECT id, id || '.zip' AS file FROM s WHERE active AND n <> 2",
     "src_24": q_resource("title", "lower(format) = 'zip' AND title LIKE 'Feed%' AND regexp_matches(url, '^https?://')"),
     "src_25": q_resource("name", "url LIKE '%example%'"),
-    "src_26": "SELECT event_id, ['7', 'x', 'm', 'd', 'e', 'f', '2024', NULL][1 + event_id % 8] AS version FROM events",
+    "src_26": "SELECT event_id, ['p', 'x', 'm', 'd', 'e', 'f', '2024', NULL][1 + event_id % 8] AS version FROM events",
     "src_27": "SELECT page_id, page_id % 5 < 3 AS zip, false AS page_is_zip FROM pages",
     "st_7": "SELECT item_id AS id, text FROM benchmark",
     "fn_c1": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'FR' WHEN c_custkey % 3 = 0 THEN 'DE' WHEN c_custkey % 5 = 0 THEN 'IT' WHEN c_custkey % 7 = 0 THEN 'ES' END AS cc, CASE WHEN c_custkey % 2 = 0 THEN 'explicit_authoritative' WHEN c_custkey % 3 = 0 THEN 'registry_match' WHEN c_custkey % 5 = 0 THEN 'coordinate_match' WHEN c_custkey % 7 = 0 THEN 'source_fallback' ELSE 'unresolved' END AS reason FROM customer",
