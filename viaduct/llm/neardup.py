@@ -100,7 +100,8 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float, most: int = 100_
     both = both.unionByName(pairs.join(keys, "u", "left_semi").join(right, "v").join(F.broadcast(few), "u"))
     shared = F.size(F.array_intersect("su", "sv"))
     near = shared >= F.lit(threshold) * (F.size("su") + F.size("sv") - shared) - 1e-9
-    return both.where(near).select("u", "v")
+    length = F.least(F.size("su"), F.size("sv")) >= F.lit(threshold) * F.greatest(F.size("su"), F.size("sv")) - 1e-9
+    return both.where(length).where(near).select("u", "v")
 
 
 def near_matrix(left: list, members: list, threshold: float) -> np.ndarray:
@@ -200,17 +201,15 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall:
     nodes = worded.groupBy("node").agg(first("doc_id", "rid"), F.count("*").alias("copies")).select("node", "first.doc_id", "first.rid", "copies")
     nodes = cut(nodes)
     lender = nodes.select("node", "rid")
-    member = worded.select("node", "n", F.posexplode("bands").alias("band", "hash"))
-    member = member.groupBy(F.xxhash64("band", "hash").alias("key"), "node").agg(F.min("n").alias("n"))
-    shared = member.groupBy("key").agg(F.count("*").alias("n_bucket"), *[F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(i))).alias(f"l{i}") for i in range(leaders)]).where("n_bucket > 1")
+    member = worded.select("node", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("key"), "node").distinct()
+    shared = member.groupBy("key").agg(F.count("*").alias("n_bucket"), *[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"l{i}") for i in range(leaders)]).where("n_bucket > 1")
     full = cut(join_skewed(member, shared, "key"))
-    alike = lambda a, b: F.least(a, b) >= F.lit(threshold) * F.greatest(a, b) - 1e-9  # noqa: E731  sets of other lengths can't reach the threshold
     few = full.where(F.col("n_bucket") <= small)
-    pairs = few.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("m"))
-    pairs = pairs.select(F.explode("m").alias("a"), "m").select("a", F.explode("m").alias("b")).where("a.node < b.node").where(alike(F.col("a.n"), F.col("b.n"))).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    pairs = few.groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"))
+    pairs = pairs.select(F.explode("m").alias("u"), "m").select("u", F.explode("m").alias("v")).where("u < v")
     many = full.where(F.col("n_bucket") > small)
-    stars = many.select("node", "n", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(leaders)]))).alias("l")).where("node <> l.node").where(alike(F.col("n"), F.col("l.n")))
-    stars = stars.select(F.col("l.node").alias("u"), F.col("node").alias("v"))
+    stars = many.select("node", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(leaders)]))).alias("l")).where("node <> l")
+    stars = stars.select(F.col("l").alias("u"), F.col("node").alias("v"))
     pairs = pairs.union(stars).distinct()
 
     wanted = full.select("node").distinct().join(lender, "node")
@@ -226,7 +225,8 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall:
     if not more.isEmpty():
         joined = components(links.union(more).distinct())
     # only texts with a copy or a link have more to tell than their own row
-    told = cut(nodes.join(joined, "node", "left").where("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "node")))
+    told = nodes.join(joined, "node", "left").where("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "node"))
+    told = cut(told.select("node", "component", "doc_id", "rid"))
     classes = told.groupBy("component").agg(first("doc_id", "rid"), F.count("*").alias("n_group")).select("component", F.col("first.doc_id").alias("class_id"), F.col("first.rid").alias("keeper"), "n_group")
     told = cut(join_skewed(told.select("node", "component"), classes, "component"))
     if counted:
