@@ -229,7 +229,7 @@ sg AS (SELECT id, arg_min(i, (i, kind, rank)) AS after_stop, arg_min(detour, (i,
 GR_7 = _suggested(g.TRIP) + " SELECT id, interest, after_stop, detour FROM sg JOIN cities USING (id)"
 SO_4 = _suggested(g.TRIP) + " SELECT id, interest, after_stop, detour, row_number() OVER (ORDER BY interest DESC, detour, id) - 1 AS rank FROM sg JOIN cities USING (id)"
 _LEGS = ", ".join(f"({i + 1}, {x}::BIGINT, {y}::BIGINT)" for i, (x, y) in enumerate(zip(g.TRIP, g.TRIP[1:], strict=False)))
-GR_8 = _suggested(g.TRIP) + f" SELECT i, a, b, cost, len(path)::INT AS stops FROM (VALUES {_LEGS}) AS l(i, a, b) JOIN ds ON ds.source = a AND ds.node = b JOIN bp ON bp.source = a AND bp.node = b"
+GR_8 = _suggested(g.TRIP) + f" SELECT i, a, b, cost, len(path)::INT AS stops FROM (VALUES {_LEGS}) AS l(i, a, b) LEFT JOIN ds ON ds.source = a AND ds.node = b LEFT JOIN bp ON bp.source = a AND bp.node = b"
 
 
 def so_9(spark, d):
