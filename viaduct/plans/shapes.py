@@ -1,4 +1,4 @@
-"""Lines and rail networks: vectors as lines on a map, customers as points of their nation's line, suppliers as
+"""Lines and rail networks: vectors as lines on a map, customers as points of their nation's line, nations as
 tracks, each query beside its SQL."""
 
 from __future__ import annotations
@@ -196,10 +196,10 @@ TRACK = {"south": 48.0, "west": 2.0, "high": 50, "wide": 70, "step": 1000.0}
 
 
 def tracks(spark, d):
-    """A straight track a supplier, all in a few kilometres."""
-    k = C("s_suppkey")
+    """A straight track a region, all in a few kilometres."""
+    k = C("r_regionkey").cast("long")
     end = lambda i, a, b: F.struct(F.lit(i).alias("i"), *[v.alias(n) for n, v in zip(("lat", "lon"), at(k, a, b, **TRACK), strict=True)])
-    rows = read(spark, d, "supplier").select(k.alias("line"), F.explode(F.array(end(0, 37, 53), end(1, 91, 17))).alias("q"))
+    rows = read(spark, d, "region").select(k.alias("line"), F.explode(F.array(end(0, 37, 53), end(1, 91, 17))).alias("q"))
     return rows.select("line", "q.i", "q.lat", "q.lon")
 
 
@@ -208,7 +208,7 @@ _W = lambda m: f"greatest(round({m}), 1)::BIGINT"
 _COMP = "{n}0(node, root) AS (SELECT DISTINCT src, src FROM {e} UNION SELECT e.dst, c.root FROM {n}0 c JOIN {e} e ON e.src = c.node WHERE e.dst <> c.root), {n} AS (SELECT node, min(root) AS component FROM (SELECT * FROM {n}0 UNION ALL SELECT src, src FROM {e}) GROUP BY node)"
 _CELLS = "abs(floor(a.lat / 0.001::DOUBLE) - floor(b.lat / 0.001::DOUBLE)) <= 1 AND abs(floor(a.lon / 0.001::DOUBLE) - floor(b.lon / 0.001::DOUBLE)) <= 1"
 _AB = s.q_hav("a.lat", "a.lon", "b.lat", "b.lon")
-NETWORK = f"""tr AS (SELECT s_suppkey AS line, {q_at('s_suppkey', 37, 53, **TRACK, names='blat,blon')}, {q_at('s_suppkey', 91, 17, **TRACK)} FROM supplier),
+NETWORK = f"""tr AS (SELECT r_regionkey::BIGINT AS line, {q_at('r_regionkey', 37, 53, **TRACK, names='blat,blon')}, {q_at('r_regionkey', 91, 17, **TRACK)} FROM region),
 cu AS (SELECT *, greatest(ceil({_STEP} / 500), 1)::INT AS pieces FROM tr), pj AS (SELECT *, unnest(generate_series(0, pieces))::INT AS j FROM cu),
 pt AS (SELECT line, j, CASE j WHEN 0 THEN blat WHEN pieces THEN lat ELSE blat + (lat - blat) * (j / pieces) END AS lat, CASE j WHEN 0 THEN blon WHEN pieces THEN lon ELSE blon + (lon - blon) * (j / pieces) END AS lon, pieces FROM pj),
 pn AS (SELECT *, {_ID('lat', 'lon')} AS node, lag({_ID('lat', 'lon')}) OVER w AS bnode, lag(lat) OVER w AS blat, lag(lon) OVER w AS blon FROM pt WINDOW w AS (PARTITION BY line ORDER BY j)),
@@ -254,7 +254,7 @@ JN_17 = f"WITH RECURSIVE {NETWORK}, e9 AS (SELECT u AS src, v AS dst, min(w) AS
 
 
 def st_1(spark, d):
-    """Tracks of even and odd suppliers as two networks in one."""
+    """Tracks of even and odd regions as two networks in one."""
     half = lambda k: rails.track_graph(tracks(spark, d).where(f"line % 2 = {k}"))
     return rails.merge_networks(half(0), half(1))[1]
 
