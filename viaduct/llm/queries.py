@@ -6,10 +6,12 @@ take those columns from the same operator.
 
 from pyspark.sql import functions as F
 
-from viaduct.llm import pii, quality, secrets
+from viaduct.llm import divergence, fim, pii, quality, secrets
 from viaduct.llm.chat import op6_chat
 from viaduct.llm.common import table
 from viaduct.llm.decontamination import op7_decontamination
+from viaduct.llm.divergence import op12_divergence
+from viaduct.llm.fim import op13_fim
 from viaduct.llm.language import op10_language
 from viaduct.llm.neardup import op9_ngram_join
 from viaduct.llm.packing import op2_packing
@@ -57,6 +59,8 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_ngram_join": op9_ngram_join,
     "op10_language": op10_language,
+    "op12_divergence": op12_divergence,
+    "op13_fim": op13_fim,
     "quality_base": quality_base,
     "pii_base": pii_base,
     "secrets_base": secrets_base,
@@ -97,6 +101,8 @@ _ORDER = "ORDER BY turn NULLS FIRST, role, text"
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": "WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages), k AS (SELECT h, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY h), r AS (SELECT *, keeper IS NOT NULL AND NOT (page_id = keeper AND row_number() OVER (PARTITION BY h, page_id ORDER BY url) = 1) AS again FROM p LEFT JOIN k USING (h)) SELECT page_id, n::BIGINT AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN keeper END AS refers_to FROM r",
     "op6_chat": f"WITH {_TURNS} SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {_ORDER})) AS turns_sha256, coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' {_ORDER}) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(12 + r + 1 + t + 10 + 1)::BIGINT AS formatted_chars FROM sizes GROUP BY conv_id",
+    "op12_divergence": divergence.SQL,
+    "op13_fim": fim.SQL,
     "quality_base": QUALITY_BASE,
     "pii_base": _digests([
         _spans(0, "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
