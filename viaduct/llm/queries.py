@@ -6,13 +6,14 @@ take those columns from the same operator.
 
 from pyspark.sql import functions as F
 
-from viaduct.llm import divergence, fim, pii, quality, secrets
+from viaduct.llm import divergence, fim, licenses, pii, quality, secrets
 from viaduct.llm.chat import op6_chat
 from viaduct.llm.common import table
 from viaduct.llm.decontamination import op7_decontamination
 from viaduct.llm.divergence import op12_divergence
 from viaduct.llm.fim import op13_fim
 from viaduct.llm.language import op10_language
+from viaduct.llm.licenses import op11_licenses
 from viaduct.llm.neardup import op9_ngram_join
 from viaduct.llm.packing import op2_packing
 from viaduct.llm.pii import op4_pii
@@ -48,6 +49,11 @@ def secrets_base(spark, sf_dir):
     return found.select("doc_id", *_digest("base", secrets.KINDS[:3]))
 
 
+def license_base(spark, sf_dir):
+    """The fixed phrases of op11."""
+    return op11_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
@@ -59,11 +65,13 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_ngram_join": op9_ngram_join,
     "op10_language": op10_language,
+    "op11_licenses": op11_licenses,
     "op12_divergence": op12_divergence,
     "op13_fim": op13_fim,
     "quality_base": quality_base,
     "pii_base": pii_base,
     "secrets_base": secrets_base,
+    "license_base": license_base,
 }
 
 _ROWS = "d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents)"
@@ -103,6 +111,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_chat": f"WITH {_TURNS} SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {_ORDER})) AS turns_sha256, coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' {_ORDER}) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(12 + r + 1 + t + 10 + 1)::BIGINT AS formatted_chars FROM sizes GROUP BY conv_id",
     "op12_divergence": divergence.SQL,
     "op13_fim": fim.SQL,
+    "license_base": licenses.BASE_SQL,
     "quality_base": QUALITY_BASE,
     "pii_base": _digests([
         _spans(0, "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
