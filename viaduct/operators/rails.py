@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from viaduct.functions.geo import haversine_m, local_metres
-from viaduct.operators.graphs import components, cut, least_parallel
+from viaduct.operators.graphs import components, distances, least_parallel, with_paths
 from viaduct.operators.polylines import densify
 from viaduct.operators.spatial import around, local_candidates, near_pairs, nearest, segment_cells, stitch_pairs
+from viaduct.operators.tables import cut
 
 # Tolerances of stitches, cells and snapping.
 MERGE_M, ENDS_M, MICRO_M, COMPONENT_M = 120.0, 25.0, 60.0, 150.0
@@ -117,7 +118,7 @@ def stitched(nodes: DataFrame, edges: DataFrame, ends: DataFrame) -> tuple[DataF
     nodes, edges = cut(nodes.union(made)), add(edges, pairs)
     known = relabel(known.union(made.select("node", F.col("node").alias("component"))), pairs)
     pairs = cut(component_stitches(nodes, edges, ends, known=known))
-    return nodes.join(relabel(known, pairs), "node"), add(edges, pairs)
+    return cut(nodes.join(relabel(known, pairs), "node")), add(edges, pairs)
 
 
 def build_network(lines: DataFrame, spacing: float = 500.0) -> tuple[DataFrame, DataFrame]:
@@ -144,22 +145,27 @@ def snaps(points: DataFrame, nodes: DataFrame, k: int = CANDIDATES, slack: float
     return local_candidates(met.select("k", "node", F.round("m").cast("long").alias("m")), "k", slack)
 
 
-def best_routes(trips: DataFrame, nodes: DataFrame, edges: DataFrame, most: float, k: int = CANDIDATES, slack: float = SLACK_M) -> DataFrame:
+def best_routes(trips: DataFrame, nodes: DataFrame, edges: DataFrame, most: float, k: int = CANDIDATES, slack: float = SLACK_M, paths: bool = False) -> DataFrame:
     """``trip, score, from_node, to_node, metres`` of trips ``(trip, lat, lon, blat, blon)``: over all pairs of snaps the
-    least route and ways to it, at most ``most`` metres in all; pairs of one node only where the ends are close."""
-    from viaduct.operators.graphs import distances
-
+    least route and ways to it, at most ``most`` metres in all; pairs of one node only where the ends are close.
+    With ``paths`` also the nodes of that route, ``path``."""
     key = lambda a, b: trips.select(F.col("trip").alias("k"), F.col(a).alias("lat"), F.col(b).alias("lon"))
     start = cut(snaps(key("lat", "lon"), nodes, k, slack)).select(F.col("k").alias("trip"), F.col("node").alias("source"), F.col("m").alias("m1"))
     end = cut(snaps(key("blat", "blon"), nodes, k, slack)).select(F.col("k").alias("trip"), F.col("node").alias("node"), F.col("m").alias("m2"))
     wanted = start.join(end, "trip")
-    found = distances(edges, wanted.select(F.col("source").alias("id")).distinct(), limit=int(most))
+    found = distances(edges, wanted.select(F.col("source").alias("id")).distinct(), limit=int(most), paths=False)
     direct = trips.select("trip", F.round(haversine_m(F.col("lat"), F.col("lon"), F.col("blat"), F.col("blon"))).alias("direct"))
     met = wanted.join(found.select("source", "node", "cost"), ["source", "node"]).join(direct, "trip")
     met = met.where((F.col("source") != F.col("node")) | (F.col("direct") <= END_M)).where(F.col("cost") + F.col("m1") + F.col("m2") <= most)
     score = F.col("cost") + F.col("m1") + F.col("m2")
     best = met.groupBy("trip").agg(F.min(F.struct(score.alias("score"), "source", "node", "cost")).alias("x"))
-    return best.select("trip", "x.score", F.col("x.source").alias("from_node"), F.col("x.node").alias("to_node"), F.col("x.cost").alias("metres"))
+    best = best.select("trip", "x.score", F.col("x.source").alias("from_node"), F.col("x.node").alias("to_node"), F.col("x.cost").alias("metres"))
+    if not paths:
+        return best
+    best = cut(best)
+    used = found.join(best.select(F.col("from_node").alias("source")).distinct(), "source", "left_semi")
+    way = with_paths(used, edges).select(F.col("source").alias("from_node"), F.col("node").alias("to_node"), "path")
+    return best.join(way, ["from_node", "to_node"])
 
 
 def route_lines(paths: DataFrame, nodes: DataFrame, ends: DataFrame, snap: float = END_M) -> DataFrame:

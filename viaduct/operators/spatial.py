@@ -91,3 +91,16 @@ def on_route(places: DataFrame, lines: DataFrame, size: float, radius: float, ex
     near = around(places.select("k", F.col("y").alias("lat"), F.col("x").alias("lon")), size, 1)
     met = near.join(held, ["cy", "cx"]).where(to_segment(F.col("lon"), F.col("lat"), F.col("a"), F.col("b")) <= radius)
     return places.join(met.select("k").distinct(), "k", "left_semi")
+
+
+def near_lines(places: DataFrame, lines: DataFrame, size: float, radius: float) -> DataFrame:
+    """``k, line, m``: lines ``(line, p)`` within ``radius`` of places ``(k, x, y)`` and how far. A segment lies in every cell of
+    its box, widened by the radius, and a place in its own."""
+    from viaduct.operators.polylines import to_segment
+
+    n = F.size("p")
+    steps = F.arrays_zip(F.slice("p", F.lit(1), n - 1).alias("a"), F.slice("p", F.lit(2), n - 1).alias("b"))
+    span = lambda c: F.sequence(cell(F.least(f"a.{c}", f"b.{c}") - radius, size), cell(F.greatest(f"a.{c}", f"b.{c}") + radius, size))
+    held = lines.where(n > 1).select("line", F.explode(steps).alias("s")).select("line", "s.a", "s.b").withColumn("cy", F.explode(span("y"))).withColumn("cx", F.explode(span("x")))
+    met = places.select("k", "x", "y", cell(F.col("y"), size).alias("cy"), cell(F.col("x"), size).alias("cx")).join(held, ["cy", "cx"])
+    return met.withColumn("m", to_segment(F.col("x"), F.col("y"), F.col("a"), F.col("b"))).where(F.col("m") <= radius).groupBy("k", "line").agg(F.min("m").alias("m"))

@@ -185,8 +185,14 @@ def var_27(spark, d):
 
 
 def gr_10(spark, d):
-    """Routes within a bound."""
-    return g._paths(graphs.distances(g.both_ways(spark, d), g.one(spark, 4), limit=40))
+    """Routes within a bound from each nation to another, their goals in view."""
+    places = g.cities(spark, d).select(C("id").alias("node"), "lat", "lon")
+    trips = places.select(C("node").alias("trip"), C("node").alias("start"), ((C("node") * 7 + 3) % 25).alias("goal"))
+    routes, _ = graphs.goal_routes(g.both_ways(spark, d), places, trips, 60)
+    return g._paths(routes.withColumnRenamed("trip", "node")).withColumnRenamed("node", "trip")
+
+
+GR_10 = f"WITH RECURSIVE {g.BOTH}, r(source, node, cost, hop) AS (SELECT n_nationkey::BIGINT, n_nationkey::BIGINT, 0::BIGINT, 0 FROM nation UNION SELECT source, dst, min(cost + w), hop + 1 FROM r JOIN e ON src = node WHERE hop < 12 GROUP BY source, dst, hop), dist AS (SELECT source, node, min(cost) AS cost FROM r GROUP BY ALL), t(source, node, path) AS (SELECT n_nationkey::BIGINT, n_nationkey::BIGINT, [n_nationkey::BIGINT] FROM nation UNION ALL SELECT t.source, e.dst, list_append(path, e.dst) FROM t JOIN e ON e.src = t.node JOIN dist a ON a.source = t.source AND a.node = e.src JOIN dist b ON b.source = t.source AND b.node = e.dst AND a.cost + e.w = b.cost) SELECT source AS trip, any_value(cost) AS cost, array_to_string(min(path), '>') AS path FROM t JOIN dist USING (source, node) WHERE node = (source * 7 + 3) % 25 AND cost <= 60 GROUP BY source"
 
 
 def _drawn(spark, d):
@@ -340,7 +346,7 @@ ORACLE_SQL = {
     "val_6": "WITH r AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN 'nokey' ELSE o_custkey || '-' || (o_orderkey % 25) END AS key FROM orders) SELECT key, CASE WHEN key = 'nokey' THEN 'key' ELSE 'minutes' END AS finding FROM r WHERE key = 'nokey' OR k % 13 = 0 OR k % 17 = 0",
     "var_25": g._walk(g.DIRECTED, "5") + " SELECT node, cost, array_to_string(path, '>') AS path FROM best JOIN dist USING (node)",
     "var_27": g._walk(g.BOTH, "11") + " SELECT node, cost, array_to_string(path, '>') AS path FROM best JOIN dist USING (node)",
-    "gr_10": g._walk(g.BOTH, "4") + " SELECT node, cost, array_to_string(path, '>') AS path FROM best JOIN dist USING (node) WHERE cost <= 40",
+    "gr_10": GR_10,
     "so_9": "SELECT l_returnflag AS source, l_suppkey AS route, l_orderkey AS id, row_number() OVER (ORDER BY l_returnflag, l_suppkey, l_orderkey) - 1 AS position FROM (SELECT DISTINCT l_returnflag, l_suppkey, l_orderkey FROM lineitem)",
     "fn_m10": f"WITH {_ZOOMED} SELECT c_custkey, round({s.q_curve('zoom', LABEL_BUDGET)}, 9) AS value FROM z",
     "fn_m12": f"WITH {_ZOOMED} SELECT c_custkey, floor({s.q_curve('zoom', CITY_PADDING)} + 0.5)::BIGINT AS city_padding, floor({s.q_curve('zoom', LABEL_BUDGET)} + 0.5)::BIGINT AS label_budget, floor({s.q_curve('zoom', NETWORK_PADDING)} + 0.5)::BIGINT AS network_padding FROM z",
