@@ -82,7 +82,7 @@ def test_hot_keys_join_by_broadcast(spark, monkeypatch):
     left = spark.range(9000).select(F.when(F.col("id") < 6000, 1).otherwise(F.col("id")).alias("k"), "id")
     right = left.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
     want = sorted(map(tuple, left.join(right.select("k", "top"), "k").select("k", "id", "top").collect()))
-    for joined in (tables.join_counted(left, tables.cut(right), "k"), tables.join_skewed(left, right.drop("n"), "k")):
+    for joined in (tables.join_counted(left, tables.cut(right), "k"), tables.join_skewed(left, right.drop("n"), "k"), tables.join_spread(left, right.drop("n"), right.select("k", "n"), "k")):
         assert sorted(map(tuple, joined.select("k", "id", "top").collect())) == want
 
 

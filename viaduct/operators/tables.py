@@ -63,6 +63,21 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, share: int = 50) -
     return left.join(F.broadcast(right.where(F.col("n") > most).drop("n")), key).unionByName(rest)
 
 
+def join_spread(left: DataFrame, right: DataFrame, counts: DataFrame, key: str, how: str = "left", share: int = 50, salts: int = 32) -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key and may have wide ones. Keys with more than a ``share``-th of
+    the left rows, whose numbers ``n`` are in ``counts``, have their right row copied ``salts`` times and their left rows
+    spread over the copies; nothing but their names is broadcast."""
+    counts = cut(counts)
+    total, top = counts.agg(F.sum("n"), F.max("n")).first()
+    most = max(1000, (total or 0) // share)
+    if (top or 0) <= most:
+        return left.join(right, key, how)
+    heavy = F.broadcast(counts.where(F.col("n") > most).select(key))
+    copies = right.join(heavy, key, "left_semi").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = left.join(heavy, key, "left_semi").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    return spread.join(copies, [key, "_salt"], how).drop("_salt").unionByName(left.join(heavy, key, "left_anti").join(right, key, how))
+
+
 def join_small(left: DataFrame, right: DataFrame, keys: list[str], most: int = 100_000, salts: int = 32) -> DataFrame:
     """``left`` joined with ``right``, which has few rows as a rule. Up to ``most`` rows, counted, are broadcast; more
     are copied ``salts`` times and meet the left rows, spread over the copies, by shuffle."""
