@@ -1,35 +1,21 @@
-"""Helpers shared by the corpus operators: lineage cuts, words, hashing, components."""
+"""Helpers shared by the corpus operators: words, hashing, and the core's tables, skewed joins and components."""
 
 from __future__ import annotations
 
 import re
-import tempfile
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from viaduct.operators.graphs import star_components as components  # noqa: F401
+from viaduct.operators.tables import cut, join_counted, join_skewed, join_small, join_spread  # noqa: F401
+from viaduct.sources.lines import shared_root as scratch  # noqa: F401
+
 WORD = re.compile(r"\w+")
 MASK64 = (1 << 64) - 1
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder the session names. Only a session on this machine alone gets one of its own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no shared folder")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="viaduct-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    scratch(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -93,47 +79,3 @@ def row_key(*columns: str):
     """128 bits that stand for a row's doc_id and text, null and empty told apart."""
     plain = lambda c: F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-"))
     return F.unhex(F.md5(F.encode(F.concat(*[plain(c) for c in columns], F.lit("\n")), "UTF-8")))
-
-
-def heavy_rows(left: DataFrame, right: DataFrame, key: str, share: int = 50) -> DataFrame:
-    """The rows of ``right``, which has one a key, for keys with more than a ``share``-th of the left
-    rows: fewer than ``share`` rows, written down."""
-    most = max(1000, left.count() // share)
-    heavy = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
-    return cut(right.join(F.broadcast(heavy.select(key)), key, "left_semi"))
-
-
-def join_skewed(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """``left`` joined with ``right``, which has one row a key. The heavy keys' right rows are
-    broadcast and their left rows stay where they are; all others meet by shuffle."""
-    few = heavy_rows(left, right, key)
-    if few.isEmpty():
-        return left.join(right, key, how)
-    rest = left.join(F.broadcast(few.select(key)), key, "left_anti").join(right, key, how)
-    return left.join(F.broadcast(few), key).unionByName(rest)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``(u, v)`` longs as ``(node, component)``, component = least node.
-
-    Alternates large-star and small-star steps until none changes a pair; every round is a
-    min-aggregate and a join, cut by a checkpoint. The centre of a large star holds many pairs, so
-    its row is broadcast. The driver sees a count and a checksum per round, never links.
-    """
-    pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    pairs = cut(pairs)
-    before = None
-    while True:
-        both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = join_skewed(both.where("v > u"), low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        # after the large star a node points at smaller ones only, and most at a single one
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        row = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(row) == before:
-            found = pairs.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-            return found.union(found.select(F.col("component").alias("node"), "component").distinct())
-        before = tuple(row)

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from viaduct.llm.common import cut, table
+from viaduct.llm.common import cut, join_skewed, table
 
 
 def difference(partials: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +104,7 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     base = docs.select("doc_id", (F.length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.unhex(F.sha2(data, 256)).alias("grp"))
     base = cut(base)
     placed = assign_groups(base.groupBy("grp").agg(F.sum("size").alias("bytes")), shards)
-    rows = cut(base.join(placed, "grp").select("doc_id", "size", "text_crc32", "shard"))
+    rows = cut(join_skewed(base, cut(placed), "grp").select("doc_id", "size", "text_crc32", "shard"))
     return number_slots(rows, "shard", ["doc_id", "size", "text_crc32"])
 
 

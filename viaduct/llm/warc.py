@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from viaduct.llm.common import scratch, table
+from viaduct.llm.common import cut, join_counted, join_spread, scratch, table
 
 CRLF = "\r\n"
 # Fixed value: the name that WARC/1.1 gives to this kind of revisit.
@@ -48,11 +48,12 @@ def write_archive(pages: DataFrame, root: str, least: int = 1000, date: str = "1
 
     light = rows.select("page_id", "url", "payload_bytes", "digest", F.sha1("payload").alias("payload_digest"))
     large = light.where(F.col("payload_bytes") >= least)
-    chosen = large.groupBy("digest").agg(F.max("page_id").alias("keeper"))
-    joined = light.join(chosen, "digest", "left")
+    chosen = cut(large.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")))
+    joined = join_counted(large, chosen, "digest")
     # repeats of the chosen page id: only those rows are ranked
-    same = joined.where((F.col("payload_bytes") >= least) & F.col("page_id").eqNullSafe(F.col("keeper")))
-    other = joined.where((F.col("payload_bytes") < least) | ~F.col("page_id").eqNullSafe(F.col("keeper")))
+    same = joined.where(F.col("page_id").eqNullSafe(F.col("keeper")))
+    small = light.where(F.col("payload_bytes") < least).withColumn("keeper", F.lit(None).cast(light.schema["page_id"].dataType))
+    other = joined.where(~F.col("page_id").eqNullSafe(F.col("keeper"))).unionByName(small)
     ranked = same.withColumn("_r", F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url")))
     whole = ranked.withColumn("record_type", F.when(F.col("_r") == 1, "response").otherwise("revisit")).drop("_r")
     whole = whole.union(other.withColumn("record_type", F.when(F.col("payload_bytes") < least, "response").otherwise("revisit")))
@@ -97,7 +98,9 @@ def read_payloads(spark: SparkSession, root: str) -> DataFrame:
 
 def rebuild(spark: SparkSession, root: str) -> DataFrame:
     """Original records: exact header, payload of the response or of what a revisit refers to, and the record as it stands in a WARC file."""
-    whole = read_headers(spark, root).join(read_payloads(spark, root), "digest", "left")
+    # a payload that many records share is copied, and they are spread over the copies
+    counts = spark.read.parquet(f"{root}/headers").groupBy("digest").agg(F.count("*").alias("n"))
+    whole = join_spread(read_headers(spark, root), read_payloads(spark, root), counts, "digest")
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
     return whole.withColumn("record", F.concat("header", body, F.lit((CRLF * 2).encode())))
 
