@@ -40,3 +40,28 @@ def running(numbers):
     zero = F.lit(0).cast("long")
     add = lambda s, x: s + x
     return scan(numbers, zero, add, add, add, "bigint")
+
+
+def cut_out(text, spans, piece: int = 1024):
+    """``text`` with ``spans(start, end, mark)``, sorted, replaced by their marks; one that begins within those before it goes
+    with them. The text is cut in pieces once, so a gap costs its own length wherever it stands."""
+    zero = F.lit(0).cast("long")
+    furthest = lambda s, x: F.greatest(s, x["end"])
+    other = lambda s, t: F.greatest(s, t)
+
+    def between(pieces, a, b):
+        """The code points from ``a`` up to ``b``."""
+        i, j = F.floor(a / piece).cast("int"), F.floor(b / piece).cast("int")
+        at = lambda n: F.coalesce(F.get(pieces, n), F.lit(""))
+        head = lambda x, n: F.substring(x, F.lit(1), n.cast("int"))
+        tail = F.substring(at(i), (a % piece + 1).cast("int"), F.lit(piece))
+        within = F.substring(at(i), (a % piece + 1).cast("int"), (b - a).cast("int"))
+        return F.when(i == j, within).otherwise(F.concat(tail, F.array_join(F.slice(pieces, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), head(at(j), b % piece)))
+
+    def joined(pieces):
+        before = scan(spans, zero, furthest, other, lambda s, x: s, "bigint")
+        kept = F.filter(F.arrays_zip(spans.alias("x"), before.alias("at")), lambda z: z["x"]["start"] >= z["at"])
+        parts = F.transform(kept, lambda z: F.concat(between(pieces, z["at"], z["x"]["start"]), z["x"]["mark"]))
+        return F.concat(F.array_join(parts, ""), between(pieces, F.array_max(F.transform(spans, lambda x: x["end"])), F.length(text).cast("long")))
+
+    return let(F.regexp_extract_all(text, F.lit(rf"([\s\S]{{1,{piece}}})"), F.lit(1)), joined)

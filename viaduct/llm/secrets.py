@@ -25,6 +25,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from viaduct.llm.arrays import cut_out, let, running
 from viaduct.llm.common import cut, table
 
 KINDS = ["assign", "access", "hex", "random"]
@@ -54,20 +55,14 @@ def spans(text, order: int, pattern: str, guard, keep=None):
     part = lambda i: F.regexp_extract_all(text, whole, F.lit(i))
     pieces = F.arrays_zip(part(0).alias("f"), part(2).alias("m"), part(4 if keep else 2).alias("g"))
     none = F.array().cast(SPAN)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("s"))
+    length = lambda x: (F.length(x["f"]) + F.length(x["m"])).cast("bigint")
 
-    def step(acc, x):
-        end = (acc["at"] + F.length(x["f"])).cast("bigint")
-        one = F.struct((end - F.length(x["m"])).cast("bigint").alias("start"), F.lit(order).alias("ord"), end.alias("end"), x["m"].alias("m"))
-        more = F.concat(acc["s"], F.array(one))
-        return F.struct(end.alias("at"), (F.when(keep(x["g"]), more).otherwise(acc["s"]) if keep else more).alias("s"))
+    def placed(pieces):
+        ends = running(F.transform(pieces, length))
+        kept = F.filter(F.arrays_zip(pieces.alias("x"), ends.alias("end")), (lambda z: keep(z["x"]["g"])) if keep else (lambda z: F.lit(True)))
+        return F.transform(kept, lambda z: F.struct((z["end"] - F.length(z["x"]["m"])).cast("bigint").alias("start"), F.lit(order).alias("ord"), z["end"].alias("end"), z["x"]["m"].alias("m")))
 
-    return F.when(guard, F.aggregate(pieces, start, step, lambda acc: acc["s"])).otherwise(none)
-
-
-def let(value, body):
-    """``body(value)`` with the value computed once: a lambda over an array of one."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.when(guard, let(pieces, placed)).otherwise(none)
 
 
 def tail(z):
@@ -179,14 +174,7 @@ def report(found: DataFrame, q: float) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The columns of ``docs`` with every span, overlapping ones as one, replaced in the text."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    gap = lambda acc, x: F.substring("text", (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
-
-    def step(acc, x):
-        out = F.when(x["start"] >= acc["at"], F.concat(acc["out"], gap(acc, x), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
-
-    done = F.aggregate("secret_spans", start, step, lambda acc: F.concat(acc["out"], F.substring("text", (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
+    done = cut_out(F.col("text"), F.transform("secret_spans", lambda x: F.struct(x["start"], x["end"], F.lit(mark).alias("mark"))))
     text = F.when(F.size("secret_spans") > 0, done).otherwise(F.col("text"))
     carried = docs.select("text", F.struct(*[F.col(c) for c in docs.columns]).alias("carried"))
     return scan(carried).select(*[text.alias(c) if c == "text" else F.col("carried")[c].alias(c) for c in docs.columns])
