@@ -1,16 +1,18 @@
 """Personal data: fixed patterns and information-theoretic sanitisation.
 
-Pattern matches are the protected entities. Words of three characters or more outside the matches
-are terms, and co-occurrence in whole documents estimates what a term reveals: with N documents, n(c) holding the entity, n(t)
-holding the term and n(t, c) holding both, disclosure is PMI(t; c) as a share of the entity's
-information, ``log(N n(t,c) / (n(t) n(c))) / log(N / n(c))``, 1 if the term gives the entity away.
-All counts are over documents, copies included. A pair counts if ``support`` documents hold both,
-or fewer where chance explains that in at most ``chance`` of cases: with k documents in common, the
-expected number of sets of k documents that hold both, ``C(n(t),k) C(n(c),k) / C(N,k)``, bounds the
-probability from above. So a term of a single document tells of an entity of that document only
-once N reaches ``1 / chance``. A term is judged by the entity it tells most of, and holds wherever it
-stands in any document, whether or not that writes the entity out. Terms are removed where disclosure reaches ``remove``, generalised
-to their kind of word where it reaches ``generalise``, and left otherwise.
+Pattern matches are the protected entities. Words of three characters or more outside the matches are terms, and
+co-occurrence in whole documents estimates what a term reveals. With n(t) documents holding a term and n(t, c) of them an entity
+too, a reader of the term has the entity right in ``n(t,c) / n(t)`` of cases, which leaves ``log2(n(t) / n(t,c))`` bits
+open. A term discloses an entity if its true share lies above a level: one half, so that less than one bit is
+open, for generalising, and 0.8, a third of a bit, for removal. Few sightings estimate little, and many pairs are looked at; so for
+each pair the chance of as many joint sightings at a share of just the level is bounded (Chernoff:
+``exp(-n(t) KL(n(t,c)/n(t), level))``), and the false-discovery rate over all pairs is held at ``q`` (Benjamini and Hochberg).
+Pairs that could not be told at any number of joint sightings their entity has are no part of the family: a term or an
+entity of three documents or fewer is never told of at q = 0.1. The pair must also tell a bit more than the entity's own frequency
+does (pointwise mutual information of one bit), so an entity that stands everywhere isn't told by each word.
+Counts are over documents, copies included. Apart from that bit none hangs on the number of documents: documents that hold neither
+the terms nor the entities change no verdict. A term is judged by the entity it tells most of, and holds wherever it stands
+in any document, whether or not that writes the entity out.
 
 Defined results: null and empty texts have no span; texts of any length are read whole; repeated
 rows count as documents each and get the same spans; ties are kept, as thresholds are inclusive;
@@ -19,13 +21,16 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import math
 import re
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viaduct.llm.common import WORD, cut, row_key, table
+from viaduct.llm.arrays import cut_out
+from viaduct.llm.common import WORD, cut, join_counted, join_skewed, join_small, row_key, table
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 #: the characters of an email's local part, and what follows its @
@@ -148,24 +153,54 @@ def document_frequency(docs: DataFrame, most: int = 200_000) -> DataFrame:
     return docs.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def disclosing(found: DataFrame, docs: DataFrame, support: int, threshold: float, chance: float = 1e-3) -> DataFrame:
-    """(entity, term, disclosure) at or above the threshold."""
+def least_documents(level: float, q: float) -> int:
+    """Documents below which even sightings that are all joint could not be told from the level."""
+    return math.ceil(math.log(q) / math.log(level))
+
+
+def pair_counts(found: DataFrame, docs: DataFrame, least: int, level: float) -> DataFrame:
+    """``entity, term, n, n_t, n_c, n_tc`` of the pairs in whose family tests are: terms and entities of ``least`` documents or
+    more that stand together, the term in few enough documents for the entity to reach the level in them."""
     n = found.count()
-    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_c")).where(F.col("n_c") < n)
-    # as n_tc <= n_c, the threshold is out of reach for terms of more documents than this
-    bound = lambda n_c: F.pow(n_c, F.lit(threshold)) * F.pow(F.lit(float(n)), F.lit(1 - threshold)) * (1 + 1e-9)
-    most = entities.agg(bound(F.max("n_c"))).first()[0] or 0.0
-    rare = document_frequency(docs).where(F.col("n_t") <= most)
+    rows = found.where(F.size("entities") > 0)
+    entities = cut(rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n")).where((F.col("n") >= least) & (F.col("n") < n)))
+    held = join_counted(rows.select("rid", F.explode("entities").alias("entity")), entities, "entity").select("rid", "entity")
+    held = cut(held.distinct().join(entities.select("entity", F.col("n").alias("n_c")), "entity"))
+    # only terms beside these entities are asked for, and none of more documents than the level lets an entity tell
+    most = (held.agg(F.max("n_c")).first()[0] or 0) / level
+    terms = cut(rows.join(held.select("rid").distinct(), "rid", "left_semi").select("rid", F.explode("terms").alias("term")))
+    rare = document_frequency(docs).where(F.col("n_t").between(least, most))
     # equal rows share a rid: each counts by its terms, with the entities once
-    terms = found.where(F.size("entities") > 0).select("rid", F.explode("terms").alias("term")).join(rare, "term")
-    held = found.select("rid", F.explode("entities").alias("entity")).distinct().join(entities, "entity")
-    both = terms.join(held, "rid").where(F.col("n_t") <= bound(F.col("n_c"))).groupBy("entity", "term").agg(F.count("*").alias("n_tc"), F.first("n_t").alias("n_t"), F.first("n_c").alias("n_c"))
-    # the factors of C(n_t,k) C(n_c,k) / C(n,k), asked for below the support only
-    factor = lambda acc, i: acc * (F.col("n_t") - i) * (F.col("n_c") - i) / ((F.lit(float(n)) - i) * (i + 1))
-    by_chance = F.aggregate(F.sequence(F.lit(0), F.least(F.col("n_tc"), F.lit(support)).cast("int") - 1), F.lit(1.0), factor)
-    told = F.log(F.lit(float(n)) * F.col("n_tc") / (F.col("n_t") * F.col("n_c"))) / F.log(F.lit(float(n)) / F.col("n_c"))
-    both = both.where((F.col("n_tc") >= support) | (by_chance <= chance))
-    return both.withColumn("disclosure", told).where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
+    met = join_skewed(terms, cut(rare), "term").join(held, "rid").where(F.col("n_t") * level <= F.col("n_c"))
+    return met.groupBy("entity", "term").agg(F.lit(float(n)).alias("n"), F.count("*").alias("n_tc"), F.first("n_t").alias("n_t"), F.first("n_c").alias("n_c"))
+
+
+def chance(level: float):
+    """log10 of a bound of the probability of ``n_tc`` joint sightings in ``n_t`` or more, at a share of ``level``."""
+    share = F.col("n_tc") / F.col("n_t")
+    rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - level))).otherwise(0.0)
+    return F.when(share > level, -F.col("n_t") * (share * F.log(share / level) + rest) / math.log(10)).otherwise(0.0)
+
+
+def told(pairs: DataFrame, level: float, q: float) -> float | None:
+    """The log10 probability up to which pairs are told: the largest at which those expected by chance are at most ``q`` of
+    those that reach it. Probabilities are rounded up to hundredths of a decade, the driver sees their counts."""
+    bins = pairs.groupBy(F.greatest(F.ceil(chance(level) * 100), F.lit(-30_000)).alias("bin")).agg(F.count("*").alias("n")).collect()
+    total, above, limit = sum(r.n for r in bins), 0, None
+    for r in sorted(bins, key=lambda r: r.bin):
+        above += r.n
+        if 10 ** (r.bin / 100) * total <= q * above:
+            limit = r.bin / 100
+    return limit
+
+
+def disclosing(found: DataFrame, docs: DataFrame, levels: tuple[float, float] = (0.5, 0.8), q: float = 0.1) -> DataFrame:
+    """``entity, term, share, removed`` of the pairs told at the first level; removed are those told at the second."""
+    pairs = cut(pair_counts(found, docs, least_documents(levels[0], q), levels[0]))
+    limits = [told(pairs, x, q) for x in levels]
+    reaches = [F.lit(False) if limit is None else chance(x) <= limit for x, limit in zip(levels, limits, strict=True)]
+    bit = F.col("n") * F.col("n_tc") >= 2.0 * F.col("n_t") * F.col("n_c")
+    return pairs.where(reaches[0] & bit).select("entity", "term", (F.col("n_tc") / F.col("n_t")).alias("share"), reaches[1].alias("removed"))
 
 
 def sieve(terms: DataFrame, probes: int = 4) -> bytes:
@@ -205,12 +240,10 @@ def places(text: str, words: set[str], spans: list[tuple[int, int, int]]) -> lis
     return out
 
 
-def candidates(docs: DataFrame, table: bytes) -> DataFrame:
-    """(rid, term, start, end) of the terms of whole texts that the sieve lets through."""
+def candidates(docs: DataFrame, shared) -> DataFrame:
+    """(rid, term, start, end) of the terms of whole texts that the broadcast sieve lets through."""
     import pyarrow as pa
 
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-
     def look(batches):
         table = shared.value
         known: dict[str, bool] = {}
@@ -233,13 +266,27 @@ def candidates(docs: DataFrame, table: bytes) -> DataFrame:
     return docs.select(row_key("doc_id", "text").alias("rid"), "text").mapInArrow(look, "rid binary, term string, start long, end long")
 
 
-def spans(docs: DataFrame, support: int = 3, generalise: float = 0.8, remove: float = 0.95, chance: float = 1e-3) -> DataFrame:
-    """doc_id, rid, ``base`` and ``terms``: term spans with their disclosure and whether they are removed."""
+def sought(docs: DataFrame, risky: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``rid, term, start, end`` of all ``risky`` terms in whole texts. A sieve of at most ``most`` terms, four megabytes, is
+    broadcast; more terms are dealt by hash, and texts are read once for each deal, whose sieve goes before the next."""
+    deals = max(1, -(-risky.count() // most))
+    if deals == 1:
+        return candidates(docs, docs.sparkSession.sparkContext.broadcast(sieve(risky)))
+    hits = []
+    for i in range(deals):
+        shared = docs.sparkSession.sparkContext.broadcast(sieve(risky.where(F.pmod(F.xxhash64("term", F.lit(1)), F.lit(deals)) == i)))
+        hits.append(cut(candidates(docs, shared)))
+        shared.destroy()
+    return functools.reduce(DataFrame.union, hits).distinct()
+
+
+def spans(docs: DataFrame, levels: tuple[float, float] = (0.5, 0.8), q: float = 0.1, most: int = 1_000_000) -> DataFrame:
+    """doc_id, rid, ``base`` and ``terms``: term spans with the share of their documents that they tell and whether they are removed."""
     found = cut(find(docs))
-    risky = cut(disclosing(found, docs, support, generalise, chance).groupBy("term").agg(F.max("disclosure").alias("disclosure")))
-    hit = candidates(docs, sieve(risky)).join(risky, "term").groupBy("rid", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    per_doc = hit.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(4).alias("ord"), "end", "disclosure", (F.col("disclosure") >= remove).alias("removed")))).alias("terms"))
-    empty = F.array().cast("array<struct<start:bigint,ord:int,end:bigint,disclosure:double,removed:boolean>>")
+    risky = cut(disclosing(found, docs, levels, q).groupBy("term").agg(F.max("share").alias("share"), F.max("removed").alias("removed")))
+    hit = join_small(sought(docs, risky, most), risky, ["term"]).groupBy("rid", "start", "end").agg(F.max("share").alias("share"), F.max("removed").alias("removed"), F.max(F.col("term").rlike("^[0-9]+$")).alias("number"))
+    per_doc = hit.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(4).alias("ord"), "end", "share", "removed", "number"))).alias("terms"))
+    empty = F.array().cast("array<struct<start:bigint,ord:int,end:bigint,share:double,removed:boolean,number:boolean>>")
     return found.drop("terms", "entities").join(per_doc, "rid", "left").withColumn("terms", F.coalesce("terms", empty))
 
 
@@ -249,20 +296,10 @@ def sanitise(docs: DataFrame, **kw) -> DataFrame:
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS[:4]])
     found = spans(docs, **kw)
     base = F.transform("base", lambda x: F.struct(x["start"], x["end"], F.get(marks, x["ord"]).alias("mark")))
-    terms = F.transform("terms", lambda x: F.struct(x["start"], x["end"], F.when(x["removed"], F.lit("")).otherwise(F.lit("[TERM]")).alias("mark")))
+    terms = F.transform("terms", lambda x: F.struct(x["start"], x["end"], F.when(x["removed"], F.lit("")).when(x["number"], F.lit("[NUMBER]")).otherwise(F.lit("[WORD]")).alias("mark")))
     plan = found.select("rid", F.array_sort(F.concat(base, terms)).alias("_plan")).where(F.size("_plan") > 0).dropDuplicates(["rid"])
     carried = docs.select(row_key("doc_id", "text").alias("rid"), "text", F.struct(*[F.col(c) for c in docs.columns]).alias("carried")).join(plan, "rid", "left")
-    cut_ = lambda a, n: F.substring("text", (a + 1).cast("int"), n.cast("int"))
-
-    def step(acc, x):
-        word = cut_(x["start"], x["end"] - x["start"])
-        mark = F.when(x["mark"] != "[TERM]", x["mark"]).otherwise(F.when(word.rlike("^[0-9]+$"), F.lit("[NUMBER]")).otherwise(F.lit("[WORD]")))
-        out = F.when(x["start"] >= acc["at"], F.concat(acc["out"], cut_(acc["at"], x["start"] - acc["at"]), mark)).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
-
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    done = F.aggregate("_plan", start, step, lambda acc: F.concat(acc["out"], cut_(acc["at"], F.lit(2**31 - 1))))
-    text = F.coalesce(done, F.col("text"))
+    text = F.when(F.col("_plan").isNotNull(), cut_out(F.col("text"), F.col("_plan"))).otherwise(F.col("text"))
     return carried.select(*[text.alias(c) if c == "text" else F.col("carried")[c].alias(c) for c in docs.columns])
 
 
