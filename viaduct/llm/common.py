@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viaduct.operators.graphs import star_components as components  # noqa: F401
-from viaduct.operators.tables import cut, join_counted, join_skewed, join_small, join_spread  # noqa: F401
+from viaduct.operators.tables import cut, heavy_rows, join_counted, join_skewed, join_small, join_spread  # noqa: F401
 from viaduct.sources.lines import shared_root as scratch  # noqa: F401
 
 WORD = re.compile(r"\w+")
