@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from viaduct.functions.geo import haversine_m
+from viaduct.operators.ranks import position
+from viaduct.operators.tables import cut, join_skewed
 
 # How a timetable shape is cut and snapped, and when a line on the map is suspect.
 SNAP_M, CUTOFF_M = 350.0, 25_000.0
@@ -90,11 +92,49 @@ def shape_between(points: Column, a: Column, b: Column, snap: float = SNAP_M, cu
     return F.when(good, F.concat(head, inner, tail))
 
 
+def with_previous(rows: DataFrame, per_task: int = 200_000) -> DataFrame:
+    """Points ``(line, i, lat, lon)`` with ``b``, the point before each of its line. Lines are cut in blocks, ranges of line
+    and ``i``; a block's first point takes the last one of the block before, so a line of any length is many tasks."""
+    parts = max(1, -(-rows.count() // per_task))
+    ranged = cut(rows.select("line", "i", "lat", "lon").repartitionByRange(parts, "line", "i").withColumn("_part", F.spark_partition_id()))
+    last = ranged.groupBy("line", "_part").agg(F.max_by(F.struct("lat", "lon"), "i").alias("_last"))
+    edge = last.select("line", "_part", F.lag("_last").over(Window.partitionBy("line").orderBy("_part")).alias("_edge"))
+    inside = F.lag(F.struct("lat", "lon")).over(Window.partitionBy("line", "_part").orderBy("i"))
+    out = ranged.withColumn("_b", inside).join(edge, ["line", "_part"])
+    return out.select("line", "i", "lat", "lon", F.coalesce("_b", "_edge").alias("b"))
+
+
+def lengths(rows: DataFrame) -> DataFrame:
+    """``line, metres`` of points as rows; each step is rounded before the sum."""
+    step = haversine_m(F.col("b.lat"), F.col("b.lon"), F.col("lat"), F.col("lon"))
+    return with_previous(rows).groupBy("line").agg(F.sum(F.coalesce(F.round(step).cast("long"), F.lit(0).cast("long"))).alias("metres"))
+
+
+def nearest_rows(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked(line, alat, alon, blat, blon)``, one row a line, with ``start``, ``d1``, ``finish`` and ``d2``: where the point
+    nearest to ``a`` stands on the line and how far, and the one nearest to ``b`` at or after it. Points meet the row of
+    their line where they are if the line is long, and are added up before they are dealt."""
+    off = lambda y, x: haversine_m(F.col("lat"), F.col("lon"), F.col(y), F.col(x))
+    points = rows.select("line", "i", "lat", "lon")
+    first = cut(join_skewed(points, asked, "line").groupBy("line").agg(F.min(F.struct(off("alat", "alon").alias("d"), "i")).alias("s")))
+    known = cut(asked.join(first.select("line", F.col("s.i").alias("start"), F.col("s.d").alias("d1")), "line"))
+    last = join_skewed(points, known, "line").where("i >= start").groupBy("line").agg(F.min(F.struct(off("blat", "blon").alias("d"), "i")).alias("e"))
+    return cut(known.join(last.select("line", F.col("e.i").alias("finish"), F.col("e.d").alias("d2")), "line"))
+
+
+def shape_rows(rows: DataFrame, asked: DataFrame, snap: float = SNAP_M, cutoff: float = CUTOFF_M) -> DataFrame:
+    """``line, i, j, lat, lon``: the stretches of ``shape_between`` as rows, in order of ``i`` and ``j``."""
+    near = nearest_rows(rows, asked).where((F.col("finish") > F.col("start")) & (F.col("d1") <= cutoff) & (F.col("d2") <= cutoff))
+    within = join_skewed(rows.select("line", "i", "lat", "lon"), near, "line").where("i between start and finish")
+    kept = within.where(((F.col("i") != F.col("start")) | (F.col("d1") > snap)) & ((F.col("i") != F.col("finish")) | (F.col("d2") > snap)))
+    end = lambda i, j, p: near.select("line", F.col(i).alias("i"), F.lit(j).alias("j"), F.col(f"{p}lat").alias("lat"), F.col(f"{p}lon").alias("lon"))
+    return kept.select("line", "i", F.lit(0).alias("j"), "lat", "lon").unionByName(end("start", -1, "a")).unionByName(end("finish", 1, "b"))
+
+
 def densify(rows: DataFrame, spacing: float = 500.0) -> DataFrame:
     """Rows ``(line, i, lat, lon)`` as segments cut into equal pieces of at most ``spacing`` metres:
     ``line, i, j, lat, lon`` with ``j`` from 1, and the line's first point as ``i`` 0 and ``j`` 0."""
-    way = Window.partitionBy("line").orderBy("i")
-    seg = rows.withColumn("n", F.row_number().over(way) - 1).withColumn("b", F.lag(F.struct("lat", "lon")).over(way))
+    seg = position(with_previous(rows), "i", key=["line"]).withColumn("n", F.col("position").cast("int")).drop("position")
     pieces = F.greatest(F.ceil(haversine_m(F.col("b.lat"), F.col("b.lon"), F.col("lat"), F.col("lon")) / spacing), F.lit(1)).cast("int")
     cut = seg.where("b is not null").withColumn("pieces", pieces).withColumn("j", F.explode(F.sequence(F.lit(1), F.col("pieces"))))
     t = F.col("j") / F.col("pieces")

@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from viaduct.functions import text
-from viaduct.operators.spatial import near_pairs, nearest
+from viaduct.functions.geo import haversine_m
+from viaduct.operators.greedy import first_come
+from viaduct.operators.ranks import position
+from viaduct.operators.spatial import DEGREE_M, around, cell, near_pairs, nearest
+from viaduct.operators.tables import cut
 
 # Metres within which names, stems and parents belong together.
 NAME_M, STEM_M, ROUTE_PARENT_M, URBAN_PARENT_M, URBAN_NEAR_M = 2_000.0, 30_000.0, 5_000.0, 15_000.0, 5_000.0
@@ -64,42 +68,29 @@ def stems(stations: DataFrame, metres: float = STEM_M) -> DataFrame:
 
 def leader_clusters(stations: DataFrame, metres: float = STEM_M) -> DataFrame:
     """``stem, k, cluster``: stations of a stem, in order of latitude, longitude and key, join the first
-    centre within ``metres`` or make a new one.
+    centre within ``metres`` or make a new one, numbered as they are made.
 
-    The order matters, so it is a fold; but no centre reaches beyond ``metres`` of latitude, so stations
-    are cut into bands where that much latitude is empty, and each band of a stem is one group.
+    Centres are those of ``first_come``: stations of a stem in one cell, whose diagonal is no longer than ``metres``, conflict.
     """
-    import numpy as np
-    import pandas as pd
-
-    wide = metres / 111_190.0
-    before = Window.partitionBy("stem").orderBy("lat")
-    gap = F.coalesce(F.col("lat") - F.lag("lat").over(before) > wide, F.lit(False)).cast("int")
-    banded = stations.withColumn("gap", gap).withColumn("band", F.sum("gap").over(before))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["lat", "lon", "k"])
-        lat, lon = np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lon"].to_numpy())
-        centres, at, open_ = [], np.zeros(len(pdf), np.int64), 0
-        for i in range(len(pdf)):
-            while open_ < len(centres) and lat[i] - lat[centres[open_]] > np.radians(wide):
-                open_ += 1  # further south than any later station reaches
-            c = np.array(centres[open_:], np.int64)
-            a = np.sin((lat[i] - lat[c]) / 2) ** 2 + np.cos(lat[c]) * np.cos(lat[i]) * np.sin((lon[i] - lon[c]) / 2) ** 2
-            near = np.nonzero(2 * 6_371_000.0 * np.arctan2(np.sqrt(a), np.sqrt(1 - a)) <= metres)[0]
-            if len(near):
-                at[i] = open_ + near[0]
-            else:
-                at[i] = len(centres)
-                centres.append(i)
-        return pd.DataFrame({"stem": pdf["stem"], "k": pdf["k"], "band": pdf["band"], "cluster": at})
-
-    kind = stations.schema["k"].dataType.simpleString()
-    found = banded.select("stem", "k", "lat", "lon", "band").groupBy("stem", "band").applyInPandas(fold, f"stem string, k {kind}, band long, cluster long")
-    # clusters are numbered on from band to band
-    counts = found.groupBy("stem", "band").agg((F.max("cluster") + 1).alias("made"))
-    first = counts.withColumn("first", F.coalesce(F.sum("made").over(Window.partitionBy("stem").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return found.join(first.select("stem", "band", "first"), ["stem", "band"]).select("stem", "k", (F.col("first") + F.col("cluster")).alias("cluster"))
+    side, size = 0.7 * metres / 111_200.0, metres / DEGREE_M
+    rows = stations.select("stem", "lat", "lon", "k").withColumn("ord", F.struct("lat", "lon", "k"))
+    keyed = rows.withColumnRenamed("k", "id").withColumn("k", F.struct("stem", "id"))
+
+    def claims(df):
+        band = cell(F.col("lat"), side)
+        # no wider than ``side`` at the end of the band nearer to the equator
+        low = F.when(band < 0, (band + 1) * side).otherwise(band * side)
+        wide = side / F.greatest(F.cos(F.radians(F.abs(low))), F.lit(1e-6))
+        return df.withColumn("claim", F.struct("stem", band, F.floor(F.col("lon") / wide).cast("long")))
+
+    own = lambda df: df.withColumn("cy", cell(F.col("lat"), size)).withColumn("cx", cell(F.col("lon"), size)).withColumn("cell", F.struct("stem", "cy", "cx"))
+    reaches = lambda df: around(df, size).withColumn("cell", F.struct("stem", "cy", "cx"))
+    close = lambda a, b: haversine_m(a("lat"), a("lon"), b("lat"), b("lon")) <= metres
+    centres = cut(first_come(keyed, claims, reaches, own, close))
+    numbered = position(centres.select("stem", F.col("lat").alias("nlat"), F.col("lon").alias("nlon"), F.col("id").alias("centre")), "nlat", "nlon", "centre", key=["stem"])
+    near = near_pairs(rows.drop("ord"), numbered.withColumnRenamed("position", "cluster"), metres, ("stem",))
+    # a station is its own centre or joins one made before it, and the first made has the least number
+    return near.groupBy("stem", "k").agg(F.min("cluster").alias("cluster"))
 
 
 def _best_parent(met: DataFrame, margin: float) -> DataFrame:

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from viaduct.operators.greedy import first_come
+from viaduct.operators.ranks import position, sums_before
+from viaduct.operators.tables import cut, join_small
+
 # Fonts and margins of labels, steps of markers.
 WIDTH_OF_EM = 0.58
 
@@ -28,28 +32,27 @@ def overlapping_labels(labels: DataFrame, cell: float = 128.0) -> DataFrame:
     return held.withColumnRenamed("k", "a").join(other, ["frame", "cx", "cy"]).where("a < b").where(boxes_meet(F.col("box"), F.col("box2"))).select("frame", "a", "b").distinct()
 
 
-def pack_labels(labels: DataFrame, budget: int) -> DataFrame:
+def pack_labels(labels: DataFrame, budget: int, grid: tuple[float, float] = (20.0, 16.0), cell: float = 128.0) -> DataFrame:
     """``frame, k, rank`` of the labels that fit: in order of priority, those placed before first, each that
     overlaps none taken yet, at most ``budget`` a frame. ``labels(frame, k, box, priority, placed)``.
 
-    A frame is what one screen shows, and its fold is one task; frames are apart.
+    Boxes that hold a point of the ``grid``, which is no wider than the least box, overlap; others are found by the cells
+    that they cover. A frame of any number of labels is settled in rounds of ``first_come``.
     """
-    import pandas as pd
+    rows = labels.select("frame", F.col("k").alias("id"), "box", F.struct("frame", "k").alias("k"), F.struct((~F.col("placed")).alias("later"), (-F.col("priority")).alias("less"), "k").alias("ord"))
+    covered = lambda df, lo, hi, size, name: df.withColumn(name, F.explode(F.sequence(F.floor(F.col(f"box.{lo}") / size).cast("long"), F.floor(F.col(f"box.{hi}") / size).cast("long"))))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["placed", "priority", "k"], ascending=[False, False, True])
-        taken, rows = [], []
-        for k, l, r, t, b in zip(pdf["k"], pdf["l"], pdf["r"], pdf["t"], pdf["b"], strict=True):
-            if len(rows) >= budget:
-                break
-            if not any(l <= r2 and l2 <= r and t <= b2 and t2 <= b for l2, r2, t2, b2 in taken):
-                taken.append((l, r, t, b))
-                rows.append((pdf["frame"].iloc[0], k, len(rows)))
-        return pd.DataFrame(rows, columns=["frame", "k", "rank"])
+    def claims(df):
+        at = lambda lo, hi, size: F.sequence(F.ceil(F.col(f"box.{lo}") / size).cast("long"), F.greatest(F.ceil(F.col(f"box.{lo}") / size), F.floor(F.col(f"box.{hi}") / size)).cast("long"))
+        # a box smaller than the grid may hold no point of it and then claims none
+        inside = F.col("gx").between(F.col("box.left") / grid[0], F.col("box.right") / grid[0]) & F.col("gy").between(F.col("box.top") / grid[1], F.col("box.bottom") / grid[1])
+        every = df.withColumn("gx", F.explode(at("left", "right", grid[0]))).withColumn("gy", F.explode(at("top", "bottom", grid[1])))
+        return every.where(inside).withColumn("claim", F.struct("frame", "gx", "gy"))
 
-    flat = labels.select("frame", "k", "priority", "placed", F.col("box.left").alias("l"), F.col("box.right").alias("r"), F.col("box.top").alias("t"), F.col("box.bottom").alias("b"))
-    kinds = {c: labels.schema[c].dataType.simpleString() for c in ("frame", "k")}
-    return flat.groupBy("frame").applyInPandas(fold, f"frame {kinds['frame']}, k {kinds['k']}, rank long")
+    cells = lambda df: covered(covered(df, "left", "right", cell, "cx"), "top", "bottom", cell, "cy").withColumn("cell", F.struct("frame", "cx", "cy"))
+    taken = first_come(rows, claims, cells, cells, lambda a, b: boxes_meet(a("box"), b("box")))
+    ranked = position(taken.select("frame", F.col("id").alias("k"), "ord"), "ord", key=["frame"])
+    return ranked.where(F.col("position") < budget).select("frame", "k", F.col("position").alias("rank"))
 
 
 def label_text(name: Column, stop: Column, via: Column, minutes: Column, trip_size: int) -> Column:
@@ -98,10 +101,11 @@ def trip_stats(stops: DataFrame) -> DataFrame:
 
 def percentiles(rows: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
     """Values at place ``min(n - 1, floor(q n))`` of each key's sorted values. Equal values are counted
-    first, so what is ordered is each distinct value and its count."""
+    first, so what is ordered is each distinct value and its count, and a key's values are many tasks."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("c"))
-    run = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(key).orderBy(value))).join(counts.groupBy(key).agg(F.sum("c").alias("n")), key)
-    at = lambda q: F.min(F.when(F.col("upto") > F.least(F.col("n") - 1, F.floor(F.lit(q) * F.col("n"))), F.col(value)))
+    whole = cut(counts)
+    run = join_small(sums_before(whole, "before", "c", [value], [key]), whole.groupBy(key).agg(F.sum("c").alias("n")), [key])
+    at = lambda q: F.min(F.when(F.col("before") + F.col("c") > F.least(F.col("n") - 1, F.floor(F.lit(q) * F.col("n"))), F.col(value)))
     return run.groupBy(key).agg(*[at(q).alias(name) for name, q in shares.items()])
 
 
@@ -123,26 +127,6 @@ def top_rendered(cities: DataFrame, most: int = 7_000) -> DataFrame:
     return ranked.orderBy(F.desc("priority"), "k").limit(most).select("k", "priority")
 
 
-def position(rows: DataFrame, *order: str, per_task: int = 100_000) -> DataFrame:
-    """Rows with their ``position`` from 0 in an order over all. Rows are ranged by the order, numbered inside
-    a range, and a range begins where the counts of those before it end; the driver sees the counts."""
-    import math
-
-    n = rows.count()
-    ranged = rows.repartitionByRange(max(1, math.ceil(n / per_task)), *order).withColumn("_part", F.spark_partition_id())
-    from viaduct.operators.graphs import cut
-
-    ranged = cut(ranged)
-    counts = sorted((r["_part"], r["n"]) for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).collect())
-    starts, at = [], 0
-    for part, count in counts:
-        starts.append((part, at))
-        at += count
-    first = rows.sparkSession.createDataFrame(starts, "_part int, _first long")
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return ranged.withColumn("_row", inside).join(F.broadcast(first), "_part").withColumn("position", F.col("_first") + F.col("_row") - 1).drop("_part", "_row", "_first")
-
-
 def geometry_choice(edges: DataFrame) -> DataFrame:
     """Geometry of an edge: the rail route if its length is plausible, else the shape's if there is one, else
     the straight line, with what was rejected; ``edges(edge, direct, rail, shape)`` in metres."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from viaduct.functions import geo, text
 from viaduct.operators import artifacts as a
-from viaduct.operators import graphs, rails, views
+from viaduct.operators import graphs, rails, ranks, views
 from viaduct.plans import graph as g
 from viaduct.plans import scalars as s
 from viaduct.plans.feed import read
@@ -216,7 +216,7 @@ GR_9 = g._walk(g.BOTH, "0") + f", {g.CITIES}, h AS (SELECT node AS trip, unnest(
 def so_4(spark, d):
     """Suggestions in order: more interest first, then less detour, then as they come."""
     found = graphs.suggestions(g.cities(spark, d), g.both_ways(spark, d), g.TRIP)
-    return views.position(found.withColumn("less", -C("interest")), "less", "detour", "id").select("id", "interest", "after_stop", "detour", C("position").cast("long").alias("rank"))
+    return ranks.position(found.withColumn("less", -C("interest")), "less", "detour", "id").select("id", "interest", "after_stop", "detour", C("position").cast("long").alias("rank"))
 
 
 def _suggested(trip: list[int]) -> str:
@@ -241,7 +241,7 @@ GR_8 = _suggested(g.TRIP) + f" SELECT i, a, b, cost, len(path)::INT AS stops FRO
 def so_9(spark, d):
     """Patterns in the order an artifact is written in."""
     rows = read(spark, d, "lineitem").select(C("l_returnflag").alias("source"), C("l_suppkey").alias("route"), C("l_orderkey").alias("id")).distinct()
-    return views.position(rows, "source", "route", "id").select("source", "route", "id", C("position").cast("long").alias("position"))
+    return ranks.position(rows, "source", "route", "id").select("source", "route", "id", C("position").cast("long").alias("position"))
 
 
 # --- curves and cameras ----------------------------------------------------------------------

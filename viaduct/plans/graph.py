@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from viaduct.operators import graphs
+from viaduct.operators.ranks import position, sums_before
+from viaduct.operators.tables import cut, join_counted
 from viaduct.plans.feed import read
 
 
@@ -114,8 +116,8 @@ def gr_15(spark, d):
 
 
 def so_1(spark, d):
-    w = Window.orderBy(F.desc("interest"), F.desc("pop"), "name")
-    return cities(spark, d).select("id", F.row_number().over(w).alias("position"))
+    rows = cities(spark, d).select("id", (-F.col("interest")).alias("less"), (-F.col("pop")).alias("fewer"), "name")
+    return position(rows, "less", "fewer", "name").select("id", (F.col("position") + 1).cast("int").alias("position"))
 
 
 def search(cities_: DataFrame, query: str, limit: int) -> DataFrame:
@@ -134,18 +136,19 @@ def so_3(spark, d):
 
 def prj_10(spark, d):
     """CSR rows: node, dense index and offset of its first edge."""
-    degrees = directed(spark, d).groupBy("src").agg(F.count("*").alias("degree"))
-    w = Window.orderBy("src")
-    return degrees.select("src", (F.row_number().over(w) - 1).alias("node_index"), (F.sum("degree").over(w) - F.col("degree")).alias("first_edge"), "degree")
+    degrees = cut(directed(spark, d).groupBy("src").agg(F.count("*").alias("degree")))
+    laid = sums_before(position(degrees, "src"), "first_edge", "degree", ["src"])
+    return laid.select("src", F.col("position").cast("int").alias("node_index"), "first_edge", "degree")
 
 
 def ag_25(spark, d):
     """Display names made unique: plain, with the country, then with the id."""
     rows = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("name"), F.col("c_nationkey").alias("country"))
-    same = F.count("*").over(Window.partitionBy("name"))
-    rank = F.row_number().over(Window.partitionBy("name", "country").orderBy("id"))
+    same = cut(rows.groupBy("name").agg(F.count("*").alias("n"), F.count("*").alias("same")))
+    first = rows.groupBy("name", "country").agg(F.min("id").alias("id")).select("id", F.lit(True).alias("leads"))
     by_country = F.concat(F.col("name"), F.lit(" ("), F.col("country").cast("string"), F.lit(")"))
-    return rows.select("id", F.when(same == 1, F.col("name")).when(rank == 1, by_country).otherwise(F.concat(by_country, F.lit(" ["), F.col("id").cast("string"), F.lit("]"))).alias("shown"))
+    met = join_counted(rows, same, "name").join(first, "id", "left")
+    return met.select("id", F.when(F.col("same") == 1, F.col("name")).when(F.col("leads"), by_country).otherwise(F.concat(by_country, F.lit(" ["), F.col("id").cast("string"), F.lit("]"))).alias("shown"))
 
 
 def ag_26(spark, d):

@@ -94,10 +94,10 @@ JN_4 = "WITH o AS (SELECT p_partkey AS raw_id, p_size % 7 AS target FROM part WH
 
 
 def jn_8(spark, d):
-    return stations.stems(stops(spark, d).select("k", "name", "lat", "lon"), 3_000.0)
+    return stations.stems(stops(spark, d).select("k", "name", "lat", "lon"))
 
 
-JN_8 = f"WITH {STOPS}, w AS (SELECT k, lat, lon, {s.q_norm('name')} AS name FROM stops), x AS (SELECT k, lat, lon, name, n, array_to_string(string_split(name, ' ')[1:n], ' ') AS prefix FROM (SELECT *, unnest(generate_series(1, len(string_split(name, ' ')) - 1)) AS n FROM w)), u AS (SELECT * FROM x WHERE {s.q_usable('prefix')}), h AS (SELECT a.k, max(a.n) AS n FROM u a JOIN u b ON a.prefix = b.prefix AND a.k <> b.k WHERE {PAIR} <= 3000 GROUP BY a.k) SELECT w.k, CASE WHEN h.n IS NULL THEN name ELSE array_to_string(string_split(name, ' ')[1:h.n], ' ') END AS stem FROM w LEFT JOIN h USING (k)"
+JN_8 = f"WITH {STOPS}, w AS (SELECT k, lat, lon, {s.q_norm('name')} AS name FROM stops), x AS (SELECT k, lat, lon, name, n, array_to_string(string_split(name, ' ')[1:n], ' ') AS prefix FROM (SELECT *, unnest(generate_series(1, len(string_split(name, ' ')) - 1)) AS n FROM w)), u AS (SELECT * FROM x WHERE {s.q_usable('prefix')}), h AS (SELECT a.k, max(a.n) AS n FROM u a JOIN u b ON a.prefix = b.prefix AND a.k <> b.k WHERE {PAIR} <= 30000 GROUP BY a.k) SELECT w.k, CASE WHEN h.n IS NULL THEN name ELSE array_to_string(string_split(name, ' ')[1:h.n], ' ') END AS stem FROM w LEFT JOIN h USING (k)"
 
 
 def _clusters(spark, d):
@@ -223,20 +223,20 @@ def _stemmed(spark, d):
 
 
 def ag_7(spark, d):
-    return stations.leader_clusters(_stemmed(spark, d).select("stem", "k", "lat", "lon"), 12_000.0)
+    return stations.leader_clusters(_stemmed(spark, d).select("stem", "k", "lat", "lon"))
 
 
 def ag_6(spark, d):
     """Clusters of a timetable without references: stems, leaders, then the cluster's figures."""
     rows = _stemmed(spark, d)
-    keyed = rows.join(stations.leader_clusters(rows.select("stem", "k", "lat", "lon"), 12_000.0), ["stem", "k"])
+    keyed = rows.join(stations.leader_clusters(rows.select("stem", "k", "lat", "lon")), ["stem", "k"])
     return stations.city_clusters(keyed.select(F.concat_ws("-", F.lit("gtfs-basic"), F.lit("zz"), "stem", "cluster").alias("cluster"), "name", "lat", "lon", C("size").alias("priority")))
 
 
 _WALK = f"""WITH RECURSIVE {STOPS}, o AS (SELECT string_split({s.q_norm('name')}, ' ')[1] AS stem, k, name, size, lat, lon FROM stops), n AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY lat, lon, k) AS i FROM o),
 w(i, k, stem, ys, xs, cluster) AS (SELECT i, k, stem, [lat], [lon], 0::BIGINT FROM n WHERE i = 1
  UNION ALL SELECT n.i, n.k, n.stem, CASE WHEN hit IS NULL THEN list_append(ys, lat) ELSE ys END, CASE WHEN hit IS NULL THEN list_append(xs, lon) ELSE xs END, coalesce(hit, len(ys))::BIGINT
- FROM (SELECT n.*, w.ys, w.xs, list_min(list_filter(generate_series(0, len(ys) - 1), lambda c: {s.q_hav('ys[c + 1]', 'xs[c + 1]', 'n.lat', 'n.lon')} <= 12000)) AS hit FROM w JOIN n ON n.stem = w.stem AND n.i = w.i + 1) n)"""
+ FROM (SELECT n.*, w.ys, w.xs, list_min(list_filter(generate_series(0, len(ys) - 1), lambda c: {s.q_hav('ys[c + 1]', 'xs[c + 1]', 'n.lat', 'n.lon')} <= 30000)) AS hit FROM w JOIN n ON n.stem = w.stem AND n.i = w.i + 1) n)"""
 AG_7 = f"{_WALK} SELECT stem, k, cluster FROM w"
 AG_6 = f"{_WALK} SELECT 'gtfs-basic-zz-' || stem || '-' || cluster AS cluster, count(*) AS stations, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, max(size) AS priority, count(DISTINCT name) AS aliases FROM w JOIN n USING (stem, k) GROUP BY 1"
 

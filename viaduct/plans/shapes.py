@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from viaduct.operators import polylines as p
-from viaduct.operators import graphs, rails, spatial
+from viaduct.operators import graphs, rails, ranks, spatial
 from viaduct.plans import scalars as s
 from viaduct.plans.feed import read
 from viaduct.plans.places import HALTS, at, halts, q_at
@@ -49,12 +49,8 @@ _WAYS = f"{HALTS}, g AS (SELECT country::BIGINT AS line, k AS i, lat, lon, lag(l
 _STEP = s.q_hav("blat", "blon", "lat", "lon")
 
 
-def _arrays(spark, d):
-    return _ways(spark, d).groupBy("line").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "lat", "lon"))), lambda q: F.struct(q["lat"], q["lon"])).alias("p"))
-
-
 def wn_7(spark, d):
-    return _arrays(spark, d).select("line", p.length_m(C("p")).alias("metres"))
+    return p.lengths(_ways(spark, d))
 
 
 WN_7 = f"WITH {_WAYS} SELECT line, coalesce(sum(round({_STEP})), 0)::BIGINT AS metres FROM g GROUP BY line"
@@ -75,15 +71,15 @@ def wn_9(spark, d):
 
 
 def wn_10(spark, d):
-    cut = p.shape_between(C("p"), C("a"), C("b"), 300_000.0, 1_500_000.0)
-    return _asked(spark, d).select("line", F.size(cut).cast("long").alias("points"), F.round(F.aggregate(cut, F.lit(0.0), lambda t, q: t + q["lat"]), 6).alias("sum_lat")).where("points >= 0")
+    found = p.shape_rows(_ways(spark, d), _asked(spark, d), 300_000.0, 1_500_000.0)
+    return found.groupBy("line").agg(F.count("*").alias("points"), F.round(F.sum("lat"), 6).alias("sum_lat"))
 
 
 def _asked(spark, d):
-    """Lines with two places to look for on them."""
+    """Two places to look for on each line."""
     k = C("line")
-    put = lambda a, b: F.struct(*[v.alias(n) for n, v in zip(("lat", "lon"), at(k, a, b), strict=True)])
-    return _arrays(spark, d).withColumn("a", put(91, 17)).withColumn("b", put(13, 29))
+    put = lambda a, b, p: [v.alias(f"{p}{n}") for n, v in zip(("lat", "lon"), at(k, a, b), strict=True)]
+    return _ways(spark, d).select("line").distinct().select("line", *put(91, 17, "a"), *put(13, 29, "b"))
 
 
 _ASKED = f"{_WAYS}, q AS (SELECT line, n, lat, lon, {q_at('line', 91, 17, names='alat,alon')}, {q_at('line', 13, 29, names='zlat,zlon')} FROM g), da AS (SELECT *, {s.q_hav('lat', 'lon', 'alat', 'alon')} AS d1, {s.q_hav('lat', 'lon', 'zlat', 'zlon')} AS d2 FROM q), st AS (SELECT line, arg_min(n, (d1, n)) AS i1, min(d1) AS m1 FROM da GROUP BY line), en AS (SELECT line, arg_min(n, (d2, n)) AS i2, min(d2) AS m2 FROM da JOIN st USING (line) WHERE n >= i1 GROUP BY line)"
@@ -91,8 +87,10 @@ WN_10 = f"WITH {_ASKED}, ok AS (SELECT * FROM st JOIN en USING (line) WHERE i2 >
 
 
 def jn_14(spark, d):
-    start, end = p.nearest_vertices(C("p"), C("a"), C("b"))
-    return _asked(spark, d).select("line", start["i"].cast("long").alias("start"), F.round(start["d"], 2).alias("d1"), end["i"].cast("long").alias("finish"), F.round(end["d"], 2).alias("d2"))
+    """Nearest points of a line as their places in it, from 0."""
+    numbered = ranks.position(_ways(spark, d), "i", key=["line"])
+    found = p.nearest_rows(numbered.select("line", C("position").alias("i"), "lat", "lon"), _asked(spark, d))
+    return found.select("line", "start", F.round("d1", 2).alias("d1"), "finish", F.round("d2", 2).alias("d2"))
 
 
 def flt_17(spark, d):

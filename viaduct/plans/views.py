@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from viaduct.functions import text, urls
-from viaduct.operators import feed, views
+from viaduct.operators import feed, ranks, views
 from viaduct.operators import manifests as m
 from viaduct.plans import scalars as s
 from viaduct.plans.feed import read
@@ -119,7 +119,7 @@ def flt_12(spark, d):
 def so_5(spark, d):
     """Cities within two hours in order of time and key, numbered."""
     near = _reach(spark, d).where("minutes <= 120").select("k", "minutes")
-    return views.position(near, "minutes", "k").select("k", C("position").cast("long").alias("position"))
+    return ranks.position(near, "minutes", "k").select("k", C("position").cast("long").alias("position"))
 
 
 def ag_21(spark, d):
