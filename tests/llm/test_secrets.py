@@ -125,3 +125,36 @@ def test_query_digest(spark, tmp_path):
 def test_long_texts_do_not_overflow(spark, text):
     (r,) = secrets.scan(frame(spark, [text])).collect()
     assert [(x.start, x.ord, x.end) for x in r.base] == brute(text)
+
+
+def test_a_text_full_of_matches(spark):
+    """Places and the redacted text of very many matches, in time of their number."""
+    import time
+
+    text = "é token=abcdefghijklmnop, " * 40_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    (row,) = secrets.candidates(df).select("base").collect()
+    assert [(x.start, x.ord, x.end) for x in row.base] == [(i * 26 + 2, 0, i * 26 + 24) for i in range(40_000)]
+    assert secrets.redact(df).collect()[0].text == "é [SECRET], " * 40_000 and time.time() - began < 60
+
+
+def test_cutting_out(spark):
+    from pyspark.sql import functions as F
+
+    from viaduct.llm.arrays import cut_out
+
+    rows = [("aéb😀c" * 3, [(0, 2, "X"), (1, 4, "Y"), (6, 6, "Z"), (7, 9, ""), (14, 15, "E")]), ("", [(0, 0, "Q")]), ("abc", [(0, 3, "")])]
+    df = spark.createDataFrame(rows, "text string, spans array<struct<start:bigint,end:bigint,mark:string>>")
+
+    def plain(text, spans):
+        out, at = "", 0
+        for a, b, mark in spans:
+            if a >= at:
+                out += text[at:a] + mark
+            at = max(at, b)
+        return out + text[at:]
+
+    for piece in (1, 2, 3, 5, 1024):
+        got = [r.out for r in df.select(cut_out(F.col("text"), F.col("spans"), piece).alias("out")).collect()]
+        assert got == [plain(t, s) for t, s in rows], piece

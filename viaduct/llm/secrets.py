@@ -55,7 +55,7 @@ def spans(text, order: int, pattern: str, guard, keep=None):
     part = lambda i: F.regexp_extract_all(text, whole, F.lit(i))
     pieces = F.arrays_zip(part(0).alias("f"), part(2).alias("m"), part(4 if keep else 2).alias("g"))
     none = F.array().cast(SPAN)
-    length = lambda x: (F.length(x["f"]) + F.length(x["m"])).cast("bigint")
+    length = lambda x: F.length(x["f"]).cast("bigint")
 
     def placed(pieces):
         ends = running(F.transform(pieces, length))
