@@ -63,6 +63,19 @@ def test_a_missing_member(spark, tmp_path):
         feeds.read_member(spark, path, "shapes.txt", ["shape_id"]).collect()
 
 
+@pytest.mark.parametrize("split", [1, 7, 64, 1 << 20])
+def test_members_are_read_in_ranges(spark, tmp_path, split):
+    body = 'id , note,x\r\n1,"two\nlines ""and"" quotes",a\n2,plain,b\n\n3,"é, ü\n\n",c\n4,"last"'
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("deep/down/t.txt", "\ufeff" + body)
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.writestr("t.txt", "x,id\nq,9\n")
+    got = feeds.read_member(spark, str(tmp_path), "t.txt", ["id", "note", "x", "none"], split=split)
+    rows = sorted((r.archive[-5:], r.pos, r.id, r.note, r.x, r.none) for r in got.collect())
+    want = [("a.zip", 0, "1", 'two\nlines "and" quotes', "a", None), ("a.zip", 1, "2", "plain", "b", None), ("a.zip", 3, "3", "é, ü", "c", None), ("a.zip", 4, "4", "last", None, None), ("b.zip", 0, "9", None, "q", None)]
+    assert rows == want and (split > 64 or got.rdd.getNumPartitions() > 2)
+
+
 def test_station_list(spark, tmp_path):
     path = tmp_path / "list.csv"
     path.write_text('﻿NOM, Position_Geographique ,CodeINSEE,codes_uic,id\nParis,"48.8, 2.3",75112,"0087686006;87686006;12",7\n,"1,2",1,1,8\nLost,nowhere,1,1,9\nShort,"1.5,2"\n', encoding="utf-8")
@@ -100,6 +113,7 @@ def test_geopackage_and_geojson(spark, tmp_path):
     db.executemany("INSERT INTO gis_osm_railways_free VALUES (?, ?)", [(head(0) + wkb(LINES, "<"), "rail"), (head(1) + wkb(LINES[:1], ">"), "narrow_gauge"), (head(2) + wkb(LINES, "<"), "tram")])
     db.commit()
     db.close()
+    assert feeds.geopackage_lines(spark, str(tmp_path / "rail.gpkg"), split=1).collect() == feeds.geopackage_lines(spark, str(tmp_path / "rail.gpkg")).collect()
     rows = feeds.geopackage_lines(spark, str(tmp_path / "rail.gpkg")).collect()
     assert sorted((r.i, r.lat, r.lon) for r in rows) == sorted([(i, *p) for line in LINES for i, p in enumerate(line)] + [(i, *p) for i, p in enumerate(LINES[0])])
     shape = lambda kind, c, **p: {"type": "Feature", "properties": p, "geometry": {"type": kind, "coordinates": c}}

@@ -1,64 +1,30 @@
 """Timetable archives, station lists and rail geometry files as DataFrames.
 
-Files are read by Spark as binary or text, so any store it reaches will do; an archive or a GeoPackage
-is opened inside the task that got it and leaves it row by row.
+Text files are read by Spark; archives and GeoPackages by data sources that give each task a part of one file.
 """
 
 from __future__ import annotations
 
-import csv
-import io
 import struct
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viaduct.functions import text
 from viaduct.operators import feed
+from viaduct.sources import splits
 
 # Layer names and classes of railways in GeoPackages.
 LAYER, CLASSES = "gis_osm_railways_free", ("rail", "narrow_gauge")
 
 
-def member_of(names: list[str], wanted: str) -> str | None:
-    """The first member of that name, or of that name in a folder."""
-    return next((n for n in names if n == wanted or n.endswith(f"/{wanted}")), None)
-
-
-def read_member(spark: SparkSession, path: str, member: str, columns: list[str], optional: bool = False) -> DataFrame:
-    """Rows of a CSV member of the archives at ``path``: archive, pos (line number) and ``columns`` as strings,
+def read_member(spark: SparkSession, path: str, member: str, columns: list[str], optional: bool = False, split: int = 64 << 20) -> DataFrame:
+    """Rows of a CSV member of the archives at ``path``: archive, pos (record number) and ``columns`` as strings,
     null where the file has no such column. Headers and values are trimmed, byte order marks dropped. A
-    missing member fails unless it is ``optional``."""
-    import pyarrow as pa
-
-    names = ["archive", "pos", *columns]
-    kinds = [pa.string(), pa.int64(), *[pa.string()] * len(columns)]
-
-    def rows(batches):
-        for batch in batches:
-            for where, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
-                    found = member_of(z.namelist(), member)
-                    if found is None:
-                        if optional:
-                            continue
-                        raise ValueError(f"{where} has no {member}")
-                    lines = csv.reader(io.TextIOWrapper(z.open(found), "utf-8-sig", newline=""))
-                    head = [h.strip() for h in next(lines, [])]
-                    at = [head.index(c) if c in head else None for c in columns]
-                    part: list[tuple] = []
-                    for pos, line in enumerate(lines):
-                        if line:
-                            part.append((where, pos, *[line[i].strip() if i is not None and i < len(line) else None for i in at]))
-                        if len(part) == 10_000:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names)
-                            part = []
-                    if part:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names)
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(rows, "archive string, pos long, " + ", ".join(f"`{c}` string" for c in columns))
+    missing member fails unless it is ``optional``. Each ``split`` bytes of a member are a task of their own."""
+    splits.register(spark)
+    schema = "archive string, pos long, " + ", ".join(f"`{c}` string" for c in columns)
+    return spark.read.format("archive_member").schema(schema).options(member=member, optional=str(optional).lower(), split=split).load(path)
 
 
 def stations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -177,37 +143,10 @@ def geopackage_payload(blob: bytes) -> bytes:
     return blob[8 + envelope :]
 
 
-def layer_of(tables: list[str]) -> str:
-    """The railway layer: the one of that very name, else the first that begins so."""
-    fit = sorted(t for t in tables if t.startswith(LAYER))
-    if not fit:
-        raise ValueError(f"no {LAYER} layer")
-    return LAYER if LAYER in fit else fit[0]
-
-
-def geopackage_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines ``(line, i, lat, lon)`` of the railways of GeoPackages."""
-    import pyarrow as pa
-
-    point = pa.list_(pa.struct([("lat", pa.float64()), ("lon", pa.float64())]))
-
-    def rows(batches):
-        import sqlite3
-
-        for batch in batches:
-            for where, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                db = sqlite3.connect(":memory:")
-                db.deserialize(content.as_py())
-                table = layer_of([t for (t,) in db.execute("SELECT table_name FROM gpkg_contents")])
-                cursor = db.execute(f'SELECT rowid, geom, fclass FROM "{table}"')
-                while part := cursor.fetchmany(2000):
-                    lines = [(f"{where}#{row}", n, [{"lat": a, "lon": b} for a, b in line]) for row, geom, kind in part if kind in CLASSES for n, line in enumerate(wkb_lines(geopackage_payload(geom)))]
-                    columns = zip(*lines, strict=True) if lines else ([], [], [])
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), point), strict=True)], ["file", "n", "p"])
-                db.close()
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    found = files.mapInArrow(rows, "file string, n int, p array<struct<lat:double,lon:double>>")
+def geopackage_lines(spark: SparkSession, path: str, split: int = 100_000) -> DataFrame:
+    """Lines ``(line, i, lat, lon)`` of the railways of GeoPackages, ``split`` rows of the layer a task."""
+    splits.register(spark)
+    found = spark.read.format("geopackage_layer").options(layer=LAYER, kinds=",".join(CLASSES), split=split).load(path)
     return _numbered(found, lambda q: (q["lat"], q["lon"]))
 
 
