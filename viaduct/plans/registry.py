@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules under ``viaduct.plans`` that hold ``QUERIES`` and ``ORACLE_SQL``.
-MODULES: list[str] = ["feed", "graph", "scalars", "streams", "places", "manifests", "shapes", "views", "artifacts"]
+MODULES: list[str] = ["feed", "graph", "scalars", "streams", "places", "manifests", "shapes", "views", "artifacts", "sources"]
 
 
 def _gather(attribute: str) -> dict:

@@ -5,7 +5,10 @@ Text files are read by Spark; archives and GeoPackages by data sources that give
 
 from __future__ import annotations
 
+import csv
+import io
 import struct
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -155,11 +158,72 @@ def read_document(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path, multiLine=True)
 
 
-def write_document(df: DataFrame, path: str) -> None:
-    """Few records as one JSON list in one file, nulls kept."""
+def write_document(df: DataFrame, path: str, head: str = "[", tail: str = "]") -> None:
+    """Records as one JSON list in one file, in order of their text, nulls kept. A file is one task, which writes record
+    after record and holds a batch of them."""
+    import pyarrow as pa
+
+    def lines(batches):
+        before = head + "\n"
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            if texts:
+                yield pa.RecordBatch.from_arrays([pa.array([before + ",\n".join(texts)])], ["value"])
+                before = ","
+        yield pa.RecordBatch.from_arrays([pa.array([(before if before != "," else "") + tail])], ["value"])
+
     record = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
-    whole = df.agg(F.concat(F.lit("[\n"), F.array_join(F.array_sort(F.collect_list(record)), ",\n"), F.lit("\n]")).alias("value"))
-    whole.coalesce(1).write.mode("overwrite").text(path)
+    ordered = df.select(record.alias("record")).repartition(1).sortWithinPartitions("record")
+    ordered.mapInArrow(lines, "value string").write.mode("overwrite").text(path)
+
+
+def write_archives(df: DataFrame, folder: str, member: str) -> None:
+    """Rows as CSV members of archives, one a task, named after its number, so that a task that runs again replaces its own."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    header = df.columns
+
+    def put(batches):
+        number = TaskContext.get().partitionId()
+        (store, place, _), *_ = splits.places_for(f"{folder}/part-{number:05d}.zip")
+        with store.open_output_stream(place) as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z, z.open(member, "w", force_zip64=True) as out:
+            text_ = io.TextIOWrapper(out, "utf-8", newline="")
+            rows = csv.writer(text_)
+            rows.writerow(header)
+            for batch in batches:
+                rows.writerows(zip(*[c.to_pylist() for c in batch.columns], strict=True))
+            text_.flush()
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32())], ["number"])
+
+    df.select(*[F.col(c).cast("string") for c in header]).mapInArrow(put, "number int").count()
+
+
+def write_geopackages(lines: DataFrame, folder: str) -> None:
+    """Lines ``(p array<struct<lat,lon>>, fclass)`` as GeoPackages with the railway layer, one a task."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    def put(batches):
+        import sqlite3
+
+        number = TaskContext.get().partitionId()
+        db = sqlite3.connect(":memory:")
+        db.execute("CREATE TABLE gpkg_contents (table_name TEXT)")
+        db.execute("INSERT INTO gpkg_contents VALUES (?)", (LAYER,))
+        db.execute(f'CREATE TABLE "{LAYER}" (geom BLOB, fclass TEXT)')
+        for batch in batches:
+            for p, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                flat = [v for q in p for v in (q["lon"], q["lat"])]
+                db.execute(f'INSERT INTO "{LAYER}" VALUES (?, ?)', (b"GP" + bytes(6) + struct.pack(f"<bII{len(flat)}d", 1, 2, len(p), *flat), kind))
+        db.commit()
+        (store, place, _), *_ = splits.places_for(f"{folder}/part-{number:05d}.gpkg")
+        with store.open_output_stream(place) as f:
+            f.write(db.serialize())
+        db.close()
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32())], ["number"])
+
+    lines.select("p", "fclass").mapInArrow(put, "number int").count()
 
 
 def registry_folders(root: str) -> dict[str, str]:

@@ -16,6 +16,15 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 
+def places_for(path: str) -> list[tuple[object, str, str]]:
+    """Store and place of a file to be written, its folder made."""
+    from pyarrow import fs
+
+    store, place = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+    store.create_dir(place.rpartition("/")[0], recursive=True)
+    return [(store, place, place)]
+
+
 def files_at(path: str) -> list[tuple[object, str, str]]:
     """Store, place in it and full name of the files at a path, which may be a folder or hold ``*``."""
     import fnmatch
