@@ -26,8 +26,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from viaduct.llm.common import table
-from viaduct.operators.tables import cut, join_small
+from viaduct.llm.common import cut, join_small, table
 
 SCALE, LEAST_DOCS, MOST_TERMS = 1_000_000_000, 3, 200
 TERM = re.compile(rb"[a-z\x80-\xff]+")  # on lower-cased UTF-8; bytes from 0x80 on are those of other characters
@@ -44,7 +43,7 @@ def pieces_of(data: bytes, size: int = 1 << 22):
         at = end
 
 
-def count_terms(docs: DataFrame, held: int = 150_000) -> DataFrame:
+def count_terms(docs: DataFrame, held: int = 400_000) -> DataFrame:
     """Partial sums ``lang, source, term, n, docs`` of occurrences and documents; a task holds about
     ``held`` of them and gives them out when there are more."""
     import pyarrow as pa
@@ -85,7 +84,8 @@ def count_terms(docs: DataFrame, held: int = 150_000) -> DataFrame:
 
 def term_vectors(docs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
     """``lang, term, vec``: the kept terms with their counts ``(source, n)`` by source."""
-    by_source = count_terms(docs).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # the partial sums of a term meet once, for its sources and for itself; a task sends one row a source at most
+    by_source = count_terms(docs).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     vectors = by_source.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.array_sort(F.collect_list(F.struct("source", "n"))).alias("vec"))
     return cut(vectors.where(F.col("docs") >= least).select("lang", "term", "vec"))
 
