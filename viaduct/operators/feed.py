@@ -6,18 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def consecutive_edges(visits: DataFrame) -> DataFrame:
+def consecutive_edges(visits: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Edges between a visit and the one before it in the trip, in file order.
 
     Takes trip, pos, seq, city, arrival and departure in seconds. A visit that isn't later in
     sequence or changes no city gives no edge but is still the next one's predecessor; durations
-    of nothing or less give none.
+    of nothing or less give none. Columns to ``carry`` come from both visits, as ``from_…`` and ``to_…``.
     """
-    before = F.lag(F.struct("city", "departure", "seq")).over(Window.partitionBy("trip").orderBy("pos"))
+    before = F.lag(F.struct("city", "departure", "seq", *carry)).over(Window.partitionBy("trip").orderBy("pos"))
     edges = visits.withColumn("before", before).where("before is not null")
     edges = edges.where((F.col("seq") > F.col("before.seq")) & (F.col("city") != F.col("before.city")))
     seconds = F.col("arrival") - F.col("before.departure")
-    return edges.where(seconds > 0).select("trip", "pos", F.col("before.city").alias("from_city"), F.col("city").alias("to_city"), F.ceil(seconds / 60).cast("long").alias("duration_min"))
+    return edges.where(seconds > 0).select("trip", "pos", F.col("before.city").alias("from_city"), F.col("city").alias("to_city"), F.ceil(seconds / 60).cast("long").alias("duration_min"), *[F.col(f"before.{c}").alias(f"from_{c}") for c in carry], *[F.col(c).alias(f"to_{c}") for c in carry])
 
 
 def fastest_edges(edges: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from viaduct.functions import text, urls
-from viaduct.operators import feed, ranks, views
+from viaduct.operators import build, feed, ranks, views
 from viaduct.operators import manifests as m
 from viaduct.plans import scalars as s
 from viaduct.plans.feed import read
@@ -344,8 +344,7 @@ FN_M21 = "SELECT c_custkey, ([48.5, 1.5, NULL, NULL, NULL, 4]::DOUBLE[])[1 + c_c
 def fn_c5(spark, d):
     """Priority of a reference's segment. A to D."""
     seg = _pick(["A", " b ", "C", "d", "", "x"], C("p_partkey"))
-    letter = F.upper(F.trim(seg))
-    return read(spark, d, "part").select("p_partkey", F.when(letter == "A", 4).when(letter == "B", 3).when(letter == "C", 2).otherwise(1).alias("priority"))
+    return read(spark, d, "part").select("p_partkey", build.segment_priority(seg).alias("priority"))
 
 
 # --- filters ---------------------------------------------------------------------------------
