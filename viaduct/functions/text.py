@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Letters folded one to one, and those that become two letters.
 FOLD_FROM = "àáâãäåāăąçćčďđèéêëēęěğìíîïīıłñńňòóôõöøōőřśšşťùúûüūůűýÿźżž"
-FOLD_TO = "aaaaaaaaacccddeeeeeeegiiiiiilnnnoooooooorsssтuuuuuuuyyzzz".replace("т", "t")
+FOLD_TO = "aaaaaaaaacccddeeeeeeegiiiiiilnnnoooooooorssstuuuuuuuyyzzz"
 FOLD_PAIRS = [("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("þ", "th")]
 
 # Words that name a station rather than a place.

@@ -102,7 +102,7 @@ def edge_lines(pairs: DataFrame, rail: DataFrame | None, shapes: DataFrame) -> D
         nodes, edges = rails.build_network(rail)
         most = asked.agg(F.max("limit")).first()[0] or 0
         open_, found = trips, []
-        for k, slack in ((rails.CANDIDATES, rails.SLACK_M), (rails.MORE_CANDIDATES, 4 * rails.SLACK_M)):
+        for k, slack in ((rails.CANDIDATES, rails.SLACK_M), (rails.MORE_CANDIDATES, rails.MORE_SLACK_M)):
             best = cut(rails.best_routes(open_, nodes, edges, float(most), k, slack, paths=True))
             lines = rails.route_lines(best.select("trip", "path"), nodes, open_).select(F.col("trip").alias("edge"), F.posexplode("points").alias("i", "p")).select("edge", F.col("i").cast("long").alias("i"), F.lit(0).alias("j"), "p.lat", "p.lon")
             found.append(_judged(lines, asked))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from viaduct.operators.tables import Rounds, cut
+
 # Roles by kind of entity and tiers by provider, where a source names none.
 ROLES = {"municipality_registry": "municipality_identity", "city_registry": "city_identity", "station_registry": "station_identity", "city_station_membership": "station_city_membership", "city_enrichment": "enrichment"}
 TIERS = {"eurostat_gisco": "official", "national_geographic_authority": "official", "national_statistical_office": "official", "national_transport_authority": "official", "wikidata": "linked_open_data", "osm": "community"}
@@ -109,25 +111,29 @@ def resolve_targets(targets: DataFrame, requested: list[str] | None = None, defa
     return asked.withColumn("target", F.when(F.coalesce("active", F.lit(False)), F.col("target")).otherwise(bad))
 
 
-def target_closure(targets: DataFrame, roots: DataFrame, most: int = 1000) -> DataFrame:
+def target_closure(targets: DataFrame, roots: DataFrame) -> DataFrame:
     """``target, depth`` of the roots and all they depend on, a dependency deeper than what needs it, so
-    descending depth builds dependencies first. A cycle would deepen past the number of targets and fails."""
-    from viaduct.operators.graphs import cut
-
-    needs = targets.select("target", F.explode("inputs").alias("input"))
-    n = targets.count()
-    if n > most:
-        raise ValueError(f"more than {most} targets")
-    level, found, depth = cut(roots.select("target").distinct()), None, 0
+    descending depth builds dependencies first. Where targets are reached at a depth that is no less than the number of targets
+    found so far, some depend on each other in a circle, and the job fails."""
+    needs = cut(targets.select("target", F.explode("inputs").alias("input")))
+    levels = Rounds(targets.sparkSession)
+    level, depth = levels.cut(roots.select("target").distinct()), 0
+    found = [cut(level.withColumn("depth", F.lit(0)))]
     while not level.isEmpty():
-        if depth > n:
+        level, depth = levels.cut(level.join(needs, "target").select(F.col("input").alias("target")).distinct()), depth + 1
+        found.append(cut(level.withColumn("depth", F.lit(depth))))
+        if len(found) > 16:
+            found = [cut(_deepest(found))]
+        if depth >= _deepest(found).count() and not level.isEmpty():
             raise ValueError("targets depend on each other in a circle")
-        at = level.withColumn("depth", F.lit(depth))
-        found = at if found is None else found.union(at)
-        level, depth = cut(level.join(needs, "target").select(F.col("input").alias("target")).distinct()), depth + 1
-    if found is None:
-        return roots.select("target", F.lit(0).alias("depth"))
-    return found.groupBy("target").agg(F.max("depth").alias("depth"))
+    return _deepest(found)
+
+
+def _deepest(levels: list[DataFrame]) -> DataFrame:
+    every = levels[0]
+    for more in levels[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("target").agg(F.max("depth").alias("depth"))
 
 
 def scoped_sources(targets: DataFrame, sources: DataFrame, closure: DataFrame) -> DataFrame:

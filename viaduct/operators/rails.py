@@ -18,7 +18,7 @@ from viaduct.operators.tables import cut
 # Tolerances of stitches, cells and snapping.
 MERGE_M, ENDS_M, MICRO_M, COMPONENT_M = 120.0, 25.0, 60.0, 150.0
 CELL, SNAP_M, END_M = 0.001, 5_000.0, 350.0
-CANDIDATES, SLACK_M, MORE_CANDIDATES = 8, 300.0, 24
+CANDIDATES, SLACK_M, MORE_CANDIDATES, MORE_SLACK_M = 8, 300.0, 24, 1_500.0
 
 
 def node_id(lat: Column, lon: Column) -> Column:

@@ -174,7 +174,7 @@ def read_chunks(spark, path: str, schema, wanted: DataFrame | None = None, check
     """Rows of the chunks, of the ``wanted(chunk)`` only if given; a whole read must agree with the manifest."""
     rows = spark.read.schema(schema).json(f"{path}/chunks")
     if wanted is not None:
-        return rows.join(F.broadcast(wanted.select("chunk")), "chunk", "left_semi")
+        return rows.join(wanted.select("chunk"), "chunk", "left_semi")
     if check:
         said = spark.read.json(f"{path}/manifest").agg(F.sum("rows")).first()[0] or 0
         if rows.count() != said:

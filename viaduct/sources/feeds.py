@@ -45,7 +45,7 @@ def trips(spark: SparkSession, path: str, source: str) -> DataFrame:
     """Rail trips ``(trip_id, route_id, shape_id)``: of supported routes, the last row of each, none that touches a coach stop."""
     routes = read_member(spark, path, "routes.txt", ["route_id", "route_type"])
     rail = routes.where(feed.rail_route(F.col("route_id"), F.expr("try_cast(route_type as int)"), source)).select("route_id").distinct()
-    rows = read_member(spark, path, "trips.txt", ["route_id", "trip_id", "service_id", "trip_headsign", "shape_id"]).join(F.broadcast(rail), "route_id")
+    rows = read_member(spark, path, "trips.txt", ["route_id", "trip_id", "service_id", "trip_headsign", "shape_id"]).join(rail, "route_id")
     last = feed.last_per(rows.select("trip_id", "pos", "route_id", F.nullif("shape_id", F.lit("")).alias("shape_id")), "trip_id", "pos").drop("pos")
     coach = stop_times(spark, path).where(feed.coach_stop(F.lit(source), F.col("stop_id"))).select("trip_id").distinct()
     return last.join(coach, "trip_id", "left_anti")

@@ -58,7 +58,7 @@ def refresh(changes: DataFrame, root: str, at: str, source: str = "source_id", s
     """Takes the changes beyond each source's cursor, all of them where it has none, and moves the cursors on; the cursors."""
     spark = changes.sparkSession
     known = load_cursors(spark, root).select(F.col("source_id").alias("_of"), F.col("number").alias("_number"), F.col("state.replication_sequence").alias("_upto"), F.col("state.seed_snapshot_id").alias("_seed"))
-    fresh = changes.join(F.broadcast(known), changes[source] == known["_of"], "left").where(F.col("_upto").isNull() | (F.col(sequence) > F.col("_upto")))
+    fresh = changes.join(known, changes[source] == known["_of"], "left").where(F.col("_upto").isNull() | (F.col(sequence) > F.col("_upto")))
     folder = stage(fresh.select(changes.columns), root)
     taken = spark.read.schema(changes.schema).parquet(f"{root}/rows/{folder}").groupBy(F.col(source).alias("source_id")).agg(F.max(sequence).cast("long").alias("upto"))
     met = taken.join(known, taken["source_id"] == known["_of"], "left")
