@@ -74,3 +74,10 @@ def local_metres(lat: Column, lon: Column, lat0: Column, lon0: Column) -> tuple[
 def boxes_overlap(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """Closed intervals ``x0, x1, y0, y1`` of two boxes meet."""
     return (a["x0"] <= b["x1"]) & (a["x1"] >= b["x0"]) & (a["y0"] <= b["y1"]) & (a["y1"] >= b["y0"])
+
+
+def parse_place(c: Column) -> Column:
+    """``struct(lat, lon)`` of a text of two numbers with a comma between, what follows a second one left out; null if either
+    isn't a number."""
+    part = lambda i: F.trim(F.get(F.split(c, ","), F.lit(i))).try_cast("double")
+    return F.when(part(0).isNotNull() & part(1).isNotNull(), F.struct(part(0).alias("lat"), part(1).alias("lon")))

@@ -158,6 +158,16 @@ def french_commune(c: Column) -> Column:
     return F.when(c.rlike("^751(0[1-9]|1[0-9]|20)$"), "75056").when(c.rlike("^6938[1-9]$"), "69123").when(c.rlike("^132(0[1-9]|1[0-6])$"), "13055").otherwise(c)
 
 
+def wikidata_id(c: Column) -> Column:
+    """Whether a text is an item's id, as it stands."""
+    return F.coalesce(c.rlike("^Q[0-9]+$"), F.lit(False))
+
+
+def in_service(mnemo: Column) -> Column:
+    """Whether a line of the infrastructure is in use; one that says nothing is."""
+    return F.coalesce(F.upper(F.trim(mnemo)) == "EXPLOITE", F.lit(True))
+
+
 def escape_html(c: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         c = F.replace(c, F.lit(a), F.lit(b))

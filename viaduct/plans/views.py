@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viaduct.functions import text, urls
+from viaduct.functions import geo, text, urls
 from viaduct.operators import build, feed, ranks, views
 from viaduct.operators import manifests as m
 from viaduct.plans import scalars as s
@@ -330,15 +330,15 @@ VAR_50 = "SELECT c_custkey, ([5.5, NULL, NULL, 30, NULL, NULL, 9]::DOUBLE[])[1 +
 
 
 def fn_m21(spark, d):
-    said = _pick(["48.5,2", " 1.5 , -2", "x,1", "3", "", "4,5,6"], C("c_custkey"))
-    part = lambda i: F.expr(f"try_cast(trim(get(split(said, ','), {i})) as double)")
-    rows = read(spark, d, "customer").select("c_custkey", said.alias("said"))
-    lat, lon = part(0), part(1)
-    both = lat.isNotNull() & lon.isNotNull()
-    return rows.select("c_custkey", F.when(both, lat).alias("lat"), F.when(both, lon).alias("lon"))
+    """Places written in five ways, two of which are none."""
+    k = C("c_custkey")
+    lat, lon = (k % 90).cast("string"), (k % 180 + 1).cast("string")
+    ways = [F.concat(lat, F.lit(".5, -"), lon), F.concat(F.lit(" "), lat, F.lit(" ,"), lon, F.lit(".25")), F.concat(F.lit("x,"), lon), lat, F.concat(lat, F.lit(","), lon, F.lit(",9"))]
+    place = geo.parse_place(F.get(F.array(*ways), (k % 5).cast("int")))
+    return read(spark, d, "customer").select("c_custkey", place["lat"].alias("lat"), place["lon"].alias("lon"))
 
 
-FN_M21 = "SELECT c_custkey, ([48.5, 1.5, NULL, NULL, NULL, 4]::DOUBLE[])[1 + c_custkey % 6] AS lat, ([2, -2, NULL, NULL, NULL, 5]::DOUBLE[])[1 + c_custkey % 6] AS lon FROM customer"
+FN_M21 = "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN c_custkey % 90 + 0.5 WHEN 1 THEN c_custkey % 90 WHEN 4 THEN c_custkey % 90 END::DOUBLE AS lat, CASE c_custkey % 5 WHEN 0 THEN -(c_custkey % 180 + 1) WHEN 1 THEN c_custkey % 180 + 1.25 WHEN 4 THEN c_custkey % 180 + 1 END::DOUBLE AS lon FROM customer"
 
 
 def fn_c5(spark, d):
@@ -351,8 +351,9 @@ def fn_c5(spark, d):
 
 
 def flt_19(spark, d):
-    qid = _pick(["Q1", "Q", "q1", "Q12x", "Q007", " Q1"], C("s_suppkey"))
-    return read(spark, d, "supplier").select("s_suppkey", qid.rlike("^Q[0-9]+$").alias("valid"))
+    k = C("s_suppkey").cast("string")
+    ways = [F.concat(F.lit("Q"), k), F.concat(F.lit("Q"), k, F.lit("x")), F.concat(F.lit("q"), k), F.concat(F.lit(" Q"), k), F.lit("Q"), F.lit(None).cast("string")]
+    return read(spark, d, "supplier").select("s_suppkey", text.wikidata_id(F.get(F.array(*ways), (C("s_suppkey") % 6).cast("int"))).alias("valid"))
 
 
 KINDS = ["mainline_rail", "high_speed_rail", "metro", "bus", "ferry", "tram", "airport_rail", "unknown"]
@@ -377,7 +378,7 @@ def flt_21(spark, d):
 
 
 def flt_24(spark, d):
-    return read(spark, d, "part").select("p_partkey", F.coalesce(F.upper(F.trim(_pick([" exploite ", "ferme", None, "EXPLOITE", ""], C("p_partkey")))) == "EXPLOITE", F.lit(True)).alias("active"))
+    return read(spark, d, "part").select("p_partkey", text.in_service(_pick([" exploite ", "ferme", None, "EXPLOITE", ""], C("p_partkey"))).alias("active"))
 
 
 def flt_25(spark, d):
@@ -513,7 +514,7 @@ ORACLE_SQL = {
     "fn_s17": f"SELECT c_custkey, coalesce(trip, '')::VARCHAR AS trip, coalesce(interest, 1)::BIGINT AS interest, coalesce(population, 0)::BIGINT AS population, leg_min::BIGINT AS leg_min, leg_max::BIGINT AS leg_max, coalesce(round_trip, false)::BOOLEAN AS round_trip FROM customer JOIN {_table(_STRICT, 'error, trip, interest, population, leg_min, leg_max, round_trip')} ON c_custkey % 12 = i",
     "fn_s18": f"SELECT c_custkey, trip::VARCHAR AS trip, interest::BIGINT AS interest, population::BIGINT AS population, manual::BOOLEAN AS manual, leg_min::BIGINT AS leg_min, leg_max::BIGINT AS leg_max, query::VARCHAR AS query, CASE WHEN i = 11 THEN 5.5::DOUBLE END AS zoom FROM customer JOIN {_table(_BROWSER, 'trip, interest, population, manual, leg_min, leg_max, query')} ON c_custkey % 12 = i",
     "fn_c5": "SELECT p_partkey, [4, 3, 2, 1, 1, 1][1 + p_partkey % 6]::INT AS priority FROM part",
-    "flt_19": "SELECT s_suppkey, s_suppkey % 6 IN (0, 4) AS valid FROM supplier",
+    "flt_19": "SELECT s_suppkey, s_suppkey % 6 = 0 AS valid FROM supplier",
     "flt_20": f"WITH {_STATIONS} SELECT k FROM st WHERE {_RAIL} AND scope <> 'platform_area'",
     "flt_21": f"WITH {_STATIONS} SELECT k, kind IN ('metro', 'tram', 'bus', 'ferry') AS non_mainline FROM st",
     "flt_24": "SELECT p_partkey, p_partkey % 5 IN (0, 2, 3) AS active FROM part",

@@ -104,9 +104,8 @@ def geojson_lines(spark: SparkSession, path: str) -> DataFrame:
     one, many = "array<array<double>>", "array<array<array<double>>>"
     kind, shape = F.get_json_object("f", "$.geometry.type"), F.get_json_object("f", "$.geometry.coordinates")
     mnemo = F.get_json_object("f", "$.properties.mnemo")
-    active = F.coalesce(F.upper(F.trim(mnemo)) == "EXPLOITE", F.lit(True))
     parts = F.when(kind == "LineString", F.array(F.from_json(shape, one))).when(kind == "MultiLineString", F.from_json(shape, many))
-    return _numbered(raw.where(active).select(F.md5("f").alias("file"), F.posexplode(parts).alias("n", "p")), lambda p: (p[1], p[0]))
+    return _numbered(raw.where(text.in_service(mnemo)).select(F.md5("f").alias("file"), F.posexplode(parts).alias("n", "p")), lambda p: (p[1], p[0]))
 
 
 def _numbered(parts: DataFrame, of) -> DataFrame:
