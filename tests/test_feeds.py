@@ -129,3 +129,20 @@ def test_documents(spark, tmp_path):
     assert sorted(map(tuple, feeds.read_document(spark, str(tmp_path / "doc"), "k long, v string").collect())) == [(1, None), (2, "é")]
     with pytest.raises(Exception, match="MALFORMED|parse"):
         feeds.read_document(spark, str(tmp_path / "doc"), "k struct<x:int>").collect()
+
+
+def test_payloads_agree_with_their_manifest(spark, tmp_path):
+    from viaduct.sources import runtime
+
+    rows = spark.createDataFrame([(str(i), "rail", [str(i)], i, f"c{i % 2}") for i in range(7)], "id string, mode string, stops array<string>, tripCount long, part string")
+    runtime.write_payloads(rows, "service_patterns", str(tmp_path / "p"), "part", 2)
+    got = runtime.load_payloads(spark, "service_patterns", str(tmp_path / "p"))
+    assert sorted((r.chunk, r.id, r.tripCount) for r in got.collect()) == sorted((f"c{i % 2}", str(i), i) for i in range(7))
+    one = spark.createDataFrame([("c1",)], "chunk string")
+    assert runtime.load_payloads(spark, "service_patterns", str(tmp_path / "p"), one).count() == 3
+    spark.createDataFrame([("c1", '{"patterns": [{"id": "9"}]}')], "chunk string, payload string").write.mode("append").json(str(tmp_path / "p" / "chunks"))
+    with pytest.raises(ValueError, match="disagree"):
+        runtime.load_payloads(spark, "service_patterns", str(tmp_path / "p"))
+    spark.createDataFrame([("c1", '{"places": []}')], "chunk string, payload string").write.mode("append").json(str(tmp_path / "p" / "chunks"))
+    with pytest.raises(Exception, match="no records"):
+        runtime.load_payloads(spark, "service_patterns", str(tmp_path / "p"), one).collect()

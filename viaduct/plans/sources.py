@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from viaduct.plans.feed import read
 from viaduct.plans.shapes import lines
-from viaduct.sources import feeds
+from viaduct.sources import feeds, runtime
 from viaduct.sources.lines import shared_folder
 from viaduct.streaming import cursors
 
@@ -109,5 +109,29 @@ def snk_6(spark, d):
 
 SNK_6 = "SELECT event_type AS source_id, 'incremental' AS mode, max(event_id) AS upto, count(*) AS records, count(DISTINCT event_id) AS distinct_records FROM events GROUP BY 1"
 
-QUERIES = {"src_9": src_9, "src_10": src_10, "src_11": src_11, "src_12": src_12, "src_13": src_13, "snk_3": snk_3, "snk_6": snk_6}
-ORACLE_SQL = {"src_9": SRC_9, "src_10": SRC_10, "src_11": SRC_11, "src_12": _USED, "src_13": _USED, "snk_3": SNK_3, "snk_6": SNK_6}
+def src_29(spark, d):
+    """Orders as patterns over their parts, chunked by priority and loaded back."""
+    stops = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(C("l_partkey").cast("string"))).alias("stops"), F.count("*").alias("tripCount"))
+    rows = read(spark, d, "orders").join(stops, C("o_orderkey") == C("l_orderkey")).select(C("o_orderkey").cast("string").alias("id"), C("o_orderpriority").alias("mode"), "stops", "tripCount", C("o_orderpriority").alias("part"))
+    path = shared_folder(spark)
+    runtime.write_payloads(rows, "service_patterns", path, "part", 500)
+    return runtime.load_payloads(spark, "service_patterns", path).select("chunk", "id", "mode", F.array_join("stops", ">").alias("stops"), "tripCount")
+
+
+SRC_29 = "SELECT o_orderpriority AS chunk, o_orderkey::VARCHAR AS id, o_orderpriority AS mode, string_agg(DISTINCT l_partkey::VARCHAR, '>' ORDER BY l_partkey::VARCHAR) AS stops, count(*) AS tripCount FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderpriority"
+
+
+def src_30(spark, d):
+    """Suppliers as places, chunked by nation; the chunks of one region are loaded."""
+    k = C("s_suppkey")
+    rows = read(spark, d, "supplier").select(k.cast("string").alias("id"), C("s_name").alias("name"), (36.0 + k * 37 % 250 / 10.0).alias("lat"), (-9.0 + k * 53 % 340 / 10.0).alias("lon"), (k % 17).cast("long").alias("patterns"), C("s_nationkey").cast("string").alias("part"))
+    path = shared_folder(spark)
+    runtime.write_payloads(rows, "service_places", path, "part")
+    wanted = read(spark, d, "nation").where("n_regionkey = 3").select(C("n_nationkey").cast("string").alias("chunk"))
+    return runtime.load_payloads(spark, "service_places", path, wanted)
+
+
+SRC_30 = "SELECT s_nationkey::VARCHAR AS chunk, s_suppkey::VARCHAR AS id, s_name AS name, 36.0::DOUBLE + s_suppkey * 37 % 250 / 10.0::DOUBLE AS lat, -9.0::DOUBLE + s_suppkey * 53 % 340 / 10.0::DOUBLE AS lon, (s_suppkey % 17)::BIGINT AS patterns FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 3"
+
+QUERIES = {"src_29": src_29, "src_30": src_30, "src_9": src_9, "src_10": src_10, "src_11": src_11, "src_12": src_12, "src_13": src_13, "snk_3": snk_3, "snk_6": snk_6}
+ORACLE_SQL = {"src_29": SRC_29, "src_30": SRC_30, "src_9": SRC_9, "src_10": SRC_10, "src_11": SRC_11, "src_12": _USED, "src_13": _USED, "snk_3": SNK_3, "snk_6": SNK_6}
