@@ -203,24 +203,19 @@ def disclosing(found: DataFrame, docs: DataFrame, levels: tuple[float, float] =
     return pairs.where(reaches[0] & bit).select("entity", "term", (F.col("n_tc") / F.col("n_t")).alias("share"), reaches[1].alias("removed"))
 
 
-def sieve(terms: DataFrame, probes: int = 4) -> bytes:
-    """Bloom filter of the distinct ``term`` column, two to four bytes a term: it passes every term and a few others."""
-    size = 1 << max(10, (16 * terms.count()).bit_length())
-    h = F.xxhash64("term")
-    low, high = h.bitwiseAND(size - 1), F.shiftrightunsigned(h, 32)
-    at = F.explode(F.array(*[(low + i * high).bitwiseAND(size - 1) for i in range(probes)])).alias("at")
-    rows = terms.select(at).groupBy(F.shiftright("at", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, int(at & 63))")).alias("bits")).toArrow()
-    table = np.zeros(size // 64, "<i8")
-    table[rows["i"].to_numpy()] = rows["bits"].to_numpy()
-    return table.tobytes()
-
-
-def passes(table: bytes, term: str, probes: int = 4) -> bool:
+def sieve(terms: DataFrame) -> bytes:
+    """Sorted 64-bit hashes of the ``term`` column, eight bytes each; the caller bounds their number."""
+    found = terms.select(F.xxhash64("term").alias("h")).toArrow()["h"].to_numpy()
+    return np.unique(found.astype("<i8")).tobytes()
+
+
+def passes(table: bytes, term: str) -> bool:
     import xxhash
 
-    h, mask = xxhash.xxh64_intdigest(term, 42), len(table) * 8 - 1
-    low, high = h & mask, h >> 32
-    return all(table[(at := (low + i * high) & mask) >> 3] >> (at & 7) & 1 for i in range(probes))
+    held = np.frombuffer(table, "<i8")
+    h = np.uint64(xxhash.xxh64_intdigest(term, 42)).astype(np.int64)
+    at = int(np.searchsorted(held, h))
+    return at < len(held) and held[at] == h
 
 
 def places(text: str, words: set[str], spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -267,7 +262,7 @@ def candidates(docs: DataFrame, shared) -> DataFrame:
 
 
 def sought(docs: DataFrame, risky: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """``rid, term, start, end`` of all ``risky`` terms in whole texts. A sieve of at most ``most`` terms, four megabytes, is
+    """``rid, term, start, end`` of all ``risky`` terms in whole texts. The hashes of at most ``most`` terms, eight megabytes, are
     broadcast; more terms are dealt by hash, and texts are read once for each deal, whose sieve goes before the next."""
     deals = max(1, -(-risky.count() // most))
     if deals == 1:
