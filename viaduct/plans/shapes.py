@@ -298,7 +298,8 @@ def gr_16(spark, d):
 
 
 _SIDES = f"WITH RECURSIVE {NETWORK}, {_TRIPS}, {_SNAP('sa', 'tp.lat', 'tp.lon', 8, 'n2')}, {_SNAP('sb', 'tp.blat', 'tp.blon', 8, 'n2')}"
-GR_16 = f"{_SIDES}, ga AS (SELECT trip, count(*) AS n, min(m) AS m, list(DISTINCT component) AS c FROM sa JOIN c3 USING (node) GROUP BY trip), gb AS (SELECT trip, count(*) AS n, min(m) AS m, list(DISTINCT component) AS c FROM sb JOIN c3 USING (node) GROUP BY trip) SELECT trip, ga.n AS from_candidates, ga.m AS from_nearest, len(ga.c) AS from_components, gb.n AS to_candidates, gb.m AS to_nearest, len(gb.c) AS to_components, coalesce(list_has_any(ga.c, gb.c), false) AS shared FROM tp LEFT JOIN ga USING (trip) LEFT JOIN gb USING (trip)"
+# a node without an edge is a component of its own, as a track whose ends meet leaves it
+GR_16 = f"{_SIDES}, ga AS (SELECT trip, count(*) AS n, min(m) AS m, list(DISTINCT coalesce(component, node)) AS c FROM sa LEFT JOIN c3 USING (node) GROUP BY trip), gb AS (SELECT trip, count(*) AS n, min(m) AS m, list(DISTINCT coalesce(component, node)) AS c FROM sb LEFT JOIN c3 USING (node) GROUP BY trip) SELECT trip, ga.n AS from_candidates, ga.m AS from_nearest, len(ga.c) AS from_components, gb.n AS to_candidates, gb.m AS to_nearest, len(gb.c) AS to_components, coalesce(list_has_any(ga.c, gb.c), false) AS shared FROM tp LEFT JOIN ga USING (trip) LEFT JOIN gb USING (trip)"
 
 
 def var_22(spark, d):
@@ -373,5 +374,5 @@ ORACLE_SQL = {
     "snk_4": f"WITH RECURSIVE {NETWORK} SELECT u AS src, v AS dst, min(w) AS w FROM b0 WHERE u < v GROUP BY ALL",
     "src_32": f"WITH RECURSIVE {NETWORK} SELECT u AS src, v AS dst, min(w) AS w FROM b0 GROUP BY ALL",
     "var_23": f"WITH RECURSIVE {NETWORK} SELECT node, round(lat, 5) AS lat, round(lon, 5) AS lon FROM nd",
-    "var_22": f"{_SIDES} SELECT trip, string_agg(component::VARCHAR, ',' ORDER BY component) AS components FROM (SELECT DISTINCT trip, component FROM sa JOIN c3 USING (node)) GROUP BY trip",
+    "var_22": f"{_SIDES} SELECT trip, string_agg(component::VARCHAR, ',' ORDER BY component) AS components FROM (SELECT DISTINCT trip, coalesce(component, node) AS component FROM sa LEFT JOIN c3 USING (node)) GROUP BY trip",
 }
