@@ -138,8 +138,7 @@ _CLICKS = "c AS (SELECT s_suppkey AS k, s_suppkey * 37 % 250 / 500.0::DOUBLE - 0
 
 def jn_24(spark, d):
     """The line under a click: the nearest of all lines within a radius."""
-    near = spatial.near_lines(_clicks(spark, d), lines(spark, d).select(C("vec_id").alias("line"), "p"), 0.05, 0.002)
-    return spatial.nearest(near, "k", "line").select("k", C("line").alias("vec_id"))
+    return spatial.line_under(_clicks(spark, d), lines(spark, d).select(C("vec_id").alias("line"), "p"), 0.05, 0.002).withColumnRenamed("line", "vec_id")
 
 
 JN_24 = f"WITH {LINES}, {_CLICKS}, m AS (SELECT k, vec_id, min({q_away('cx', 'cy')}) AS m FROM r, c WHERE px IS NOT NULL GROUP BY ALL) SELECT k, arg_min(vec_id, (m, vec_id)) AS vec_id FROM m WHERE m <= 0.002 GROUP BY k"
