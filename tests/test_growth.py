@@ -29,3 +29,15 @@ def bundle(spark, number):
 def test_jn_18_clicks_at_one_place_meet_a_line_once(spark):
     rows, most = widest(spatial.on_route(clicks(spark, 300), bundle(spark, 300), 0.05, 0.004))
     assert {r.k for r in rows} == set(range(300)) and most < 20_000
+
+
+def test_jn_24_clicks_at_one_place_meet_a_line_once(spark):
+    rows, most = widest(spatial.line_under(clicks(spark, 300), bundle(spark, 300), 0.05, 0.002))
+    assert {(r.k, r.line) for r in rows if r.k % 2 == 0} == {(k, 0) for k in range(0, 300, 2)} and len(rows) == 300 and most < 20_000
+
+
+def test_jn_24_takes_the_nearest_of_equals_by_key_and_steep_lines(spark):
+    p = lambda *q: [{"x": float(x), "y": float(y)} for x, y in q]
+    lines = spark.createDataFrame([(7, p((0.1, -0.3), (0.1, 0.3))), (5, p((0.1, 0.3), (0.1, -0.3))), (1, p((0.1021, -0.3), (0.1021, 0.3))), (9, p((-0.3, -0.3), (0.3, 0.2)))], "line long, p array<struct<x:double,y:double>>")
+    at = spark.createDataFrame([(1, 0.1, 0.2), (2, 0.1001, 0.2), (3, 0.0, -0.05), (4, 0.0, 0.2)], "k long, x double, y double")
+    assert {r.k: r.line for r in spatial.line_under(at, lines, 0.05, 0.002).collect()} == {1: 5, 2: 5, 3: 9}
