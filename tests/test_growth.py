@@ -1,6 +1,12 @@
 """Rows that share a place meet others once: no step lists more rows than places give, unless they are the result."""
 
-from viaduct.operators import spatial
+import duckdb
+
+from tests.compare import database, difference
+from viaduct.operators import artifacts, rails, spatial, stations, views
+from viaduct.plans import feed
+
+TABLES = "/root/testdata/sf0.001"
 
 
 def widest(df):
@@ -60,3 +66,15 @@ def test_jn_23_rounds_of_cells_find_what_all_pairs_do(spark):
             want[k] = min(near)[1]
     got = spatial.hit_test(spark.createDataFrame(at, "k long, x double, y double"), spark.createDataFrame(marks, "entry long, ex double, ey double, r double"), 48.0)
     assert {r.k: r.entry for r in got.collect()} == want and 0 < len(want) < 300
+
+
+def test_ct_5_places_meet_once_and_walks_decide_the_rest(spark):
+    nodes = spark.range(400).selectExpr("id AS node", "48.0D AS lat", "2.0D + (id % 2) / 10 AS lon")
+    edges = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 4), (900, 0), (900, 7)], "src long, dst long")
+    df = artifacts.close_without_edge(nodes, edges, (5_000.0, 9_000.0))
+    got = {(r.u, r.v): (r.band, r.hops) for r in df.collect()}
+    hops = {(0, 1): 0, (1, 2): 0, (2, 3): 0, (3, 4): 0, (0, 2): 2, (1, 3): 2, (2, 4): 2, (0, 3): 3, (1, 4): 3, (0, 7): 2, (1, 7): 3}
+    want = {(u, v): (5_000 if u % 2 == v % 2 else 9_000, hops.get((u, v))) for u in range(400) for v in range(u + 1, 400)}
+    assert got == {p: x for p, x in want.items() if x[1] != 0} and df.count() == len(got)
+    # neither sorted nor shuffled: pairs are listed once, where their places meet, and no table of them is put down
+    assert "SortAggregate" not in (plan := df._jdf.queryExecution().executedPlan().toString()) and "Generate explode" in plan and "Join LeftAnti" not in plan

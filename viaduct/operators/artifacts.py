@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viaduct.operators import graphs
-from viaduct.operators.spatial import stitch_pairs
+from viaduct.operators.spatial import close_pairs
+from viaduct.operators.tables import cut
 
 
 def aggregate_targets(*edges: DataFrame) -> DataFrame:
@@ -44,16 +45,24 @@ def pair_audit(pairs: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFram
 def close_without_edge(nodes: DataFrame, edges: DataFrame, bands: tuple[float, ...] = (10.0, 100.0, 1000.0)) -> DataFrame:
     """Pairs ``u < v`` of ``nodes(node, lat, lon)`` closer than the widest band that no edge joins: their band, and
     whether two or three edges do."""
-    near = stitch_pairs(nodes, bands[-1])
-    both = edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).distinct()
-    lone = graphs.cut(near.join(both.select(F.col("src").alias("u"), F.col("dst").alias("v")), ["u", "v"], "left_anti"))
-    step = lambda df, end, to: df.join(both.select(F.col("src").alias(end), F.col("dst").alias(to)), end)
-    one = step(lone.select("u", "v"), "u", "x")
-    two = one.join(both.select(F.col("src").alias("x"), F.col("dst").alias("v")), ["x", "v"], "left_semi").select("u", "v").distinct().withColumn("hops", F.lit(2))
-    rest = one.join(two.select("u", "v"), ["u", "v"], "left_anti")
-    three = step(rest, "x", "y").join(both.select(F.col("src").alias("y"), F.col("dst").alias("v")), ["y", "v"], "left_semi").select("u", "v").distinct().withColumn("hops", F.lit(3))
+    from viaduct.functions.geo import haversine_m
+
+    both = cut(edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).distinct())
+    at = lambda c, p: nodes.select(F.col("node").alias(c), F.col("lat").alias(f"{p}lat"), F.col("lon").alias(f"{p}lon"))
+    # small files may hold many rows: nothing is broadcast
+    step = lambda df: df.join(both.select(F.col("src").alias("v"), F.col("dst").alias("w")).hint("merge"), "v").select("u", F.col("w").alias("v")).distinct()
+    one = both.select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    two = cut(step(one))
+    walks = [df.where("u < v").withColumn("hops", F.lit(n)) for n, df in enumerate((one, two, step(two)), 1)]
+    least = reduce(DataFrame.union, walks).groupBy("u", "v").agg(F.min("hops").alias("hops"))
+    # pairs that one to three edges join are few a node; all others are listed where their places meet
+    linked = least.join(at("u", "").hint("merge"), "u").join(at("v", "b").hint("merge"), "v").withColumn("m", haversine_m(F.col("lat"), F.col("lon"), F.col("blat"), F.col("blon")))
+    linked = cut(linked.where(F.col("m") <= bands[-1]).select("u", "v", "m", "hops"))
+    others = linked.select(F.col("u").alias("node"), "v").union(linked.select("v", "u")).groupBy("node").agg(F.collect_list("v").alias("others"))
+    lone = close_pairs(nodes.join(others.hint("merge"), "node", "left"), bands[-1], skip="others")
     band = reduce(lambda out, b: F.when(F.col("m") <= b, int(b)).otherwise(out), reversed(bands), F.lit(None).cast("int"))
-    return lone.join(two.union(three), ["u", "v"], "left").select("u", "v", band.alias("band"), "hops")
+    every = lone.withColumn("hops", F.lit(None).cast("int")).unionByName(linked.where("hops > 1"))
+    return every.select("u", "v", band.alias("band"), "hops")
 
 
 def backlog(stations: DataFrame, key: str, open_: Column) -> DataFrame:
