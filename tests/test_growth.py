@@ -102,3 +102,17 @@ def test_src_4_of_equal_places_the_first_in_the_file(spark, tmp_path):
     con = database(str(tmp_path))
     con.execute("SET threads = 1")
     assert difference(spark, con, feed.QUERIES["src_4"], feed.ORACLE_SQL["src_4"], str(tmp_path)) is None
+
+
+def test_jn_10_and_jn_9_parents_at_one_place_meet_a_place_once(spark):
+    kids = spark.range(200).selectExpr("id AS k", "'paris' AS key", "48.0D AS lat", "2.0D AS lon")
+    many = spark.range(300).selectExpr("id AS cluster", "'Paris' AS name", "48.0D AS lat", "2.0D + (id % 2) / 100 AS lon", "id % 4 AS stations")
+    for found in (stations.route_parents(kids, many), stations.urban_parents(kids, many)):
+        rows, most = widest(found)
+        assert {(r.k, r.parent) for r in rows} == {(k, None) for k in range(200)} and most < 10_000
+
+
+def test_jn_10_a_child_is_not_its_own_parent(spark):
+    kids = spark.createDataFrame([(1, "paris", 48.0, 2.0), (2, "paris", 48.0, 2.0), (9, "paris", 48.0, 2.0)], "k long, key string, lat double, lon double")
+    clusters = spark.createDataFrame([(1, "Paris", 48.0, 2.0, 9), (2, "Paris", 48.0, 2.001, 8), (3, "Paris", 48.0, 2.0, 7), (4, "Paris", 48.0, 2.0, 7)], "cluster long, name string, lat double, lon double, stations int")
+    assert {r.k: r.parent for r in stations.route_parents(kids, clusters).collect()} == {1: 2, 2: 1, 9: 1}
