@@ -116,3 +116,11 @@ def test_jn_10_a_child_is_not_its_own_parent(spark):
     kids = spark.createDataFrame([(1, "paris", 48.0, 2.0), (2, "paris", 48.0, 2.0), (9, "paris", 48.0, 2.0)], "k long, key string, lat double, lon double")
     clusters = spark.createDataFrame([(1, "Paris", 48.0, 2.0, 9), (2, "Paris", 48.0, 2.001, 8), (3, "Paris", 48.0, 2.0, 7), (4, "Paris", 48.0, 2.0, 7)], "cluster long, name string, lat double, lon double, stations int")
     assert {r.k: r.parent for r in stations.route_parents(kids, clusters).collect()} == {1: 2, 2: 1, 9: 1}
+
+
+def test_jn_15_and_jn_13_list_pairs_where_places_meet(spark):
+    nodes = spark.range(700).selectExpr("id AS node", "48.0D AS lat", "2.0D + (id % 2) / 10 AS lon")
+    rows, most = widest(spatial.close_pairs(nodes, 8_000.0))
+    assert {(r.u, r.v) for r in rows} == {(u, v) for u in range(700) for v in range(u + 1, 700)} and len(rows) == 700 * 699 // 2 and most < 1.6 * len(rows)
+    some = spatial.near_places(nodes, nodes.selectExpr("lat AS nlat", "lon AS nlon"), 8_000.0)
+    assert some.count() == 4

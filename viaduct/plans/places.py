@@ -138,22 +138,25 @@ def jn_11(spark, d):
 JN_11 = f"WITH {STOPS}, n AS (SELECT k, lat, lon, {s.q_norm('name')} AS norm FROM stops) SELECT a.k AS a, b.k AS b, round({PAIR})::BIGINT AS metres FROM n a JOIN n b ON a.norm = b.norm AND a.k < b.k WHERE round({PAIR}) <= 25000"
 
 
-def _near(spark, d, metres):
-    return spatial.near_pairs(halts(spark, d).select("k", "lat", "lon"), references(spark, d).select(C("r").alias("node"), "nlat", "nlon"), metres)
+def _sides(spark, d):
+    return halts(spark, d).select("k", "lat", "lon"), references(spark, d).select(C("r").alias("node"), "nlat", "nlon")
 
 
 _NEAR = f"{HALTS}, {REFS}, hit AS (SELECT k, r AS node, {M} AS m FROM halts, refs)"
 
 
 def jn_12(spark, d):
-    return spatial.nearest(_near(spark, d, 20_000.0), "k", "node", k=3).select("k", "node", C("n").cast("long").alias("n"), F.round("m", 2).alias("m"))
+    points, nodes = _sides(spark, d)
+    return spatial.at_places(points, spatial.first_near(points, nodes, 20_000.0, "node", k=3)).select("k", "node", C("n").cast("long").alias("n"), F.round("m", 2).alias("m"))
 
 
 JN_12 = f"WITH {_NEAR}, r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY m, node) AS n FROM hit WHERE m <= 20000) SELECT k, node, n, round(m, 2) AS m FROM r WHERE n <= 3"
 
 
 def jn_13(spark, d):
-    return spatial.local_candidates(_near(spark, d, 60_000.0), "k", 15_000.0).select("k", "node")
+    points, nodes = _sides(spark, d)
+    met = spatial.local_candidates(spatial.near_places(points, nodes, 60_000.0), ["lat", "lon"], 15_000.0)
+    return spatial.of_places(met, points, nodes, ["lat", "lon"], ["nlat", "nlon"], "node").select("k", "node")
 
 
 JN_13 = f"WITH {_NEAR}, r AS (SELECT *, min(m) OVER (PARTITION BY k) AS best FROM hit WHERE m <= 60000) SELECT k, node FROM r WHERE m <= best + 15000"
@@ -161,7 +164,7 @@ JN_13 = f"WITH {_NEAR}, r AS (SELECT *, min(m) OVER (PARTITION BY k) AS best FRO
 
 def jn_15(spark, d):
     nodes = references(spark, d).select(C("r").alias("node"), C("nlat").alias("lat"), C("nlon").alias("lon"))
-    return spatial.stitch_pairs(nodes, 400_000.0).select("u", "v")
+    return spatial.close_pairs(nodes, 400_000.0).select("u", "v")
 
 
 JN_15 = f"WITH {REFS} SELECT a.r AS u, b.r AS v FROM refs a JOIN refs b ON a.r < b.r WHERE {s.q_hav('a.nlat', 'a.nlon', 'b.nlat', 'b.nlon')} <= 400000"
