@@ -124,3 +124,20 @@ def test_jn_15_and_jn_13_list_pairs_where_places_meet(spark):
     assert {(r.u, r.v) for r in rows} == {(u, v) for u in range(700) for v in range(u + 1, 700)} and len(rows) == 700 * 699 // 2 and most < 1.6 * len(rows)
     some = spatial.near_places(nodes, nodes.selectExpr("lat AS nlat", "lon AS nlon"), 8_000.0)
     assert some.count() == 4
+
+
+def test_jn_12_nodes_at_one_place_are_no_more_than_asked(spark):
+    points = spark.range(300).selectExpr("id AS k", "48.0D AS lat", "2.0D AS lon")
+    nodes = spark.range(300).selectExpr("id AS node", "48.0D AS nlat", "2.0D + (id % 2) / 100 AS nlon")
+    rows, most = widest(spatial.at_places(points, spatial.first_near(points, nodes, 20_000.0, "node", k=3)))
+    assert {(r.k, r.n, r.node) for r in rows} == {(k, n, 2 * n - 2) for k in range(300) for n in (1, 2, 3)} and most < 2_000
+
+
+def trips(spark, number):
+    return spark.range(number).selectExpr("id AS trip", "48.0D AS lat", "2.0D + (id % 2) / 1000 AS lon", "48.01D AS blat", "2.0D AS blon")
+
+
+def test_gr_16_trips_of_one_place_are_snapped_once(spark):
+    nodes = spark.range(300).selectExpr("id AS node", "48.0D + id / 1e5 AS lat", "2.0D AS lon", "id % 2 AS component")
+    rows, most = widest(rails.snaps(trips(spark, 200).withColumnRenamed("trip", "k"), nodes))
+    assert len(rows) == 1_600 and {r.k for r in rows} == set(range(200)) and most < 3_000

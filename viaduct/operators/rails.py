@@ -6,13 +6,16 @@ without a number given out. Edges ``(src, dst, w)`` hold both directions with wh
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from viaduct.functions.geo import haversine_m, local_metres
 from viaduct.operators.graphs import components, distances, least_parallel, with_paths
 from viaduct.operators.polylines import densify
-from viaduct.operators.spatial import around, local_candidates, near_pairs, nearest, segment_cells, stitch_pairs
+from viaduct.operators.spatial import around, at_places, first_near, local_candidates, segment_cells, stitch_pairs
 from viaduct.operators.tables import cut
 
 # Tolerances of stitches, cells and snapping.
@@ -141,8 +144,20 @@ def snaps(points: DataFrame, nodes: DataFrame, k: int = CANDIDATES, slack: float
     """``k, node, m``: of the ``k`` nearest nodes within ``metres`` of points ``(k, lat, lon)`` those at most
     ``slack`` beyond the nearest; distances in whole metres."""
     other = nodes.select("node", F.col("lat").alias("nlat"), F.col("lon").alias("nlon"))
-    met = nearest(near_pairs(points.select("k", "lat", "lon"), other, metres), "k", "node", k=k)
-    return local_candidates(met.select("k", "node", F.round("m").cast("long").alias("m")), "k", slack)
+    met = first_near(points, other, metres, "node", k=k)
+    near = local_candidates(met.select("lat", "lon", "node", F.round("m").cast("long").alias("m")), ["lat", "lon"], slack)
+    return at_places(points.select("k", "lat", "lon"), near).select("k", "node", "m")
+
+
+def per_kind(trips: DataFrame, kind: list[str], found: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``found`` of one trip of each ``kind``, which columns of ``trips(trip, …)`` make, given to all trips of that kind."""
+    first = cut(trips.groupBy(*kind).agg(F.min("trip").alias("first")))
+    names = first.select("first", *[F.col(c).alias(f"_{c}") for c in kind]).hint("merge")
+    of = trips.join(names, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in kind])).select("trip", "first")
+    return of.join(found(first.withColumnRenamed("first", "trip")).withColumnRenamed("trip", "first").hint("merge"), "first").drop("first")
+
+
+ENDS = ["lat", "lon", "blat", "blon"]
 
 
 def best_routes(trips: DataFrame, nodes: DataFrame, edges: DataFrame, most: float, k: int = CANDIDATES, slack: float = SLACK_M, paths: bool = False) -> DataFrame:
