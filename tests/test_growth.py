@@ -141,3 +141,14 @@ def test_gr_16_trips_of_one_place_are_snapped_once(spark):
     nodes = spark.range(300).selectExpr("id AS node", "48.0D + id / 1e5 AS lat", "2.0D AS lon", "id % 2 AS component")
     rows, most = widest(rails.snaps(trips(spark, 200).withColumnRenamed("trip", "k"), nodes))
     assert len(rows) == 1_600 and {r.k for r in rows} == set(range(200)) and most < 3_000
+
+
+def test_var_19_trips_of_one_kind_are_routed_once(spark):
+    seen = []
+
+    def found(some):
+        seen.append(some.count())
+        return some.select("trip", "lon")
+
+    got = {r.trip: r.lon for r in rails.per_kind(trips(spark, 50), rails.ENDS, found).collect()}
+    assert seen == [2] and got == {k: 2.0 + k % 2 / 1000 for k in range(50)}

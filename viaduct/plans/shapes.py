@@ -292,7 +292,7 @@ _SNAP = lambda n, y, x, k, nodes: f"{n}0 AS (SELECT trip, node, round({s.q_hav(y
 
 def gr_16(spark, d):
     nodes, _ = network(spark, d)
-    found = rails.topology(_trips(spark, d), nodes)
+    found = rails.per_kind(_trips(spark, d), rails.ENDS, lambda trips: rails.topology(trips, nodes))
     return found.select("trip", "from_candidates", "from_nearest", F.size("from_components").cast("long").alias("from_components"), "to_candidates", "to_nearest", F.size("to_components").cast("long").alias("to_components"), "shared")
 
 
@@ -304,12 +304,12 @@ GR_16 = f"{_SIDES}, ga AS (SELECT trip, count(*) AS n, min(m) AS m, list(DISTINC
 def var_22(spark, d):
     """Sorted component ids of the snap candidates of a trip's start."""
     nodes, _ = network(spark, d)
-    return rails.topology(_trips(spark, d), nodes).select("trip", F.array_join(F.transform("from_components", lambda c: c.cast("string")), ",").alias("components")).where("components is not null")
+    return rails.per_kind(_trips(spark, d), rails.ENDS, lambda trips: rails.topology(trips, nodes)).select("trip", F.array_join(F.transform("from_components", lambda c: c.cast("string")), ",").alias("components")).where("components is not null")
 
 
 def _best(spark, d, most):
     nodes, edges = network(spark, d)
-    return rails.best_routes(_trips(spark, d), nodes, edges, most, k=3)
+    return rails.per_kind(_trips(spark, d), rails.ENDS, lambda trips: rails.best_routes(trips, nodes, edges, most, k=3))
 
 
 def gr_11(spark, d):
@@ -341,18 +341,26 @@ VAR_21 = f"WITH RECURSIVE {NETWORK}, pr AS (SELECT line AS trip, arg_min(node, j
 def var_19(spark, d):
     """The line of each trip's best route, with the trip's own ends."""
     nodes, edges = network(spark, d)
-    trips = _trips(spark, d)
-    best = rails.best_routes(trips, nodes, edges, 3_000.0, k=3, paths=True)
-    lines_ = rails.route_lines(best.select("trip", "path"), nodes, trips)
-    return lines_.select("trip", F.size("points").cast("long").alias("points"), F.round(F.aggregate("points", F.lit(0.0), lambda t, q: t + q["lat"]), 6).alias("sum_lat"))
+
+    def drawn(trips):
+        best = rails.best_routes(trips, nodes, edges, 3_000.0, k=3, paths=True)
+        lines_ = rails.route_lines(best.select("trip", "path"), nodes, trips)
+        return lines_.select("trip", F.size("points").cast("long").alias("points"), F.round(F.aggregate("points", F.lit(0.0), lambda t, q: t + q["lat"]), 6).alias("sum_lat"))
+
+    return rails.per_kind(_trips(spark, d), rails.ENDS, drawn)
 
 
 def var_21(spark, d):
     """The way along the network between the ends of each track, found with its goal in view."""
     nodes, edges = network(spark, d)
     at_ends = tracks(spark, d).groupBy("line").agg(F.min_by(rails.node_id(C("lat"), C("lon")), "i").alias("start"), F.max_by(rails.node_id(C("lat"), C("lon")), "i").alias("goal"))
-    routes, _ = graphs.goal_routes(edges, nodes.select("node", "lat", "lon"), at_ends.select(C("line").alias("trip"), "start", "goal"), 6_000)
-    return routes.select("trip", "cost", F.get("path", F.lit(0)).alias("start"), F.element_at("path", -1).alias("goal"))
+    trips = at_ends.select(C("line").alias("trip"), "start", "goal")
+
+    def routes(some):
+        found, _ = graphs.goal_routes(edges, nodes.select("node", "lat", "lon"), some, 6_000)
+        return found.select("trip", "cost", F.get("path", F.lit(0)).alias("start"), F.element_at("path", -1).alias("goal"))
+
+    return rails.per_kind(trips, ["start", "goal"], routes)
 
 
 QUERIES = {n: globals()[n] for n in ("wn_5", "wn_6", "wn_7", "wn_8", "wn_9", "wn_10", "jn_14", "flt_14", "flt_17", "flt_18", "ag_23", "fn_m15", "jn_24", "jn_18", "var_37", "var_34", "prj_5", "prj_12", "gr_14", "jn_16", "jn_17", "st_1", "snk_4", "src_32", "var_23", "gr_16", "var_22", "gr_11", "var_20", "var_19", "var_21")}
