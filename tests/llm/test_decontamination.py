@@ -1,6 +1,8 @@
 """Decontamination against exact edit distance."""
 
+import cProfile
 import random
+import re
 
 import numpy as np
 import pytest
@@ -116,3 +118,59 @@ def test_spans_blocks_and_odd_rows(spark):
     assert d.find_leaks(docs.limit(0), bench).count() == 0
     assert d.find_leaks(docs, bench.limit(0)).count() == 0
     assert d.drop_contaminated(docs, bench.limit(0)).count() == len(rows)
+
+
+def calls(work) -> int:
+    """Calls that Python makes during ``work``; those that a map makes of a C function aren't among them."""
+    seen = cProfile.Profile()
+    seen.runcall(work)
+    return sum(x.callcount for x in seen.getstats())
+
+
+def test_hashing_makes_no_call_a_word():
+    import xxhash
+
+    fresh = " ".join(f"new{i}," for i in range(20_000))
+    assert calls(lambda: word_hashes(fresh)) < 50
+    for text in ("A_b-C\x1fd\x00e\u00a0f  9.5%\n", "\u0130stanbul \u03a3\u039f\u03a3 na\u00efve\u2014\u6f22\u5b57, e\u0301", "\u212aelvin \u212a", "...", "x"):
+        assert word_hashes(text).tolist() == [xxhash.xxh3_64_intdigest(w) for w in re.findall(r"\w+", text.lower())]
+
+
+def test_items_are_walked_together():
+    rng = random.Random(4)
+    some = vocabulary(rng)
+    items = [(i, " ".join(some(rng.randint(15, 60)))) for i in range(400)]
+    few, many = (calls(lambda n=n: d.Finder(items[:n], 0.2, 5, 3, 4, 4)) for n in (100, 400))
+    assert many - few < 300 * 30
+
+
+def test_minimisers_of_texts_put_together():
+    rng = np.random.default_rng(5)
+    for w in (1, 2, 5, 8):
+        texts = [rng.integers(1, 4 if n % 2 else 2**63, n).astype(np.uint64) for n in (0, 1, w - 1, w, w + 1, 3, 0, 40, 41, 7, 2, 0)]
+        h, begin = d.joined(texts)
+        want = {int(b + i + x[i : i + w].argmin()) for x, b in zip(texts, begin, strict=False) for i in range(max(1, len(x) - w + 1)) if len(x)}
+        assert d.text_minimisers(h, begin, w).tolist() == sorted(want)
+
+
+def test_pairs_spare_comparisons_and_lose_no_leak(monkeypatch):
+    rng = random.Random(6)
+    some = vocabulary(rng)
+    items = [(i, " ".join(some(rng.randint(5, 60)))) for i in range(300)]
+    texts = []
+    for _, text in items:
+        item = text.split()
+        texts.append(hashes([*some(rng.randint(0, 300)), *edited_to(rng, item, rng.randint(0, len(item) // 5)), *some(rng.randint(0, 300))]))
+    finder, tried = d.Finder(items, 0.2, 5, 3, 4, 4), []
+
+    def asked(self, h, begin, at, first):
+        near = enough(self, h, begin, at, first)
+        tried.append((len(near), int(near.sum())))
+        return near
+
+    enough = d.Finder.enough_pairs
+    monkeypatch.setattr(d.Finder, "enough_pairs", asked)
+    got = finder.leaks(texts)
+    monkeypatch.setattr(d.Finder, "enough_pairs", lambda self, h, begin, at, first: np.ones(len(at), bool))
+    assert got == finder.leaks(texts) and sum(map(len, got)) >= 285
+    assert 2 * tried[0][1] < tried[0][0]

@@ -36,28 +36,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_chunks: dict[str, bytes] = {}
-
-
-def _chunk_hashes(chunk: str) -> bytes:
-    import xxhash
-
-    if len(_chunks) > 120_000:
-        _chunks.clear()
-    found = _chunks[chunk] = b"".join([xxhash.xxh3_64_digest(w)[::-1] for w in WORD.findall(chunk)])
-    return found
+#: Every byte that is no word character of ASCII, as a blank.
+_BLANKS = bytes(i if chr(i).isalnum() or i == 95 else 32 for i in range(128)).ljust(256)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of the ``words`` of a text. No word crosses a blank, so each blank-separated
-    chunk is looked up whole."""
+    """64-bit hashes of the ``words`` of a text."""
+    from xxhash import xxh3_64_intdigest
+
     if not text:
         return np.zeros(0, np.uint64)
-    chunks = text.lower().split()
-    found = [*map(_chunks.get, chunks)]
-    if None in found:
-        found = [_chunk_hashes(c) if f is None else f for c, f in zip(chunks, found, strict=True)]
-    return np.frombuffer(b"".join(found), np.uint64)
+    text = text.lower()
+    found = text.encode().translate(_BLANKS).split() if text.isascii() else WORD.findall(text)
+    return np.fromiter(map(xxh3_64_intdigest, found), np.uint64, len(found))
 
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:

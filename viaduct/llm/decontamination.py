@@ -5,7 +5,8 @@ moves on or stays by a random bit of step and symbol, which turns edits into few
 walk. Walks of an item start at its minimisers, walks of a document at the same kind of places, so
 each item is tried from several starts; a walk is as long as the item's size class asks. Repeated
 samples of walk positions are hashed, documents look them up among the items, and every candidate
-is verified by the exact edit distance between the item and the best stretch of the document.
+is verified by the exact edit distance between the item and the best stretch of the document, unless
+counts of words or pairs of words rule a leak out.
 
 Recall: a start is found by a table if the sampled positions agree; ``walks`` x ``tables`` samples
 from every start, of fewer positions for short items, find an item with a fifth of its words edited,
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from viaduct.llm.common import cut, mix64, table, word_hashes
+from viaduct.llm.common import cut, table, word_hashes
 
 PLACE = [StructField(n, LongType()) for n in ("start", "end", "edits")]
 DROP = np.uint64(63)
@@ -37,12 +38,42 @@ DROP = np.uint64(63)
 
 def minimisers(h: np.ndarray, w: int) -> np.ndarray:
     """Sorted places of the least word hash in every ``w`` consecutive words."""
-    if len(h) <= w:
-        return np.arange(len(h)) if w <= 1 or not len(h) else np.array([int(h.argmin())])
-    if w <= 1:
-        return np.arange(len(h))
-    views = np.lib.stride_tricks.sliding_window_view(h, w)
-    return np.unique(np.arange(len(views)) + views.argmin(axis=1))
+    return text_minimisers(np.append(h, np.uint64(0)), np.array([0, len(h) + 1]), w)
+
+
+def text_minimisers(h: np.ndarray, begin: np.ndarray, w: int) -> np.ndarray:
+    """Sorted places of the ``minimisers`` of texts that begin at ``begin``, the last of which is the end; ``h``
+    has one more word behind each text."""
+    ends, marks = begin[1:] - 1, np.zeros(len(h), bool)
+    if len(h) > w:
+        least, at = h[: len(h) - w].copy(), np.arange(len(h) - w)
+        inside = np.ones(len(h) - w, bool)
+        for i in range(w):
+            part = h[i : len(h) - w + i]
+            less = part < least
+            at[less] = np.nonzero(less)[0] + i
+            np.minimum(least, part, out=least)
+            # windows over the word behind a text
+            inside[ends[(ends >= i) & (ends - i < len(inside))] - i] = False
+        marks[at[inside]] = True
+    size = ends - begin[:-1]
+    for a, n in ((int(begin[d]), int(size[d])) for d in np.nonzero((size > 0) & (size < w))[0]):
+        marks[a + int(h[a : a + n].argmin())] = True
+    return np.nonzero(marks)[0]
+
+
+class Filter:
+    """Tells of numbers whether their leading bits are among those of ``known``: 32 places or more for
+    each, up to ``2**most`` in all."""
+
+    def __init__(self, known: np.ndarray, most: int = 20):
+        bits = min(most, len(known).bit_length() + 5)
+        self.shift = np.uint64(64 - bits)
+        self.places = np.zeros(1 << bits, bool)
+        self.places[known >> self.shift] = True
+
+    def __call__(self, numbers: np.ndarray) -> np.ndarray:
+        return self.places[numbers >> self.shift]
 
 
 class Sampler:
@@ -57,21 +88,23 @@ class Sampler:
         self.samples = [[[np.sort(rng.choice(2 * c, min(picks - (c <= 32), 2 * c), replace=False)) for _ in range(tables)] for _ in range(walks)] for c in self.classes]
 
     def keys(self, h: np.ndarray, starts: np.ndarray, used: set[int]):
-        """Yields (class, walk, table, keys, whole) for walks over ``h`` from ``starts``; ``h`` has a 0
-        behind each text, on which a walk stays. ``whole`` tells keys without a 0."""
+        """Yields (class, walk, table, keys, last symbols) for walks over ``h`` from ``starts``; ``h`` has a 0
+        behind each text, on which a walk stays: keys with a 0 end with one."""
         for walk, factors in enumerate(self.factors):
-            wanted = {int(j) for c in used for s in self.samples[c][walk] for j in s}
-            at, symbols = starts.copy(), {}
-            for j in range(max(wanted, default=-1) + 1):
-                symbol = h[at]
-                if j in wanted:
-                    symbols[j] = symbol
-                at += ((symbol * factors[j]) >> DROP).astype(np.int64)
+            wanted: dict[int, list] = defaultdict(list)
             for c in used:
                 for t, picks in enumerate(self.samples[c][walk]):
-                    key = sum(symbols[j] * factors[j] for j in picks.tolist())
-                    # a walk that has met the end stays there, so the last symbol tells
-                    yield c, walk, t, mix64(key), symbols[int(picks[-1])] != 0
+                    for j in picks.tolist():
+                        wanted[j].append((c, t, j == picks[-1]))
+            at, sums = starts.copy(), {}
+            for j in range(max(wanted, default=-1) + 1):
+                symbols = h[at]
+                products = symbols * factors[j]
+                for c, t, last in wanted.get(j, ()):
+                    key = sums[c, t] = sums[c, t] + products if (c, t) in sums else products
+                    if last:
+                        yield c, walk, t, key, symbols
+                at += (products >> DROP).view(np.int64)
 
 
 def best_stretch(item: list, text: list) -> tuple[int, int]:
@@ -116,19 +149,21 @@ class Finder:
         lengths = [len(w) for _, w in self.items]
         self.w = max(1, min(8, min(lengths) // 3))
         self.sampler = Sampler(max(lengths), walks, tables, picks)
-        self.used = {self.size_class(n) for n in lengths}
-        keys: dict[tuple[int, int, int], list] = defaultdict(list)
-        for k, (_, w) in enumerate(self.items):
-            h = np.array([*w, 0], np.uint64)
-            starts = minimisers(h[:-1], self.w)
-            for c, walk, t, key, whole in self.sampler.keys(h, starts, {self.size_class(len(w))}):
-                keys[c, walk, t] += [(int(x), k, int(a)) for x, a, ok in zip(key, starts, whole, strict=True) if ok]
-        for at, rows in keys.items():
-            rows.sort()
-            sorted_keys = np.array([r[0] for r in rows], np.uint64)
-            maybe = np.zeros(1 << 18, bool)
-            maybe[sorted_keys >> np.uint64(46)] = True
-            self.found[at] = (sorted_keys, maybe, np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64))
+        classes = np.array([self.size_class(n) for n in lengths])
+        self.used = {*classes.tolist()}
+        self.lengths, self.most = np.array(lengths), np.array(self.allowed)
+        h, begin = joined([np.array(w, np.uint64) for _, w in self.items])
+        self.pairs = Filter(np.delete(self.row_hash(h, 2), np.concatenate([begin[1:-1] - 1, begin[1:-1] - 2, begin[-1:] - 2])), 24)
+        starts = text_minimisers(h, begin, self.w)
+        which = np.searchsorted(begin, starts, "right") - 1
+        for c in self.used:
+            mine = classes[which] == c
+            for _, walk, t, key, last in self.sampler.keys(h, starts[mine], {c}):
+                order = np.nonzero(last)[0]
+                if len(order):
+                    order = order[np.argsort(key[order], kind="stable")]
+                    items = which[mine][order]
+                    self.found[c, walk, t] = (key[order], Filter(key[order]), items, starts[mine][order] - begin[items])
 
     @staticmethod
     def row_hash(h: np.ndarray, n: int) -> np.ndarray:
@@ -152,21 +187,31 @@ class Finder:
     def size_class(self, n: int) -> int:
         return n.bit_length() - 3 if n >= 4 else 0
 
+    def enough_pairs(self, h: np.ndarray, begin: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Whether candidates can be leaks: an edit breaks at most two of the pairs of neighbouring words of an
+        item, the others stand in the stretch, so it has that many pairs of any items."""
+        d, item = at // len(self.items), at % len(self.items)
+        n, k = self.lengths[item], self.most[item]
+        before = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.pairs(self.row_hash(h, 2)))])
+        size = begin[d + 1] - 1 - begin[d]
+        lo, hi = np.clip(first - k, 0, size), np.clip(first + n + k, 0, size)
+        pairs = before[begin[d] + np.maximum(lo, hi - 1)] - before[begin[d] + lo]
+        return pairs >= n - 1 - 2 * k
+
     def leaks(self, hashes: list[np.ndarray]) -> list[list[tuple[int, int, int, int]]]:
         """(item_id, start, end, edits) by text; texts as word hashes."""
         out: list[list] = [self.verbatim(h) if self.short else [] for h in hashes]
         if not self.items:
             return out
-        begin = np.cumsum([0] + [len(h) + 1 for h in hashes])
-        pad = np.zeros(1, np.uint64)
-        h = np.concatenate([x for y in hashes for x in (y, pad)]) if hashes else pad
-        starts = np.concatenate([minimisers(x, self.w) + b for x, b in zip(hashes, begin, strict=False)]).astype(np.int64) if hashes else np.zeros(0, np.int64)
+        h, begin = joined(hashes)
+        starts = text_minimisers(h, begin, self.w)
         found = [np.zeros(0, np.int64)]
-        for c, walk, t, key, whole in self.sampler.keys(h, starts, self.used):
+        for c, walk, t, key, last in self.sampler.keys(h, starts, self.used):
             if (c, walk, t) not in self.found:
                 continue
             sorted_keys, maybe, which, place = self.found[c, walk, t]
-            likely = np.nonzero(maybe[key >> np.uint64(46)] & whole)[0]
+            likely = np.nonzero(maybe(key))[0]
+            likely = likely[last[likely] != 0]
             lo, hi = np.searchsorted(sorted_keys, key[likely]), np.searchsorted(sorted_keys, key[likely], "right")
             n = hi - lo
             hit = np.nonzero(n)[0]
@@ -179,8 +224,11 @@ class Finder:
                 found.append(((d * len(self.items) + which[row]) << 32) + (s - begin[d] - place[row] + (1 << 31)))
         seen = np.unique(np.concatenate(found))
         best: dict[tuple[int, int], tuple] = {}
-        plain = [x.tolist() for x in hashes] if len(seen) > 8 * len(hashes) else None
         at, first = seen >> 32, (seen & 0xFFFFFFFF) - (1 << 31)
+        if len(seen):
+            near = self.enough_pairs(h, begin, at, first)
+            at, first = at[near], first[near]
+        plain = [x.tolist() for x in hashes] if len(at) > 8 * len(hashes) else None
         for d, item, first in zip((at // len(self.items)).tolist(), (at % len(self.items)).tolist(), first.tolist(), strict=True):
             w, k = self.items[item][1], self.allowed[item]
             lo, hi = max(0, first - k), max(0, first + len(w) + k)
@@ -196,6 +244,13 @@ class Finder:
         return out
 
 
+def joined(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts behind each other, each with a 0 behind it, and where they begin, with the end."""
+    pad = np.zeros(1, np.uint64)
+    h = np.concatenate([x for y in hashes for x in (y, pad)]) if hashes else pad
+    return h, np.cumsum([0] + [len(x) + 1 for x in hashes])
+
+
 def item_blocks(benchmark: DataFrame, per_block: int, per_block_chars: int):
     """Broadcasts of ``(item_id, text)``, one block at a time."""
     items = benchmark.where("text is not null").select("item_id", "text")
